@@ -136,7 +136,6 @@ class SnapshotTable:
         if self.has_batch(batch_id):
             return False
         st = self.state()
-        data_cols = [c for c in self.kind.insert_columns if c != "group_id"]
         if sample_key:
             keyed = ids.assign_group_ids(rows, sample_key, st.group_mark)
             new_groups = keyed.select("group_id").distinct().count()
@@ -144,20 +143,26 @@ class SnapshotTable:
             keyed = rows.withColumn("group_id", F.lit(st.group_mark + 1).cast("int"))
             new_groups = 1
         group_mark = st.group_mark + new_groups
-        # Prune first (RT-5): keep max_groups - new groups among older ones,
-        # never fewer than zero; a run with no rows still prunes.
-        cutoff = self._cutoff(st, self.max_groups - new_groups)
+        # Prune first (RT-5): keep max_groups - new groups among older ones; a
+        # run with no rows still prunes. A bulk run with more new groups than
+        # max_groups keeps only its newest ones (new ids are consecutive).
+        if new_groups >= self.max_groups:
+            cutoff = group_mark - self.max_groups + 1
+            keyed = keyed.where(F.col("group_id") >= F.lit(cutoff))
+        else:
+            cutoff = self._cutoff(st, self.max_groups - new_groups)
         ts = (F.lit(insert_time).cast("timestamp_ntz") if insert_time is not None
               else F.current_timestamp().cast("timestamp_ntz"))
         keyed = keyed.withColumn("insertion_datetime", ts)
         order_cols = ["group_id"] + (order or [])
         numbered = ids.assign_row_ids(keyed, order_cols, st.id_mark)
+        # `numbered` reads a checkpoint, so counting it does not recompute the run.
+        n = numbered.count()
         out = validate.require_valid(numbered.select(*self.kind.columns), self.kind)
         out = out.withColumn(BUCKET_COL, F.floor(F.col("group_id") / F.lit(self.bucket_size)).cast("int"))
         version = st.version + 1
         (out.write.mode("overwrite").partitionBy(BUCKET_COL)
          .parquet(f"{self._data_path}/{COMMIT_COL}={version}"))
-        n = self.spark.read.parquet(f"{self._data_path}/{COMMIT_COL}={version}").count()
         self._write_log(TableState(version, group_mark, st.id_mark + n, cutoff), batch_id, n)
         return True
 

@@ -1,0 +1,109 @@
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from hostshelf import info_query
+from hostshelf.operators import paging, ranking
+from hostshelf.operators.ranking import kth_largest
+from hostshelf.sources.fixtures import Fixtures, with_clause
+
+from conftest import SF001, SF01
+
+
+@pytest.fixture(scope="module")
+def fx(spark):
+    return Fixtures(spark, SF001)
+
+
+@pytest.fixture(scope="module")
+def file_groups(fx):
+    ids = np.array(sorted({r[0] for r in fx.info_file.select("group_id").collect()}, reverse=True))
+    return ids
+
+
+def _dense_rank_rows(fx, lo, hi):
+    """Reference form: rows whose dense rank r satisfies lo < r <= hi."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF001}/events.parquet')")
+    sql = (f"{with_clause('info_file')} SELECT count(*) FROM info_file WHERE group_id IN "
+           "(SELECT group_id FROM (SELECT DISTINCT group_id, DENSE_RANK() OVER (ORDER BY group_id DESC) r "
+           f"FROM info_file) t WHERE r > {lo} AND r <= {hi})")
+    return con.execute(sql).fetchone()[0]
+
+
+@settings(max_examples=12, deadline=None)
+@given(limit=st.integers(-2, 140), offset=st.integers(-2, 140))
+def test_group_page_matches_dense_rank(fx, limit, offset):
+    got = info_query(fx.info_file, "file", {"limit_group": str(limit), "offset_group": str(offset)}).count()
+    assert got == _dense_rank_rows(fx, offset, limit)
+
+
+def test_group_edge_values(fx):
+    n = fx.info_file.count()
+    assert info_query(fx.info_file, "file", {"limit_group": "0"}).count() == 0
+    assert info_query(fx.info_file, "file", {"limit_group": "-4"}).count() == 0
+    assert info_query(fx.info_file, "file", {"offset_group": "0"}).count() == n
+    assert info_query(fx.info_file, "file", {"offset_group": "-1"}).count() == n
+    assert info_query(fx.info_file, "file", {"limit_group": "100000"}).count() == n
+    assert info_query(fx.info_file, "file", {"offset_group": "100000"}).count() == 0
+
+
+def test_group_ranks_come_from_whole_table(fx):
+    # the 3 newest groups of the whole table, then the filter
+    got = info_query(fx.info_file, "file", {"used_percent_min": "0.05", "limit_group": "3"})
+    top3 = fx.info_file.select("group_id").distinct().orderBy(F.desc("group_id")).limit(3)
+    exp = fx.info_file.join(top3, "group_id", "left_semi").where("used_percent >= 0.05")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in exp.collect())
+
+
+@pytest.mark.parametrize("limit,offset", [(10, 0), (4, 5), (7, 190), (None, 150), (None, 10**6), (0, 3)])
+def test_row_paging_offset_before_limit(fx, limit, offset):
+    all_ids = sorted((r.id for r in fx.info_cpu.select("id").collect()), reverse=True)
+    form = {"offset": str(offset)}
+    if limit is not None:
+        form["limit"] = str(limit)
+    got = [r.id for r in info_query(fx.info_cpu, "cpu", form).collect()]
+    exp = all_ids[offset:] if limit is None else all_ids[offset:offset + limit]
+    assert got == exp
+
+
+def test_wide_page_uses_cutoffs_not_single_topk(fx):
+    all_ids = sorted((r.id for r in fx.info_cpu.select("id").collect()), reverse=True)
+    got = [r.id for r in paging.page_rows(fx.info_cpu, 50, 20, topk_limit=10).collect()]
+    assert got == all_ids[20:70]
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 50, 124, 125, 126, 1000])
+def test_kth_largest_strategies_agree(spark, fx, file_groups, k):
+    exp = int(file_groups[k - 1]) if k <= len(file_groups) else None
+    df = fx.info_file
+    assert kth_largest(df, "group_id", k) == exp
+    assert ranking._partition_topk_distinct(df.select(F.col("group_id").cast("long").alias("v")), k) == exp
+    assert kth_largest(df, "group_id", k, topk_limit=0) == exp  # radix descent
+
+
+def test_kth_largest_negative_and_long_values(spark):
+    vals = [-(2 ** 40), -5, -5, 0, 3, 2 ** 33, 2 ** 33, 2 ** 50]
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    uniq = sorted(set(vals), reverse=True)
+    for k in range(1, len(uniq) + 2):
+        exp = uniq[k - 1] if k <= len(uniq) else None
+        assert kth_largest(df, "v", k) == exp
+        assert kth_largest(df, "v", k, topk_limit=0) == exp
+
+
+def test_hot_group_goes_through_partition_topk(spark):
+    # one group holds most rows: the top rows alone cannot decide the cutoff
+    rows = [(1,)] * 5000 + [(g,) for g in range(2, 40)]
+    df = spark.createDataFrame(rows, "group_id int").repartition(4)
+    assert kth_largest(df, "group_id", 39) == 1
+    assert kth_largest(df, "group_id", 40) is None
+
+
+def test_group_rank_partitioned(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2), ("b", 9)], "host string, group_id int")
+    got = {(r.host, r.group_id): r.group_rnk for r in paging.group_rank(df, partition_cols=("host",)).collect()}
+    assert got == {("a", 3): 1, ("a", 1): 2, ("b", 9): 1, ("b", 2): 2}
