@@ -53,8 +53,11 @@ def kth_largest(df: DataFrame, col: str, k: int, *, distinct: bool = True,
         raise TypeError(f"{col} must be an integer column, not {dtype.simpleString()}")
     vals = df.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
     if k <= topk_limit:
-        spread = DEFAULT_SPREAD if distinct else 1
-        found, cut = _from_top_rows(vals, k, min(k * spread, max(topk_limit, k)))
+        if not distinct:  # unique column: the k-th row is the k-th value
+            r = (vals.orderBy(F.desc("v")).limit(k)
+                 .agg(F.min("v").alias("cut"), F.count(F.lit(1)).alias("n")).first())
+            return r["cut"] if r["n"] >= k else None
+        found, cut = _from_top_rows(vals, k, min(k * DEFAULT_SPREAD, max(topk_limit, k)))
         if found:
             return cut
         return _partition_topk_distinct(vals, k)

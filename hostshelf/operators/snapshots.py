@@ -41,6 +41,21 @@ def core_counts(cores: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("logical_cores"))
 
 
+def core_stats(cores: DataFrame, order: tuple[str, ...] = ("core_no", "tie1", "tie2", "mhz")) -> DataFrame:
+    """AG-1/2/4 in one pass: first core's name and speed, logical cores, mean MHz."""
+    pick = F.min_by(F.struct(F.col("model_name"), F.col("mhz")), F.struct(*[F.col(c) for c in order]))
+    return (cores.groupBy("sample_id")
+            .agg(pick.alias("_first"), F.count(F.lit(1)).cast("int").alias("logical_cores"),
+                 F.avg("mhz").alias("current_speed_mhz"))
+            .select("sample_id", F.col("_first.model_name").alias("name"),
+                    F.col("_first.mhz").alias("base_speed_mhz"), "logical_cores", "current_speed_mhz"))
+
+
+def physical_core_count(cores: DataFrame) -> DataFrame:
+    """AG-3: distinct physical core ids per sample (deduplicated map-side first)."""
+    return cores.groupBy("sample_id").agg(F.countDistinct("phys_core").cast("int").alias("physical_cores"))
+
+
 def first_or_zero(values: Column) -> Column:
     """AG-5: first element of a list, 0 when the list is empty or missing.
 
@@ -109,8 +124,7 @@ def cpu_snapshot(host: DataFrame, cores: DataFrame, procs: DataFrame) -> DataFra
     sample dropped); missing cores or processes give zeros and an empty name.
     """
     base = host.where(F.col("cpu_ok")).select("sample_id", "utilization", "uptime_s")
-    per_core = (first_core(cores).join(core_counts(cores), "sample_id")
-                .join(mean_mhz(cores), "sample_id"))
+    per_core = core_stats(cores).join(physical_core_count(cores), "sample_id")
     out = base.join(per_core, "sample_id", "left").join(process_totals(procs), "sample_id", "left")
     return out.select(
         "sample_id",

@@ -364,6 +364,81 @@ def _net_snapshot(spark, sf_dir):
     return snapshots.net_snapshot(fx.raw_iface, fx.raw_connection)
 
 
+# ---------------------------------------------------------------- appends (SNK-1…5)
+# A bulk backfill: every raw sample becomes one new group after the marks.
+_MARKS = {"group": 500, "id": 2000}
+
+
+def _append_oracle(with_views: str, body: str, per_group_rows: bool = False, order: str = "") -> str:
+    rn = (f"ROW_NUMBER() OVER (ORDER BY sample_id{', ' + order if order else ''})")
+    return (f"{with_views},\nsnap AS ({body})\nSELECT CAST({_MARKS['id']} + {rn} AS INT) AS id, "
+            f"CAST({_MARKS['group']} + DENSE_RANK() OVER (ORDER BY sample_id) AS INT) AS group_id, "
+            "* EXCLUDE (sample_id{excl}), TIMESTAMP '{t}' AS insertion_datetime FROM snap")
+
+
+def _append_entry(name, kind, with_views, body, build_rows, order=None, excl=""):
+    oracle = _append_oracle(with_views, body, order=", ".join(order or [])).replace(
+        "{excl}", excl).replace("{t}", NEW_RUN_TIME)
+
+    def build(spark, sf_dir):
+        from ..operators.append import table_rows
+        rows = build_rows(_fx(spark, sf_dir))
+        return table_rows(rows, kind, group_mark=_MARKS["group"], id_mark=_MARKS["id"],
+                          sample_key=["sample_id"], order=order, inserted_at=NEW_RUN_TIME)
+
+    register(name, oracle)(build)
+
+
+_append_entry("append_ram", "ram", with_clause("raw_memory"),
+              "SELECT sample_id, total_b AS total, used_b AS used, free_b AS free, committed_as AS commited, "
+              "cached_b AS cached FROM raw_memory",
+              lambda fx: snapshots.ram_project(fx.raw_memory))
+_append_entry("append_net", "net", with_clause("raw_iface", "raw_connection"),
+              f"SELECT t.*, CAST(COALESCE(c.n, 0) AS INT) AS connections FROM (SELECT sample_id, {_NET_SUMS} "
+              "FROM raw_iface GROUP BY sample_id) t LEFT JOIN (SELECT sample_id, COUNT(*) AS n FROM raw_connection "
+              "GROUP BY sample_id) c ON c.sample_id = t.sample_id",
+              lambda fx: snapshots.net_snapshot(fx.raw_iface, fx.raw_connection))
+_append_entry("append_file", "file", with_clause("raw_partition"),
+              "SELECT sample_id, event_id, mountpoint AS path, CAST(100000 AS BIGINT) AS total, "
+              "CAST(FLOOR(value) AS BIGINT) AS used, 100000 - CAST(FLOOR(value) AS BIGINT) AS free, "
+              "value / 1000 AS used_percent FROM raw_partition WHERE usage_ok",
+              lambda fx: snapshots.file_project(fx.raw_partition), order=["event_id"], excl=", event_id")
+_append_entry("append_cpu", "cpu", with_clause("raw_host", "raw_core", "raw_process"),
+              "SELECT h.sample_id, COALESCE(fc.model_name, '') AS name, "
+              "CAST(COALESCE(cc.pc, 0) AS INT) AS physical_cores, CAST(COALESCE(cc.lc, 0) AS INT) AS logical_cores, "
+              "COALESCE(h.utilization, 0.0) AS utilization, ROUND(COALESCE(cc.cur, 0.0), 6) AS current_speed_mhz, "
+              "COALESCE(fc.mhz, 0.0) AS base_speed_mhz, CAST(COALESCE(pt.np, 0) AS INT) AS processes_amount, "
+              "CAST(COALESCE(pt.nt, 0) AS INT) AS threads_amount, CAST(COALESCE(pt.nf, 0) AS INT) AS handles_amount, "
+              "CAST(COALESCE(h.uptime_s, 0) AS BIGINT) * 1000000000 AS uptime FROM raw_host h "
+              "LEFT JOIN (SELECT sample_id, model_name, mhz FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id "
+              "ORDER BY core_no, tie1, tie2, mhz) AS rn FROM raw_core) t WHERE rn = 1) fc ON fc.sample_id = h.sample_id "
+              "LEFT JOIN (SELECT sample_id, COUNT(DISTINCT phys_core) AS pc, COUNT(*) AS lc, AVG(mhz) AS cur "
+              "FROM raw_core GROUP BY sample_id) cc ON cc.sample_id = h.sample_id "
+              "LEFT JOIN (SELECT sample_id, COUNT(*) AS np, SUM(num_threads) AS nt, SUM(num_fds) AS nf "
+              "FROM raw_process GROUP BY sample_id) pt ON pt.sample_id = h.sample_id WHERE h.cpu_ok",
+              lambda fx: snapshots.cpu_snapshot(fx.raw_host, fx.raw_core, fx.raw_process).withColumn(
+                  "current_speed_mhz", F.round("current_speed_mhz", 6)))
+
+
+@register("append_session_key",
+          f"{with_clause('session_keys')}\nSELECT * FROM session_keys\nUNION ALL\n"
+          "SELECT CAST((SELECT MAX(id) FROM session_keys) + ROW_NUMBER() OVER (ORDER BY event_id) AS INT) AS id, "
+          "CONCAT('new-', CAST(event_id AS VARCHAR(20))) AS session_key, "
+          f"TIMESTAMP '{AS_OF}' AS creation_datetime, TIMESTAMP '{AS_OF}' + INTERVAL '60' MINUTE AS valid_until "
+          "FROM events WHERE event_type = 'signup'")
+def _append_session_key(spark, sf_dir):
+    """SNK-5: new keys (one per signup event) with expiry, after the id mark."""
+    fx = _fx(spark, sf_dir)
+    table = fx.session_keys
+    new = fx.base("events").where(F.col("event_type") == "signup").select(
+        "event_id", F.concat(F.lit("new-"), F.col("event_id").cast("string")).alias("session_key"))
+    numbered = ids.assign_row_ids(new, ["event_id"], kth_largest(table, "id", 1, distinct=False))
+    now = F.lit(AS_OF).cast("timestamp_ntz")
+    fresh = numbered.select("id", "session_key", now.alias("creation_datetime"),
+                            keys.key_expiry(now).alias("valid_until"))
+    return table.unionByName(fresh)
+
+
 # ---------------------------------------------------------------- ids, constraints, rendering
 @register("assign_group_ids", f"{with_clause('raw_partition')}\nSELECT event_id, sample_id, "
           "CAST(1000 + DENSE_RANK() OVER (ORDER BY sample_id) AS INT) AS group_id FROM raw_partition")
