@@ -74,3 +74,19 @@ def start_collector(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[
     w = w.trigger(availableNow=True) if available_now else w.trigger(
         processingTime=f"{interval_seconds} seconds")
     return w.start()
+
+
+def backfill_then_live(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
+                       checkpoint: str, *, timeout_s: float | None = None, **kw) -> StreamingQuery:
+    """ST-2: drain what is already there (``availableNow``), then keep
+    collecting on the same checkpoint every interval; returns the live query."""
+    first = start_collector(stream, table, to_rows, checkpoint, available_now=True, **kw)
+    first.awaitTermination(timeout_s)
+    return start_collector(stream, table, to_rows, checkpoint, available_now=False, **kw)
+
+
+def start_collectors(pipelines: dict[str, tuple[DataFrame, SnapshotTable, Callable[[DataFrame], DataFrame]]],
+                     checkpoint_root: str, **kw) -> dict[str, StreamingQuery]:
+    """ST-5: one independent query per metric, each with its own checkpoint."""
+    return {name: start_collector(stream, table, to_rows, f"{checkpoint_root.rstrip('/')}/{name}", **kw)
+            for name, (stream, table, to_rows) in pipelines.items()}

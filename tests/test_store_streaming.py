@@ -96,3 +96,33 @@ def test_empty_batch_draws_no_group(spark, scratch):
     write = snapshot_writer(table, lambda b: b)
     write(_ram_rows(spark, 0, 0), 0)
     assert table.state().version == 0
+
+
+def test_independent_pipelines_own_checkpoints(spark, scratch):
+    from hostshelf.streaming.collect import start_collectors
+
+    src = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF001)
+    points = latest_per_interval(src.select("event_id", "value", "ts"), "ts", "1 hour")
+    ram = SnapshotTable(spark, f"{scratch}/ram", "ram", max_groups=10)
+    cpu = SnapshotTable(spark, f"{scratch}/cpu", "cpu", max_groups=10)
+
+    def ram_rows(b):
+        return b.select("window_start", F.lit(1).cast("long").alias("total"), F.lit(1).cast("long").alias("used"),
+                        F.lit(0).cast("long").alias("free"), F.col("event_id").alias("commited"),
+                        F.lit(0).cast("long").alias("cached"))
+
+    def cpu_rows(b):
+        return b.select("window_start", F.lit("x").alias("name"), F.lit(1).alias("physical_cores"),
+                        F.lit(2).alias("logical_cores"), F.col("value").alias("utilization"),
+                        F.lit(1.0).alias("current_speed_mhz"), F.lit(1.0).alias("base_speed_mhz"),
+                        F.lit(1).alias("processes_amount"), F.lit(1).alias("threads_amount"),
+                        F.lit(1).alias("handles_amount"), F.col("event_id").alias("uptime"))
+
+    qs = start_collectors({"ram": (points, ram, ram_rows), "cpu": (points, cpu, cpu_rows)}, f"{scratch}/ck",
+                          sample_key=["window_start"], available_now=True, output_mode="complete",
+                          insert_time="2024-02-01 00:00:00")
+    for q in qs.values():
+        q.awaitTermination(300)
+    assert os.path.isdir(f"{scratch}/ck/ram") and os.path.isdir(f"{scratch}/ck/cpu")
+    assert ram.read().select("group_id").distinct().count() == 10
+    assert cpu.read().select("group_id").distinct().count() == 10
