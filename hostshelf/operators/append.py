@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import Kind, kind_of
+from ..session import checkpoint_dir
 from . import ids
 
 
@@ -33,7 +34,10 @@ def table_rows(rows: DataFrame, kind: str | Kind, *, group_mark: int, id_mark: i
     """
     k = kind_of(kind)
     if sample_key:
-        keyed = ids.assign_group_ids(rows, sample_key, group_mark)
+        # Group ids read the distinct keys and then join back, so materialise
+        # the run once (reliable checkpoint) rather than computing it twice.
+        checkpoint_dir(rows.sparkSession)
+        keyed = ids.assign_group_ids(rows.checkpoint(eager=True), sample_key, group_mark)
     else:
         keyed = rows.withColumn("group_id", F.lit(group_mark + 1).cast("int"))
     keyed = keyed.withColumn("insertion_datetime", insert_time(inserted_at))

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from ..operators import ids, validate
 from ..operators.ranking import kth_largest
 from ..schemas import DEFAULT_MAX_GROUPS, Kind, kind_of
+from ..session import checkpoint_dir
 
 BUCKET_COL = "group_bucket"
 COMMIT_COL = "commit"
@@ -137,7 +138,8 @@ class SnapshotTable:
             return False
         st = self.state()
         if sample_key:
-            keyed = ids.assign_group_ids(rows, sample_key, st.group_mark)
+            checkpoint_dir(self.spark)
+            keyed = ids.assign_group_ids(rows.checkpoint(eager=True), sample_key, st.group_mark)
             new_groups = keyed.select("group_id").distinct().count()
         else:
             keyed = rows.withColumn("group_id", F.lit(st.group_mark + 1).cast("int"))
