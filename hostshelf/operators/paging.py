@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import DEFAULT_TOPK_LIMIT, kth_largest
+from .ranking import DEFAULT_TOPK_LIMIT, kth_largest, kth_largest_many
 
 
 def _nothing(df: DataFrame) -> DataFrame:
@@ -37,19 +37,20 @@ def group_bounds(table: DataFrame, limit_group: int | None, offset_group: int |
     """
     conds: list[Column] = []
     g = F.col(group_col)
-    if limit_group is not None:
-        if limit_group <= 0:
+    typ = table.schema[group_col].dataType
+    if limit_group is not None and limit_group <= 0:
+        return F.lit(False)
+    skip = offset_group if offset_group is not None and offset_group > 0 else None
+    if limit_group is not None and skip is not None and skip >= limit_group:
+        return F.lit(False)
+    wanted = [k for k in (limit_group, skip) if k is not None]
+    cuts = kth_largest_many(table, group_col, wanted, topk_limit=topk_limit) if wanted else {}
+    if limit_group is not None and cuts[limit_group] is not None:
+        conds.append(g >= F.lit(cuts[limit_group]).cast(typ))  # else fewer groups: all qualify
+    if skip is not None:
+        if cuts[skip] is None:  # every group is within the skipped ranks
             return F.lit(False)
-        cut = kth_largest(table, group_col, limit_group, topk_limit=topk_limit)
-        if cut is not None:  # fewer groups than the bound: all qualify
-            conds.append(g >= F.lit(cut).cast(table.schema[group_col].dataType))
-    if offset_group is not None and offset_group > 0:
-        if limit_group is not None and offset_group >= limit_group:
-            return F.lit(False)
-        cut = kth_largest(table, group_col, offset_group, topk_limit=topk_limit)
-        if cut is None:  # every group is within the skipped ranks
-            return F.lit(False)
-        conds.append(g < F.lit(cut).cast(table.schema[group_col].dataType))
+        conds.append(g < F.lit(cuts[skip]).cast(typ))
     if not conds:
         return None
     out = conds[0]

@@ -57,27 +57,48 @@ def kth_largest(df: DataFrame, col: str, k: int, *, distinct: bool = True,
             r = (vals.orderBy(F.desc("v")).limit(k)
                  .agg(F.min("v").alias("cut"), F.count(F.lit(1)).alias("n")).first())
             return r["cut"] if r["n"] >= k else None
-        found, cut = _from_top_rows(vals, k, min(k * DEFAULT_SPREAD, max(topk_limit, k)))
-        if found:
-            return cut
+        decided = _from_top_rows(vals, [k], min(k * DEFAULT_SPREAD, max(topk_limit, k)))
+        if k in decided:
+            return decided[k]
         return _partition_topk_distinct(vals, k)
     return _radix_descent(vals, k, 64 if isinstance(dtype, T.LongType) else 32)
 
 
-def _from_top_rows(vals: DataFrame, k: int, kp: int) -> tuple[bool, int | None]:
-    """Top-kp rows (bounded per task) → (decided, cutoff)."""
+def kth_largest_many(df: DataFrame, col: str, ks: list[int], *,
+                     topk_limit: int = DEFAULT_TOPK_LIMIT) -> dict[int, int | None]:
+    """Several distinct-value cutoffs of one column; small ranks share one job."""
+    ks = sorted({k for k in ks if k > 0})
+    if not ks:
+        return {}
+    out: dict[int, int | None] = {}
+    small = [k for k in ks if k <= topk_limit]
+    if small:
+        kmax = small[-1]
+        vals = df.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
+        out.update(_from_top_rows(vals, small, min(kmax * DEFAULT_SPREAD, max(topk_limit, kmax))))
+    for k in ks:
+        if k not in out:
+            out[k] = kth_largest(df, col, k, topk_limit=topk_limit)
+    return out
+
+
+def _from_top_rows(vals: DataFrame, ks: list[int], kp: int) -> dict[int, int | None]:
+    """Top-kp rows (bounded per task) → the cutoffs this sample decides."""
     top = vals.orderBy(F.desc("v")).limit(kp)
     per_value = top.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     # At most kp rows reach this window, so one partition is bounded.
     ranked = per_value.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("v"))))
     r = ranked.agg(F.max("rk").alias("d"), F.sum("n").alias("rows"),
-                   F.min(F.when(F.col("rk") <= k, F.col("v"))).alias("cut")).first()
+                   *[F.min(F.when(F.col("rk") <= k, F.col("v"))).alias(f"c{i}")
+                     for i, k in enumerate(ks)]).first()
     d, rows = (r["d"] or 0), (r["rows"] or 0)
-    if d >= k:
-        return True, r["cut"]
-    if rows < kp:  # every row was seen: fewer than k distinct values exist
-        return True, None
-    return False, None
+    decided: dict[int, int | None] = {}
+    for i, k in enumerate(ks):
+        if d >= k:
+            decided[k] = r[f"c{i}"]
+        elif rows < kp:  # every row was seen: fewer than k distinct values exist
+            decided[k] = None
+    return decided
 
 
 def _partition_topk_distinct(vals: DataFrame, k: int) -> int | None:

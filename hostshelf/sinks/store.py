@@ -180,3 +180,19 @@ class SnapshotTable:
         row = [(st.version, batch_id, st.group_mark, st.id_mark, st.group_cutoff, rows)]
         (self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("overwrite")
          .json(f"{self._log_path}/{COMMIT_COL}={st.version}"))
+
+
+def create_table_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    """SNK-6…10: write an empty table of `schema` when `path` holds none.
+
+    Returns True when the table was created. An existing table is left as is
+    (no migration), and its schema is not inferred but read as declared.
+    """
+    try:
+        spark.read.schema(schema).parquet(path).limit(0).collect()
+        return False
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+    spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
+    return True

@@ -126,3 +126,18 @@ def test_independent_pipelines_own_checkpoints(spark, scratch):
     assert os.path.isdir(f"{scratch}/ck/ram") and os.path.isdir(f"{scratch}/ck/cpu")
     assert ram.read().select("group_id").distinct().count() == 10
     assert cpu.read().select("group_id").distinct().count() == 10
+
+
+def test_create_tables_if_absent(spark, scratch):
+    from hostshelf.schemas import CPU, FILE, NET, RAM, SESSION_KEYS
+    from hostshelf.sinks.store import create_table_if_absent
+    from hostshelf.sources.tables import read_session_keys
+
+    for name, schema in {"session_keys": SESSION_KEYS, "info_cpu": CPU, "info_ram": RAM,
+                         "info_net": NET, "info_file": FILE}.items():
+        path = f"{scratch}/{name}"
+        assert create_table_if_absent(spark, path, schema)
+        assert not create_table_if_absent(spark, path, schema)
+        assert spark.read.schema(schema).parquet(path).columns == schema.names
+    keys = read_session_keys(spark, f"{scratch}/session_keys")
+    assert keys.count() == 0 and keys.columns == SESSION_KEYS.names
