@@ -8,15 +8,15 @@ Numbers follow a sort order and start after a stored high-water mark:
    partitioning samples anew, and the two passes would disagree; a lost
    executor re-reads the checkpoint instead);
 3. count rows per partition (one row per partition), turn counts into
-   running offsets, and broadcast that table, whose size is bounded by the
-   partition count;
+   running offsets on the driver (a list bounded by the partition count) and
+   apply them as an array literal indexed by partition;
 4. number = start + offset(partition) + position within partition, where the
    position is the low bits of ``monotonically_increasing_id()``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -34,13 +34,18 @@ def sequence(df: DataFrame, order: list[Column | str], out_col: str, start: int
     mid = F.monotonically_increasing_id()
     tagged = staged.select("*", F.shiftright(mid, _POS_BITS).alias("_part"),
                            (mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1))).alias("_pos"))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: a single-partition running sum is bounded.
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_part")
-            .withColumn(out_col, F.lit(start) + F.col("_off") + F.col("_pos"))
-            .drop("_part", "_pos", "_off"))
+    # One count per partition (bounded by the partition count, not the data):
+    # running offsets are computed on the driver and applied as an array
+    # literal indexed by partition, so no window, exchange or join is needed.
+    counts = dict(tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, run = [], 0
+    for part in range(staged.rdd.getNumPartitions()):
+        offsets.append(run)
+        run += counts.get(part, 0)
+    table = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array().cast("array<long>")
+    off = F.element_at(table, (F.col("_part") + F.lit(1)).cast("int"))
+    return (tagged.withColumn(out_col, F.lit(start).cast("long") + off + F.col("_pos"))
+            .drop("_part", "_pos"))
 
 
 def assign_group_ids(samples: DataFrame, key_cols: list[str], high_water: int,
