@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,9 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints and staged tables.
 
     Read from the session (`spark.checkpoint.dir`, or one already set on the
-    context). Only a local-mode session without one gets a fresh scratch
-    folder; a cluster session without a shared folder is an error, since a
-    machine-local folder would not survive the loss of an executor.
+    context). Only a session whose master is `local` or `local[...]`, which has
+    no executors of its own, gets a fresh scratch folder without one; any
+    cluster, `local-cluster` included, must name a shared folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if sc.master.startswith("local"):
+    if re.match(r"local(\[|$)", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hostshelf-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
