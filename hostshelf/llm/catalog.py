@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostshelf.llm import content_sort, simhash_cover
+from hostshelf.llm import content_sort, license_diagonals, quality_risk, simhash_cover
 from hostshelf.llm.common import documents
 
 
@@ -14,13 +14,21 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_components(documents(spark, sf_dir), shingle=4, radius=4)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.report(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_risk.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_license_scan, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": content_sort.ORACLE}
+    return {"op9_exact_dedup": content_sort.ORACLE, "op10_quality_rules": quality_risk.ORACLE}
