@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostshelf.llm import content_sort, license_diagonals, quality_risk, simhash_cover
+from hostshelf.llm import content_sort, license_diagonals, quality_risk, simhash_cover, window_packing
 from hostshelf.llm.common import documents
 
 
@@ -18,6 +19,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.report(documents(spark, sf_dir))
 
 
+def op8_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
 
@@ -27,7 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_license_scan, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
