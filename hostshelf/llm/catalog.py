@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostshelf.llm import content_sort, license_diagonals, quality_risk, simhash_cover, window_packing
+from hostshelf.llm import content_sort, license_diagonals, phrase_automata, quality_risk, repeat_tree, simhash_cover, window_packing
 from hostshelf.llm.common import documents
 
 
+def op1_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.report(documents(spark, sf_dir))
+
+
+def op2_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_tree.report(documents(spark, sf_dir))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_components(documents(spark, sf_dir), shingle=4, radius=4)
 
@@ -32,8 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_phrase_automata, op2_repeat_tree, op3_simhash_near_dedup, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": content_sort.ORACLE, "op10_quality_rules": quality_risk.ORACLE}
+    return {"op1_phrase_automata": phrase_automata.ORACLE, "op9_exact_dedup": content_sort.ORACLE, "op10_quality_rules": quality_risk.ORACLE}
