@@ -18,16 +18,30 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import SPACE, id_and_text, staged
+from hostshelf.llm.common import id_and_text, staged
 
 #: Bytes of the text in the range key; bounds what the splitter sample sends to the driver.
 PREFIX_BYTES = 32
 _RUN_SHIFT = 40
+_SPACE = bytes([0x20, *range(0x09, 0x0E)])
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: code points of the text, its bytes without white space, and the short range key."""
+    for batch in batches:
+        body = [t.as_buffer().to_pybytes().translate(None, _SPACE) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pc.utf8_length(batch.column("text")), pa.array([x[:PREFIX_BYTES] for x in body], pa.binary()),
+             pa.array(np.array([xxhash.xxh64_intdigest(x) for x in body], np.uint64).view(np.int64)), pa.array(body, pa.binary())],
+            names=["doc_id", "n", "prefix", "hash", "body"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,12 +69,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts are equal when identical without white space; the row with the most
     code points in its original text, then the smallest doc_id, is kept.
     """
-    rows = id_and_text(docs).select(
-        "doc_id", F.char_length("text").alias("n"),
-        F.encode(F.regexp_replace("text", f"{SPACE}+", ""), "UTF-8").alias("body"))
-    order = [F.substring("body", 1, PREFIX_BYTES), F.xxhash64("body")]
+    rows = id_and_text(docs).mapInArrow(_normalised, "doc_id long, n int, prefix binary, hash long, body binary")
     best = [F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
-    runs = staged(rows.repartitionByRange(*order, *best).sortWithinPartitions(*order, "body", *best)
+    runs = staged(rows.repartitionByRange("prefix", "hash", *best).sortWithinPartitions("prefix", "hash", "body", *best)
+                  .select("doc_id", "body")
                   .mapInArrow(_runs, "doc_id long, run long, head boolean, text_sha256 string"), "runs")
 
     heads = runs.where("head")
