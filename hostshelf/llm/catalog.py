@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostshelf.llm import byte_bpe, content_sort, lang_backoff, license_diagonals, phrase_automata, quality_risk, repeat_tree, simhash_cover, vocab, window_packing
+from hostshelf.llm import byte_bpe, content_sort, lang_backoff, license_diagonals, line_neighbours, phrase_automata, quality_risk, repeat_tree, simhash_cover, vocab, window_packing
 from hostshelf.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op5_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_backoff.report(documents(spark, sf_dir))
 
 
+def op6_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_neighbours.report(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.report(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_phrase_automata, op2_repeat_tree, op3_simhash_near_dedup, op4_byte_bpe, op5_language_backoff, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_phrase_automata, op2_repeat_tree, op3_simhash_near_dedup, op4_byte_bpe, op5_language_backoff, op6_line_neighbours, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
