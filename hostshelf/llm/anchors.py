@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import keyed, staged
+from hostshelf.llm.common import staged
 
 #: Units handled at once in a task; longer texts are cut into pieces that overlap by one window.
 CHUNK = 1 << 20
@@ -198,11 +198,6 @@ def _block_rows(kind: Kind) -> Callable:
     return apply
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_key, ord: `ord` is doc_id with null as the smallest value, so that keys are never null."""
-    return keyed(docs).withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63))))
-
-
 def repeated_blocks(rows: DataFrame, kind: Kind) -> DataFrame:
     """Blocks (h, g, ord, text_key, s, n, place) of the grams that occur more than once. `place` orders all blocks of the corpus."""
     counts = (rows.select("text").mapInArrow(_gram_counts(kind), "h long, n long")
@@ -213,17 +208,16 @@ def repeated_blocks(rows: DataFrame, kind: Kind) -> DataFrame:
         "place", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("s"))
 
 
-def with_classes(found: DataFrame) -> DataFrame:
-    """`found` plus its class's `members` and `first` place, and `rivals`, the number of classes of its gram."""
-    classes = found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first"))
-    classes = staged(classes, "classes")
-    rivals = classes.groupBy("h").agg(F.count("*").alias("rivals"))
-    return found.join(classes.join(rivals, "h"), ["h", "g", "n"])
+def with_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`found` plus its class's `members` and `first` place, the number `rivals` of classes of every contested gram)."""
+    classes = staged(found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first")), "classes")
+    rivals = classes.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    return staged(found.join(classes, ["h", "g", "n"]), "classed"), rivals
 
 
-def representatives(classed: DataFrame) -> DataFrame:
+def representatives(classed: DataFrame, rivals: DataFrame) -> DataFrame:
     """The first block of every class of a contested gram."""
-    return classed.where("rivals > 1 AND place = first").dropDuplicates(["h", "g", "n"])
+    return classed.where("place = first").dropDuplicates(["h", "g", "n"]).join(rivals, "h")
 
 
 def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
@@ -312,9 +306,9 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
 
     `in_task` gets an iterator of batches of `block_texts`, sorted by gram, and yields such spans.
     """
-    classed = staged(with_classes(repeated_blocks(rows, kind)), "classed")
+    classed, rivals = with_classes(repeated_blocks(rows, kind))
     whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n")
-    texts = block_texts(representatives(classed), rows, kind)
+    texts = block_texts(representatives(classed, rivals), rows, kind)
     texts = staged(texts, "texts")
     few = (texts.where(F.col("rivals") <= crowd).repartition("h").sortWithinPartitions("h")
            .mapInArrow(in_task, "ord long, text_key long, s int, n int"))

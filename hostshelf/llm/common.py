@@ -34,6 +34,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
 
 
+def rows_of(docs: DataFrame, whole: str | None = None) -> DataFrame:
+    """doc_id, text, text_key, ord: `ord` is doc_id with null as the smallest value, so that keys are never null.
+
+    With `whole`, a column of that name holds the row as it came.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole or "_"))
+    text = F.coalesce(F.col(f"{whole or '_'}.text"), F.lit(""))
+    doc_id = F.col(f"{whole or '_'}.doc_id").cast("long")
+    return rows.select(*[whole] * bool(whole), doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"),
+                       F.coalesce(doc_id, F.lit(-(1 << 63))).alias("ord"))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (ord, text_key) is in `kept`, with their own columns; of rows with one key, one."""
+    return (rows_of(docs, "_row").select("_row", "ord", "text_key").join(kept.select("ord", "text_key"), ["ord", "text_key"])
+            .dropDuplicates(["ord", "text_key"]).select("_row.*"))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it in `body` as often as needed."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

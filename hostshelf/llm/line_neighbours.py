@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.anchors import Hasher, _mix, rows_of
-from hostshelf.llm.common import staged
+from hostshelf.llm.anchors import Hasher, _mix
+from hostshelf.llm.common import rows_of, staged
 
 MIN_CHARS = 20
 HALVES, SIXTEENTHS = 2, 16

@@ -16,6 +16,7 @@ are kept apart by their text.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from hostshelf.llm import anchors
 from hostshelf.llm.anchors import Kind
+from hostshelf.llm.common import rows_of
 
 WINDOW, GRAM = 35, 8
 #: Bytes of block text behind one automaton.
@@ -92,7 +94,7 @@ def _locate(window: int) -> Callable:
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = anchors.CROWD) -> DataFrame:
     """One row per input row: doc_id, text_key, n_words, n_removed, kept (the other words joined by one space)."""
     kind = Kind(True, window, gram)
-    rows = anchors.rows_of(docs)
+    rows = rows_of(docs)
     found = anchors.spans(rows, kind, False, _locate(window), crowd)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +114,44 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
             .mapInArrow(apply, "doc_id long, text_key long, n_words long, n_removed long, kept string"))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_words(data: bytes, gone: np.ndarray) -> bytes:
+    """`data` without the words marked in `gone`: a run of them goes with the white space up to the next word; the rest keeps its layout."""
+    out, at = [], 0
+    starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out.append(data[at:starts[first]])
+        at = starts[last]
+    return b"".join([*out, data[at:]])
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = anchors.CROWD) -> DataFrame:
+    """`docs` with the repeated passages cut out of `text` (and `n_chars` counted anew, if there is such a column).
+
+    A document of which no word is left goes; one without a repeat stays as it is.
+    """
+    rows = rows_of(docs, "_row")
+    found = anchors.spans(rows, Kind(True, window, gram), False, _locate(window), crowd)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = []
+            for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
+                data = text.as_buffer().to_pybytes()
+                gone = anchors.covered(len(data.split()), spans)
+                new.append(data if gone is None else None if gone.all() else cut_words(data, gone))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(new, pa.binary()).cast(pa.string())], names=["_row", "new"])
+
+    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType.simpleString()
+    out = (anchors.with_spans(rows, found).select("_row", "text", "spans").mapInArrow(apply, f"_row {kind}, new string")
+           .where("new IS NOT NULL"))
+    value = {"text": F.when(F.col("_row.text").isNotNull(), F.col("new")), "n_chars": F.char_length("new").cast("long")}
+    return out.select(*[value.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def report(docs: DataFrame, **method) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
     return without_repeats(docs, **method).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from hostshelf.llm import anchors
 from hostshelf.llm.anchors import Kind
+from hostshelf.llm.common import rows_of
 
 WINDOW, GRAM = 100, 24
 #: Bytes of block text behind one suffix array.
@@ -144,9 +145,9 @@ def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     which no part stands in another class is a group of its own occurrences.
     """
     kind = Kind(False, window, gram)
-    rows = anchors.rows_of(docs)
-    classed = anchors.staged(anchors.with_classes(anchors.repeated_blocks(rows, kind)), "classed")
-    texts = anchors.block_texts(anchors.representatives(classed), rows, kind)
+    rows = rows_of(docs)
+    classed, rivals = anchors.with_classes(anchors.repeated_blocks(rows, kind))
+    texts = anchors.block_texts(anchors.representatives(classed, rivals), rows, kind)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in anchors.grouped(batches, PORTION):
@@ -170,7 +171,7 @@ def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = anchors.CROWD) -> DataFrame:
     """One row per input row: doc_id, text_key, n_bytes, n_removed, n_spans, kept (binary)."""
     kind = Kind(False, window, gram)
-    rows = anchors.rows_of(docs)
+    rows = rows_of(docs)
     found = anchors.spans(rows, kind, True, _marks(window), crowd)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
