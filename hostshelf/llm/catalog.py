@@ -20,7 +20,7 @@ def op2_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_cover.near_components(documents(spark, sf_dir), shingle=4, radius=4)
+    return simhash_cover.report(documents(spark, sf_dir), shingle=4, radius=4)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op8_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_sort.exact_groups(documents(spark, sf_dir))
+    return content_sort.report(documents(spark, sf_dir))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

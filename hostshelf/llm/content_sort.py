@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import id_and_text, staged
+from hostshelf.llm.common import only, rows_of, staged
 
 #: Bytes of the text in the range key; bounds what the splitter sample sends to the driver.
 PREFIX_BYTES = 32
@@ -39,9 +39,9 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body = [t.as_buffer().to_pybytes().translate(None, _SPACE) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pc.utf8_length(batch.column("text")), pa.array([x[:PREFIX_BYTES] for x in body], pa.binary()),
+            [batch.column("doc_id"), batch.column("text_key"), pc.utf8_length(batch.column("text")), pa.array([x[:PREFIX_BYTES] for x in body], pa.binary()),
              pa.array(np.array([xxhash.xxh64_intdigest(x) for x in body], np.uint64).view(np.int64)), pa.array(body, pa.binary())],
-            names=["doc_id", "n", "prefix", "hash", "body"])
+            names=["doc_id", "text_key", "n", "prefix", "hash", "body"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,21 +59,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head.append(new)
             sha.append(digest)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(run, pa.int64()), pa.array(head, pa.bool_()), pa.array(sha, pa.string())],
-            names=["doc_id", "run", "head", "text_sha256"])
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(run, pa.int64()), pa.array(head, pa.bool_()), pa.array(sha, pa.string())],
+            names=["doc_id", "text_key", "run", "head", "text_sha256"])
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, text_key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; the row with the most
     code points in its original text, then the smallest doc_id, is kept.
     """
-    rows = id_and_text(docs).mapInArrow(_normalised, "doc_id long, n int, prefix binary, hash long, body binary")
+    rows = rows_of(docs).select("doc_id", "text_key", "text").mapInArrow(
+        _normalised, "doc_id long, text_key long, n int, prefix binary, hash long, body binary")
     best = [F.col("n").desc(), F.col("doc_id").asc_nulls_last()]
     runs = staged(rows.repartitionByRange("prefix", "hash", *best).sortWithinPartitions("prefix", "hash", "body", *best)
-                  .select("doc_id", "body")
-                  .mapInArrow(_runs, "doc_id long, run long, head boolean, text_sha256 string"), "runs")
+                  .select("doc_id", "text_key", "body")
+                  .mapInArrow(_runs, "doc_id long, text_key long, run long, head boolean, text_sha256 string"), "runs")
 
     heads = runs.where("head")
     part = F.shiftright("run", _RUN_SHIFT)
@@ -87,10 +88,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("root").agg(F.count("*").alias("group_size"))
     keepers = heads.select(F.col("run").alias("root"), F.col("doc_id").alias("keep_id")).join(sizes, "root")
     return rows.join(keepers, "root").select(
-        "doc_id", "keep_id", "group_size", (F.col("head") & (F.col("run") == F.col("root"))).alias("kept"),
+        "doc_id", "text_key", "keep_id", "group_size", (F.col("head") & (F.col("run") == F.col("root"))).alias("kept"),
         "text_sha256")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, with their own columns."""
+    kept = exact_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord"), "text_key")
+    return only(docs, kept)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return exact_groups(docs).drop("text_key")
+
+
 ORACLE = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
                   regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import components, id_and_text, staged
+from hostshelf.llm.common import components, keyed, only, staged
 
 BITS = 64
 _BLOCK = 512
@@ -54,13 +54,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, text_key and fp (the 64 bits as a signed long) of every row."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
-    return id_and_text(docs).mapInArrow(apply, "doc_id long, fp long")
+                [b.column("doc_id"), b.column("text_key"), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["doc_id", "text_key", "fp"])
+    return keyed(docs).mapInArrow(apply, "doc_id long, text_key long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -173,13 +174,24 @@ def _ended(batches):
 
 
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), one row per input row."""
+    """One row per input row: doc_id, text_key, fingerprint (16 hex digits), component_id (smallest doc_id reachable), root."""
     rows = staged(fingerprints(docs, shingle, seed), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(fps, radius))
     labelled = (fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                 .withColumn("root", F.coalesce("root", "fp")))
     ids = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(ids, "root").select("fp", "component_id")
+    by_fp = labelled.join(ids, "root").select("fp", "component_id", "root")
     return rows.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def report(docs: DataFrame, **method) -> DataFrame:
+    """One row per input row: doc_id, fingerprint, component_id."""
+    return near_components(docs, **method).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, **method) -> DataFrame:
+    """Of each component the row with the smallest doc_id (then text key), with its own columns."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord"), "text_key"))
+    return only(docs, near_components(docs, **method).groupBy("root").agg(first.alias("x")).select("x.*"))
