@@ -208,16 +208,16 @@ def repeated_blocks(rows: DataFrame, kind: Kind) -> DataFrame:
         "place", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("s"))
 
 
-def with_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(`found` plus its class's `members` and `first` place, the number `rivals` of classes of every contested gram)."""
-    classes = staged(found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first")), "classes")
-    rivals = classes.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1")
-    return staged(found.join(classes, ["h", "g", "n"]), "classed"), rivals
+def with_classes(found: DataFrame) -> DataFrame:
+    """`found` plus its class's `members` and `first` place."""
+    classes = found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first"))
+    return found.join(classes, ["h", "g", "n"])
 
 
-def representatives(classed: DataFrame, rivals: DataFrame) -> DataFrame:
-    """The first block of every class of a contested gram."""
-    return classed.where("place = first").dropDuplicates(["h", "g", "n"]).join(rivals, "h")
+def representatives(classed: DataFrame) -> DataFrame:
+    """The first block of every class of a contested gram, with `rivals`, the number of its gram's classes."""
+    reps = classed.where("place = first").dropDuplicates(["h", "g", "n"])
+    return reps.join(reps.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1"), "h")
 
 
 def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
@@ -244,7 +244,7 @@ def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
                 ("ord", pa.int64()), ("text_key", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()),
                 ("members", pa.int64()), ("rivals", pa.int64()), ("left", pa.int32()), ("body", pa.binary())]))
 
-    return (by_doc.join(rows.select("ord", "text_key", "text"), ["ord", "text_key"])
+    return (by_doc.join(rows, ["ord", "text_key"]).select("ord", "text_key", "blocks", "text")  # the same exchange as in `with_spans`
             .mapInArrow(apply, "ord long, text_key long, h long, s int, n int, members long, rivals long, left int, body binary"))
 
 
@@ -306,10 +306,9 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
 
     `in_task` gets an iterator of batches of `block_texts`, sorted by gram, and yields such spans.
     """
-    classed, rivals = with_classes(repeated_blocks(rows, kind))
+    classed = with_classes(repeated_blocks(rows, kind))
     whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n")
-    texts = block_texts(representatives(classed, rivals), rows, kind)
-    texts = staged(texts, "texts")
+    texts = block_texts(representatives(classed), rows, kind)
     few = (texts.where(F.col("rivals") <= crowd).repartition("h").sortWithinPartitions("h")
            .mapInArrow(in_task, "ord long, text_key long, s int, n int"))
     return whole.union(few).union(crowded(texts.where(F.col("rivals") > crowd), kind, first_only))

@@ -73,7 +73,7 @@ def _nullable(schema: T.StructType) -> T.StructType:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected `edges` (a, b): root is the component's smallest node.
+    """(node, root) for every node of the undirected `edges` (a, b) but the roots: root is the component's smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Every
     step is a grouped minimum (combined before the shuffle) and a join that

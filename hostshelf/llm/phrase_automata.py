@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,19 +135,20 @@ def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     A document of which no word is left goes; one without a repeat stays as it is.
     """
     rows = rows_of(docs, "_row")
-    found = anchors.spans(rows, Kind(True, window, gram), False, _locate(window), crowd)
+    found = anchors.spans(rows.drop("_row"), Kind(True, window, gram), False, _locate(window), crowd)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = []
-            for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
+            texts = pc.struct_field(b.column("_row"), "text").fill_null("")
+            for text, spans in zip(texts, b.column("spans").to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 gone = anchors.covered(len(data.split()), spans)
                 new.append(data if gone is None else None if gone.all() else cut_words(data, gone))
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(new, pa.binary()).cast(pa.string())], names=["_row", "new"])
 
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType.simpleString()
-    out = (anchors.with_spans(rows, found).select("_row", "text", "spans").mapInArrow(apply, f"_row {kind}, new string")
+    out = (anchors.with_spans(rows.select("_row", "ord", "text_key"), found).select("_row", "spans").mapInArrow(apply, f"_row {kind}, new string")
            .where("new IS NOT NULL"))
     value = {"text": F.when(F.col("_row.text").isNotNull(), F.col("new")), "n_chars": F.char_length("new").cast("long")}
     return out.select(*[value.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

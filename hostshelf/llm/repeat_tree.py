@@ -146,8 +146,8 @@ def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """
     kind = Kind(False, window, gram)
     rows = rows_of(docs)
-    classed, rivals = anchors.with_classes(anchors.repeated_blocks(rows, kind))
-    texts = anchors.block_texts(anchors.representatives(classed, rivals), rows, kind)
+    classed = anchors.with_classes(anchors.repeated_blocks(rows, kind))
+    texts = anchors.block_texts(anchors.representatives(classed), rows, kind)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in anchors.grouped(batches, PORTION):
