@@ -3,8 +3,9 @@
 A collection run becomes table rows by drawing group ids after the table's
 group mark (one group per run, or one per distinct sample key in a bulk
 backfill), numbering rows after the id mark in insert order, and stamping
-the insert time. The physical write is :meth:`SnapshotTable.append_run`;
-this function is the pure DataFrame part, usable on its own.
+the insert time. Both ids come from one staging (see :mod:`.ids`). The physical
+write is :meth:`SnapshotTable.append_run`; this is the DataFrame part, usable
+on its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import Kind, kind_of
-from ..session import checkpoint_dir
 from . import ids
 
 
@@ -24,22 +24,22 @@ def insert_time(value=None) -> Column:
     return F.lit(value).cast("timestamp_ntz") if not isinstance(value, Column) else value.cast("timestamp_ntz")
 
 
-def table_rows(rows: DataFrame, kind: str | Kind, *, group_mark: int, id_mark: int,
-               sample_key: list[str] | None = None, order: list[str] | None = None,
-               inserted_at=None) -> DataFrame:
-    """Table rows (the kind's columns, in order) for the runs in `rows`.
+def drawn(rows: DataFrame, kind: str | Kind, *, group_mark: int, id_mark: int, sample_key: list[str] | None = None,
+          order: list[str] | None = None, inserted_at=None) -> tuple[DataFrame, ids.Numbered]:
+    """(table rows, the numbering behind them). Without `sample_key` all rows are one run (one new group)."""
+    k = kind_of(kind)
+    n = ids.numbered(rows, list(sample_key or []), list(order or []))
+    group = F.col("key_no") if sample_key else F.lit(0).cast("long")
+    out = (n.rows.withColumn("group_id", ids.checked_int(group + F.lit(group_mark + 1).cast("long")))
+           .withColumn("id", ids.checked_int(F.col("row_no") + F.lit(id_mark + 1).cast("long")))
+           .withColumn("insertion_datetime", insert_time(inserted_at)))
+    return out.select(*k.columns), n
+
+
+def table_rows(rows: DataFrame, kind: str | Kind, **marks) -> DataFrame:
+    """Table rows (the kind's columns, in order) for the runs in `rows`; see `drawn`.
 
     `rows` holds the kind's figure columns plus `sample_key` / `order`
-    columns. Without `sample_key` all rows are one run (one new group).
+    columns. The staged copy stays in the shared folder while the result is used.
     """
-    k = kind_of(kind)
-    if sample_key:
-        # Group ids read the distinct keys and then join back, so materialise
-        # the run once (reliable checkpoint) rather than computing it twice.
-        checkpoint_dir(rows.sparkSession)
-        keyed = ids.assign_group_ids(rows.checkpoint(eager=True), sample_key, group_mark)
-    else:
-        keyed = rows.withColumn("group_id", F.lit(group_mark + 1).cast("int"))
-    keyed = keyed.withColumn("insertion_datetime", insert_time(inserted_at))
-    numbered = ids.assign_row_ids(keyed, ["group_id"] + list(order or []), id_mark)
-    return numbered.select(*k.columns)
+    return drawn(rows, kind, **marks)[0]

@@ -1,146 +1,118 @@
-"""Exact k-th largest (distinct) value of an integer column, without a global sort.
-
-Every "newest N" rule of the store (row offset, `limit_group`,
-`offset_group`, retention of the newest groups or keys) reduces to one
-cutoff: the k-th largest distinct value of `id` or `group_id`. The cutoff is
-returned to the driver as one integer, so the final predicate
-(`group_id >= cut`) is a literal that Parquet row-group statistics and
-bucket folders can prune on. No step ranks all rows in one partition.
-
-Strategies, chosen by k:
-
-* ``k <= topk_limit`` — one job. A top-(k·spread) over the raw column
-  (``TakeOrderedAndProject``: each task keeps at most that many values) gives
-  the answer whenever the top rows already hold k distinct values, which is
-  always the case for a unique column. If a few groups hold many rows, a
-  per-partition *distinct* top-k (Arrow batches, at most k values kept and
-  emitted per task) is merged instead; a hot group costs one value per task.
-* ``k > topk_limit`` — a radix descent on 16-bit digits: per level one
-  histogram of distinct values per digit (at most 65,536 rows), a running
-  sum over that small table picks the digit holding the k-th value, and the
-  next level only scans that range (pushed down as a literal range). The
-  last level has at most 65,536 distinct values, so its top-k is bounded too.
+"""Exact k-th largest value of an integer column: one range descent for every "newest N" rule.
+
+Row offset and limit, `limit_group`, `offset_group` and retention all reduce
+to cutoffs on `id` or `group_id`. A cutoff comes back to the driver as one
+integer, so the final predicate (`group_id >= cut`) is a literal that Parquet
+statistics and bucket folders can prune on.
+
+1. A one-row aggregate gives the column's least and largest value.
+2. The newest range, twice the largest rank wide, is read with literal bounds
+   and counted per bucket of equal width (at most `BUCKETS` rows come back). If
+   it holds too few values, the range grows by the factor `BUCKETS`.
+3. For each rank the bucket that holds it is cut into buckets again, all ranks
+   in one job, until a bucket is one value wide.
+
+Counts are of rows or of distinct values; both are combined in the map tasks,
+so a value that a third of all rows share sends one row per task. The same
+steps run for every rank and every table size, and no step sorts rows or
+collects anything but bucket counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_TOPK_LIMIT = 10_000
-# Top rows read per wanted value on the fast path before switching to the
-# per-partition distinct top-k.
-DEFAULT_SPREAD = 8
-_DIGIT_BITS = 16
+BUCKETS = 4096
+_LONG_MAX = (1 << 63) - 1
 
 
-def kth_largest(df: DataFrame, col: str, k: int, *, distinct: bool = True,
-                topk_limit: int = DEFAULT_TOPK_LIMIT) -> int | None:
-    """The k-th largest (distinct) non-null value of integer column `col`.
+class Cutoff(NamedTuple):
+    """A ranked value and how many rows (or distinct values) hold it."""
+    value: int
+    ties: int
 
-    Returns None when the column has fewer than k (distinct) values.
-    `distinct=False` is for a unique column (`id`), where rows and values agree.
+
+class _Range(NamedTuple):
+    lo: int
+    hi: int
+
+    @property
+    def width(self) -> int:
+        """Values per bucket."""
+        return -(-(self.hi - self.lo + 1) // BUCKETS)
+
+    def bucket(self, i: int) -> _Range:
+        top = self.hi - i * self.width
+        return _Range(max(self.lo, top - self.width + 1), top)
+
+
+def _histogram(values: DataFrame, ranges: list[_Range], distinct: bool) -> dict[tuple[int, int], int]:
+    """(range, bucket from its top) -> count, for all ranges in one job."""
+    v = F.col("v")
+    key = F.lit(None).cast("long")
+    for i, r in enumerate(ranges):
+        # A wide range is measured in decimals: hi - v can exceed a long.
+        kind = "decimal(20,0)" if r.hi - r.lo > _LONG_MAX else "bigint"
+        step = F.expr(f"(CAST('{r.hi}' AS {kind}) - CAST(v AS {kind})) div CAST('{r.width}' AS {kind})")
+        key = F.when((v >= F.lit(r.lo)) & (v <= F.lit(r.hi)), step + F.lit(i * BUCKETS)).otherwise(key)
+    inside = F.lit(False)
+    for r in ranges:
+        inside = inside | ((v >= F.lit(r.lo)) & (v <= F.lit(r.hi)))
+    count = F.countDistinct("v") if distinct else F.count(F.lit(1))
+    rows = values.where(inside).groupBy(key.alias("key")).agg(count.alias("n")).collect()
+    return {divmod(r["key"], BUCKETS): r["n"] for r in rows}
+
+
+def cutoffs(df: DataFrame, col: str, ranks: list[int], *, distinct: bool = True) -> dict[int, Cutoff | None]:
+    """The value at each rank (1 = largest) among the distinct values or, with `distinct=False`, the rows.
+
+    None where the column has fewer non-null values.
     """
-    if k <= 0:
+    if any(k <= 0 for k in ranks):
         raise ValueError("k must be positive")
     dtype = df.schema[col].dataType
     if not isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         raise TypeError(f"{col} must be an integer column, not {dtype.simpleString()}")
-    vals = df.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
-    if k <= topk_limit:
-        if not distinct:  # unique column: the k-th row is the k-th value
-            r = (vals.orderBy(F.desc("v")).limit(k)
-                 .agg(F.min("v").alias("cut"), F.count(F.lit(1)).alias("n")).first())
-            return r["cut"] if r["n"] >= k else None
-        decided = _from_top_rows(vals, [k], min(k * DEFAULT_SPREAD, max(topk_limit, k)))
-        if k in decided:
-            return decided[k]
-        return _partition_topk_distinct(vals, k)
-    return _radix_descent(vals, k, 64 if isinstance(dtype, T.LongType) else 32)
-
-
-def kth_largest_many(df: DataFrame, col: str, ks: list[int], *,
-                     topk_limit: int = DEFAULT_TOPK_LIMIT) -> dict[int, int | None]:
-    """Several distinct-value cutoffs of one column; small ranks share one job."""
-    ks = sorted({k for k in ks if k > 0})
-    if not ks:
+    if not ranks:
         return {}
-    out: dict[int, int | None] = {}
-    small = [k for k in ks if k <= topk_limit]
-    if small:
-        kmax = small[-1]
-        vals = df.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
-        out.update(_from_top_rows(vals, small, min(kmax * DEFAULT_SPREAD, max(topk_limit, kmax))))
-    for k in ks:
-        if k not in out:
-            out[k] = kth_largest(df, col, k, topk_limit=topk_limit)
-    return out
-
-
-def _from_top_rows(vals: DataFrame, ks: list[int], kp: int) -> dict[int, int | None]:
-    """Top-kp rows (bounded per task) → the cutoffs this sample decides."""
-    top = vals.orderBy(F.desc("v")).limit(kp)
-    per_value = top.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # At most kp rows reach this window, so one partition is bounded.
-    ranked = per_value.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("v"))))
-    r = ranked.agg(F.max("rk").alias("d"), F.sum("n").alias("rows"),
-                   *[F.min(F.when(F.col("rk") <= k, F.col("v"))).alias(f"c{i}")
-                     for i, k in enumerate(ks)]).first()
-    d, rows = (r["d"] or 0), (r["rows"] or 0)
-    decided: dict[int, int | None] = {}
-    for i, k in enumerate(ks):
-        if d >= k:
-            decided[k] = r[f"c{i}"]
-        elif rows < kp:  # every row was seen: fewer than k distinct values exist
-            decided[k] = None
-    return decided
-
-
-def _partition_topk_distinct(vals: DataFrame, k: int) -> int | None:
-    """Each task keeps its k largest distinct values; the merge sees ≤ k per task."""
-
-    def keep_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.empty(0, dtype=np.int64)
-        for b in batches:
-            arr = b.column(0).to_numpy(zero_copy_only=False)
-            if arr.size:
-                best = np.unique(np.concatenate([best, arr.astype(np.int64)]))[-k:]
-        yield pa.RecordBatch.from_arrays([pa.array(best, type=pa.int64())], names=["v"])
-
-    local = vals.mapInArrow(keep_top, "v long")
-    r = (local.distinct().orderBy(F.desc("v")).limit(k)
-         .agg(F.min("v").alias("cut"), F.count(F.lit(1)).alias("d")).first())
-    return r["cut"] if r["d"] >= k else None
-
-
-def _radix_descent(vals: DataFrame, k: int, width: int) -> int | None:
-    lo, hi = None, None  # current literal range [lo, hi]
-    remaining = k
-    shift = width - _DIGIT_BITS
+    values = df.select(F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull())
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if ends["hi"] is None:
+        return dict.fromkeys(ranks)
+    span = 2 * max(ranks)
     while True:
-        scope = vals
-        if lo is not None:
-            scope = scope.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-        if shift <= 0:
-            r = (scope.distinct().orderBy(F.desc("v")).limit(remaining)
-                 .agg(F.min("v").alias("cut"), F.count(F.lit(1)).alias("d")).first())
-            return r["cut"] if r["d"] >= remaining else None
-        digit = F.shiftright(F.col("v"), shift).alias("digit")
-        hist = scope.distinct().groupBy(digit).agg(F.count(F.lit(1)).alias("n"))
-        # At most 65,536 digit rows: a single-partition running sum is bounded.
-        w = Window.orderBy(F.desc("digit")).rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("cum", F.sum("n").over(w))
-        r = (cum.where(F.col("cum") >= remaining)
-             .agg(F.max_by(F.struct("digit", (F.col("cum") - F.col("n")).alias("before")),
-                           F.col("digit")).alias("pick")).first())
-        if r["pick"] is None:
-            return None
-        d, before = r["pick"]["digit"], r["pick"]["before"]
-        remaining -= before
-        lo, hi = d << shift, ((d + 1) << shift) - 1
-        shift -= _DIGIT_BITS
+        newest = _Range(max(ends["lo"], ends["hi"] - span + 1), ends["hi"])
+        counts = _histogram(values, [newest], distinct)
+        if sum(counts.values()) >= max(ranks) or newest.lo == ends["lo"]:
+            break
+        span *= BUCKETS
+    found: dict[int, Cutoff | None] = {}
+    ranges, at = [newest], {k: (0, k) for k in ranks}  # rank -> its range, the rank inside it
+    while at:
+        inner: dict[_Range, int] = {}
+        below = {}
+        for k, (i, rank) in at.items():
+            for b in sorted(b for r, b in counts if r == i):
+                if rank <= counts[i, b]:
+                    r = ranges[i].bucket(b)
+                    if r.lo == r.hi:
+                        found[k] = Cutoff(r.hi, counts[i, b])
+                    else:
+                        below[k] = (inner.setdefault(r, len(inner)), rank)
+                    break
+                rank -= counts[i, b]
+            else:
+                found[k] = None
+        ranges, at = list(inner), below
+        counts = _histogram(values, ranges, distinct) if at else {}
+    return {k: found[k] for k in ranks}
+
+
+def kth_largest(df: DataFrame, col: str, k: int, *, distinct: bool = True) -> int | None:
+    """The k-th largest (distinct) non-null value of integer column `col`, or None if there are fewer."""
+    cut = cutoffs(df, col, [k], distinct=distinct)[k]
+    return None if cut is None else cut.value

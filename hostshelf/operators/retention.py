@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_MAX_GROUPS, DEFAULT_MAX_SESSION_KEYS
-from .ranking import DEFAULT_TOPK_LIMIT, kth_largest
+from .ranking import kth_largest
 
 
 def as_timestamp(as_of) -> Column:
@@ -26,12 +26,11 @@ def as_timestamp(as_of) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
-def keep_newest_groups(table: DataFrame, keep: int, *, group_col: str = "group_id",
-                       topk_limit: int = DEFAULT_TOPK_LIMIT) -> DataFrame:
+def keep_newest_groups(table: DataFrame, keep: int, *, group_col: str = "group_id") -> DataFrame:
     """Rows of the `keep` newest groups (a group leaves with all its rows)."""
     if keep <= 0:
         return table.where(F.lit(False))
-    cut = kth_largest(table, group_col, keep, topk_limit=topk_limit)
+    cut = kth_largest(table, group_col, keep)
     if cut is None:
         return table
     return table.where(F.col(group_col) >= F.lit(cut).cast(table.schema[group_col].dataType))
@@ -51,15 +50,14 @@ def append_and_retain(old: DataFrame, new: DataFrame, max_groups: int = DEFAULT_
     return prune_before_insert(old, max_groups, **kw).unionByName(new.select(*old.columns))
 
 
-def retain_session_keys(keys: DataFrame, as_of, max_keys: int = DEFAULT_MAX_SESSION_KEYS,
-                        *, topk_limit: int = DEFAULT_TOPK_LIMIT) -> DataFrame:
+def retain_session_keys(keys: DataFrame, as_of, max_keys: int = DEFAULT_MAX_SESSION_KEYS) -> DataFrame:
     """RT-6: drop expired keys (valid_until < as_of) and keys beyond the newest
     ``max_keys - 1`` by id; the rank counts expired keys too."""
     keep = max_keys - 1
     if keep <= 0:
         return keys.where(F.lit(False))
     alive = F.col("valid_until") >= as_timestamp(as_of)
-    cut = kth_largest(keys, "id", keep, distinct=False, topk_limit=topk_limit)
+    cut = kth_largest(keys, "id", keep, distinct=False)
     if cut is None:
         return keys.where(alive)
     return keys.where(alive & (F.col("id") >= F.lit(cut).cast(keys.schema["id"].dataType)))

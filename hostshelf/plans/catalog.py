@@ -68,9 +68,10 @@ def _request(name: str, kind: str, form: dict, where_sql: str = "", tail: str =
     register(name, _sql_rows(view, where_sql, tail))(build)
 
 
-def _dense_rank_in(view: str, cond: str) -> str:
-    return (f"group_id IN (SELECT group_id FROM (SELECT DISTINCT group_id, DENSE_RANK() OVER "
-            f"(ORDER BY group_id DESC) AS group_rnk FROM {view}) t WHERE {cond})")
+def _newest(view: str, n: int) -> str:
+    """Rows of the n newest groups, by counting the distinct newer ones."""
+    return (f"group_id IN (SELECT group_id FROM (SELECT group_id, ROW_NUMBER() OVER (ORDER BY group_id DESC) AS place "
+            f"FROM (SELECT group_id FROM {view} GROUP BY group_id) AS ids) AS placed WHERE place <= {n})")
 
 
 # ---------------------------------------------------------------- sources (SRC, PRJ, FS-4)
@@ -136,28 +137,40 @@ _request("limit_rows", "ram", {"limit": "25"}, "", "LIMIT 25")
 _request("offset_rows", "net", {"offset": "500"}, "", "OFFSET 500")
 _request("page_rows", "cpu", {"utilization_min": "50", "limit": "10", "offset": "5"},
          "utilization >= 50", "LIMIT 10 OFFSET 5")
-# Past the top-k bound: exact id cutoffs + distributed sort instead of one top-k task.
-_request("page_rows_wide", "file", {"limit": "12000", "offset": "300"}, "", "LIMIT 12000 OFFSET 300")
+# A wide page with rows left out at both ends.
+_request("page_rows_wide", "ram", {"limit": "12000", "offset": "300"}, "", "LIMIT 12000 OFFSET 300")
 
 # ---------------------------------------------------------------- group paging (GP-1…7)
-_request("group_limit", "file", {"limit_group": "10"}, _dense_rank_in("info_file", "group_rnk <= 10"))
-_request("group_offset", "file", {"offset_group": "20"}, _dense_rank_in("info_file", "group_rnk > 20"))
+_request("group_limit", "file", {"limit_group": "10"}, _newest("info_file", 10))
+_request("group_offset", "file", {"offset_group": "20"}, "NOT " + _newest("info_file", 20))
 _request("group_page", "file", {"limit_group": "30", "offset_group": "20"},
-         _dense_rank_in("info_file", "group_rnk <= 30") + " AND " +
-         _dense_rank_in("info_file", "group_rnk > 20"))
+         _newest("info_file", 30) + " AND " +
+         "NOT " + _newest("info_file", 20))
 _request("group_page_empty", "file", {"limit_group": "10", "offset_group": "10"},
-         _dense_rank_in("info_file", "group_rnk <= 10") + " AND " +
-         _dense_rank_in("info_file", "group_rnk > 10"))
+         _newest("info_file", 10) + " AND " +
+         "NOT " + _newest("info_file", 10))
 _request("group_limit_filtered", "file", {"used_percent_min": "0.05", "limit_group": "3"},
-         "used_percent >= 0.05 AND " + _dense_rank_in("info_file", "group_rnk <= 3"))
+         "used_percent >= 0.05 AND " + _newest("info_file", 3))
 _request("group_then_row_page", "file",
          {"limit_group": "50", "offset_group": "5", "limit": "100", "offset": "20", "used_min": "20"},
-         "used >= 20 AND " + _dense_rank_in("info_file", "group_rnk <= 50") + " AND " +
-         _dense_rank_in("info_file", "group_rnk > 5"), "LIMIT 100 OFFSET 20")
-# Ranks beyond the top-k bound: radix descent on group_id.
+         "used >= 20 AND " + _newest("info_file", 50) + " AND " +
+         "NOT " + _newest("info_file", 5), "LIMIT 100 OFFSET 20")
+# High ranks.
 _request("group_page_wide", "ram", {"limit_group": "12000", "offset_group": "10500"},
-         _dense_rank_in("info_ram", "group_rnk <= 12000") + " AND " +
-         _dense_rank_in("info_ram", "group_rnk > 10500"))
+         _newest("info_ram", 12000) + " AND " +
+         "NOT " + _newest("info_ram", 10500))
+
+
+# Groups of 160 rows: the disk table with 20 snapshots to a group.
+_WIDE_GROUPS = ("SELECT id, CAST(FLOOR(group_id / 20) AS INT) AS group_id, path, total, used, free, used_percent, "
+                "insertion_datetime FROM {info_file}")
+
+
+@register("group_page_many_rows", f"{with_clause('info_file')},\nwide AS ({_WIDE_GROUPS.format(info_file='info_file')})\n"
+          "SELECT * FROM wide WHERE " + _newest("wide", 30) + " AND NOT " + _newest("wide", 20))
+def _group_page_many_rows(spark, sf_dir):
+    wide = spark.sql(_WIDE_GROUPS, info_file=_fx(spark, sf_dir).info_file)
+    return info_query(wide, "file", {"limit_group": "30", "offset_group": "20"})
 
 
 @register("distinct_groups", f"{with_clause('info_file')}\nSELECT DISTINCT group_id FROM info_file")
@@ -165,13 +178,10 @@ def _distinct_groups(spark, sf_dir):
     return paging.distinct_groups(_fx(spark, sf_dir).info_file)
 
 
-@register("group_rank", f"{with_clause('info_file')}\nSELECT group_id, CAST(DENSE_RANK() OVER "
-                        "(ORDER BY group_id DESC) AS BIGINT) AS group_rnk FROM (SELECT DISTINCT group_id FROM info_file) d")
+@register("group_rank", f"{with_clause('info_file')}\nSELECT group_id, ROW_NUMBER() OVER (ORDER BY group_id DESC) "
+          "AS newest_rank FROM (SELECT group_id FROM info_file GROUP BY group_id) AS ids")
 def _group_rank(spark, sf_dir):
-    # Distributed dense rank: staged range partitioning + per-partition offsets.
-    d = paging.distinct_groups(_fx(spark, sf_dir).info_file)
-    return ids.sequence(d, [F.desc("group_id")], "group_rnk", start=1).select(
-        "group_id", F.col("group_rnk").cast("long").alias("group_rnk"))
+    return paging.group_rank(_fx(spark, sf_dir).info_file)
 
 
 # ---------------------------------------------------------------- retention (RT-1…6)
@@ -181,7 +191,7 @@ for _kind, _view in TABLE_OF.items():
             return retention.prune_before_insert(_fx(spark, sf_dir).view(view), 100)
         return build
     register(f"retain_{_kind}", f"{with_clause(_view)}\nSELECT * FROM {_view} WHERE "
-             + _dense_rank_in(_view, "group_rnk <= 99"))(_mk())
+             + _newest(_view, 99))(_mk())
 
 _NEW_FILE_ROWS_SQL = (
     "SELECT CAST((SELECT MAX(id) FROM info_file) + ROW_NUMBER() OVER (ORDER BY event_id) AS INT) AS id, "
@@ -194,7 +204,7 @@ _NEW_FILE_ROWS_SQL = (
 
 @register("append_and_retain",
           f"{with_clause('info_file', 'raw_partition')}\nSELECT * FROM info_file WHERE "
-          + _dense_rank_in("info_file", "group_rnk <= 99") + f"\nUNION ALL\n{_NEW_FILE_ROWS_SQL}")
+          + _newest("info_file", 99) + f"\nUNION ALL\n{_NEW_FILE_ROWS_SQL}")
 def _append_and_retain(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     old = fx.info_file
@@ -209,10 +219,14 @@ def _append_and_retain(spark, sf_dir):
     return retention.append_and_retain(old, new, 100)
 
 
+def _kept_keys(newest: int) -> str:
+    """Unexpired keys at or above the least of the newest ids."""
+    return (f"SELECT * FROM session_keys WHERE valid_until >= TIMESTAMP '{AS_OF}' AND id >= "
+            f"(SELECT MIN(id) FROM (SELECT id FROM session_keys ORDER BY id DESC LIMIT {newest}) AS newest)")
+
+
 @register("retain_session_keys",
-          f"{with_clause('session_keys')}\nSELECT * FROM session_keys WHERE NOT (valid_until < "
-          f"TIMESTAMP '{AS_OF}' OR id IN (SELECT id FROM (SELECT ROW_NUMBER() OVER (ORDER BY id DESC) "
-          "AS id_rn, id FROM session_keys) t WHERE id_rn > 500))")
+          f"{with_clause('session_keys')}\n" + _kept_keys(500))
 def _retain_keys(spark, sf_dir):
     return retention.retain_session_keys(_fx(spark, sf_dir).session_keys, AS_OF, 501)
 
@@ -248,9 +262,7 @@ def _key_expiry(spark, sf_dir):
 
 
 @register("session_key_save",
-          f"{with_clause('session_keys')}\nSELECT * FROM session_keys WHERE NOT (valid_until < "
-          f"TIMESTAMP '{AS_OF}' OR id IN (SELECT id FROM (SELECT ROW_NUMBER() OVER (ORDER BY id DESC) "
-          "AS id_rn, id FROM session_keys) t WHERE id_rn > 59))\nUNION ALL\n"
+          f"{with_clause('session_keys')}\n" + _kept_keys(59) + "\nUNION ALL\n"
           "SELECT CAST((SELECT MAX(id) FROM session_keys) + 1 AS INT) AS id, "
           "CONCAT('key-', CAST(MAX(event_id) AS VARCHAR(20))) AS session_key, "
           f"TIMESTAMP '{AS_OF}' AS creation_datetime, TIMESTAMP '{AS_OF}' + INTERVAL '60' MINUTE AS valid_until "

@@ -15,27 +15,25 @@ from pyspark.sql import DataFrame
 
 from ..functions.filters import QuerySpec, resolve
 from ..operators.paging import group_bounds, page_rows
-from ..operators.ranking import DEFAULT_TOPK_LIMIT
 from ..schemas import Kind, kind_of
 from ..sources.tables import project
 
 
-def build(table: DataFrame, spec: QuerySpec, *, topk_limit: int = DEFAULT_TOPK_LIMIT) -> DataFrame:
+def build(table: DataFrame, spec: QuerySpec) -> DataFrame:
     base = project(table, spec.kind)
     out = base
     where = spec.where()
     if where is not None:
         out = out.where(where)
-    groups = group_bounds(base, spec.limit_group, spec.offset_group, topk_limit=topk_limit)
+    groups = group_bounds(base, spec.limit_group, spec.offset_group)
     if groups is not None:
         out = out.where(groups)
-    return page_rows(out, spec.limit, spec.offset, topk_limit=topk_limit)
+    return page_rows(out, spec.limit, spec.offset)
 
 
-def info_query(table: DataFrame, kind: str | Kind, form: Mapping[str, Any] | None = None,
-               *, topk_limit: int = DEFAULT_TOPK_LIMIT) -> DataFrame:
+def info_query(table: DataFrame, kind: str | Kind, form: Mapping[str, Any] | None = None) -> DataFrame:
     """Rows of `table` (of the given kind) that match the request fields.
 
     >>> info_query(cpu_df, "cpu", {"limit": "50", "start_datetime": "2026-07-01T00:00:00Z"})
     """
-    return build(table, resolve(kind_of(kind), form), topk_limit=topk_limit)
+    return build(table, resolve(kind_of(kind), form))

@@ -70,40 +70,56 @@ def test_row_paging_offset_before_limit(fx, limit, offset):
     assert got == exp
 
 
-def test_wide_page_uses_cutoffs_not_single_topk(fx):
-    all_ids = sorted((r.id for r in fx.info_cpu.select("id").collect()), reverse=True)
-    got = [r.id for r in paging.page_rows(fx.info_cpu, 50, 20, topk_limit=10).collect()]
-    assert got == all_ids[20:70]
+@pytest.mark.parametrize("per_group", [1, 8, 9, 1000])
+def test_cutoffs_match_sorted_values_for_any_rank(spark, per_group):
+    n = 3000 // per_group + 5
+    df = spark.range(n * per_group).selectExpr(f"CAST(id / {per_group} AS INT) * 3 AS group_id", "id").repartition(4)
+    values = [3 * g for g in reversed(range(n))]
+    ranks = sorted({1, 2, min(7, n), n - 1, n, n + 1, 5 * n} - {0})
+    got = ranking.cutoffs(df, "group_id", ranks)
+    assert {k: c and c.value for k, c in got.items()} == {k: values[k - 1] if k <= n else None for k in ranks}
+    rows = ranking.cutoffs(df, "group_id", ranks, distinct=False)
+    assert {k: c and (c.value, c.ties) for k, c in rows.items()} == {
+        k: (values[(k - 1) // per_group], per_group) if k <= n * per_group else None for k in ranks}
+
+
+def test_hot_group_and_many_groups(spark):
+    df = spark.createDataFrame([(1,)] * 5000 + [(g,) for g in range(2, 40)], "group_id int").repartition(4)
+    assert kth_largest(df, "group_id", 39) == 1
+    assert kth_largest(df, "group_id", 40) is None
+    wide = spark.range(20_000).selectExpr("id * 1000003 AS g")
+    assert kth_largest(wide, "g", 12_345) == (20_000 - 12_345) * 1000003
 
 
-@pytest.mark.parametrize("k", [1, 2, 7, 50, 124, 125, 126, 1000])
-def test_kth_largest_strategies_agree(spark, fx, file_groups, k):
-    exp = int(file_groups[k - 1]) if k <= len(file_groups) else None
-    df = fx.info_file
-    assert kth_largest(df, "group_id", k) == exp
-    assert ranking._partition_topk_distinct(df.select(F.col("group_id").cast("long").alias("v")), k) == exp
-    assert kth_largest(df, "group_id", k, topk_limit=0) == exp  # radix descent
+def test_rank_of_rows_and_of_distinct_values_differ_the_same_way_at_any_size(spark):
+    df = spark.createDataFrame([(v,) for v in (9, 9, 9, 8, 7)], "v long")
+    assert kth_largest(df, "v", 3, distinct=False) == 9 and kth_largest(df, "v", 3) == 7
+    big = df.crossJoin(spark.range(5000)).select("v")
+    assert kth_largest(big, "v", 15_000, distinct=False) == 9 and kth_largest(big, "v", 15_001, distinct=False) == 8
 
 
-def test_kth_largest_negative_and_long_values(spark):
-    vals = [-(2 ** 40), -5, -5, 0, 3, 2 ** 33, 2 ** 33, 2 ** 50]
+def test_negative_long_and_extreme_values(spark):
+    vals = [-(2 ** 63), -(2 ** 40), -5, -5, 0, 3, 2 ** 33, 2 ** 33, 2 ** 50, 2 ** 63 - 1, None]
     df = spark.createDataFrame([(v,) for v in vals], "v long")
-    uniq = sorted(set(vals), reverse=True)
-    for k in range(1, len(uniq) + 2):
-        exp = uniq[k - 1] if k <= len(uniq) else None
-        assert kth_largest(df, "v", k) == exp
-        assert kth_largest(df, "v", k, topk_limit=0) == exp
+    uniq = sorted({v for v in vals if v is not None}, reverse=True)
+    got = ranking.cutoffs(df, "v", list(range(1, len(uniq) + 2)))
+    assert [c and c.value for c in got.values()] == [*uniq, None]
+    assert ranking.cutoffs(df.where("v IS NULL"), "v", [1]) == {1: None}
 
 
-def test_hot_group_goes_through_partition_topk(spark):
-    # one group holds most rows: the top rows alone cannot decide the cutoff
-    rows = [(1,)] * 5000 + [(g,) for g in range(2, 40)]
-    df = spark.createDataFrame(rows, "group_id int").repartition(4)
-    assert kth_largest(df, "group_id", 39) == 1
-    assert kth_largest(df, "group_id", 40) is None
+def test_page_border_must_be_unique(spark):
+    df = spark.createDataFrame([(9,), (9,), (8,)], "id int")
+    with pytest.raises(ValueError):
+        paging.page_rows(df, 1)
+    assert [r.id for r in paging.page_rows(df.distinct(), 1, 1).collect()] == [8]
+
+
+def test_unordered_page_has_the_same_rows(fx):
+    a = paging.page_rows(fx.info_cpu, 50, 20).collect()
+    assert sorted(a) == sorted(paging.page_rows(fx.info_cpu, 50, 20, ordered=False).collect()) and len(a) == 50
 
 
 def test_group_rank_partitioned(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2), ("b", 9)], "host string, group_id int")
-    got = {(r.host, r.group_id): r.group_rnk for r in paging.group_rank(df, partition_cols=("host",)).collect()}
+    got = {(r.host, r.group_id): r.newest_rank for r in paging.group_rank(df, partition_cols=("host",)).collect()}
     assert got == {("a", 3): 1, ("a", 1): 2, ("b", 9): 1, ("b", 2): 2}
