@@ -26,11 +26,29 @@ def render_timestamps(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def plain_number(value: Column) -> Column:
+    """A double in plain digits for magnitudes from 1e-6 to 1e21; others keep an exponent."""
+    text, size = value.cast("string"), F.abs(value)
+    exact = F.when(size < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
+        text.try_cast("decimal(38,16)").cast("string"))
+    digits = F.regexp_replace(exact, "0+$", "")
+    digits = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(text.contains("E") & (size >= 1e-6) & (size < 1e21), digits).otherwise(text)
+
+
 def json_rows(df: DataFrame, kind: str | Kind, out_col: str = "json") -> DataFrame:
-    """One JSON object per row with the table's field names in order.
+    """One JSON object per row with the table's field names in order, doubles in plain digits.
 
     `id` is kept beside the text so callers can keep the newest-first order.
     """
     k = kind_of(kind)
     rendered = render_timestamps(df.select(*k.columns))
-    return rendered.select("id", F.to_json(F.struct(*k.columns)).alias(out_col))
+
+    def member(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.DoubleType):
+            return F.concat(F.lit(f'"{f.name}":'), plain_number(F.col(f.name)))
+        one = F.to_json(F.struct(f.name))  # {"name":value}
+        return F.substring(one, F.lit(2), F.length(one) - 2)
+
+    text = F.concat(F.lit("{"), F.concat_ws(",", *[member(f) for f in k.schema]), F.lit("}"))
+    return rendered.select("id", text.alias(out_col))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import current_time
 from ..schemas import Kind, kind_of
 from . import ids
 
@@ -20,7 +21,7 @@ from . import ids
 def insert_time(value=None) -> Column:
     """Insert time without zone: a fixed value, or the store clock."""
     if value is None:
-        return F.current_timestamp().cast("timestamp_ntz")
+        return current_time()
     return F.lit(value).cast("timestamp_ntz") if not isinstance(value, Column) else value.cast("timestamp_ntz")
 
 

@@ -32,15 +32,19 @@ def key_expiry(created, minutes: int = DEFAULT_KEY_LIFETIME_MINUTES) -> Column:
     return base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
 
 
+def new_key_rows(new_keys: DataFrame, as_of, lifetime_minutes: int = DEFAULT_KEY_LIFETIME_MINUTES) -> DataFrame:
+    """SNK-5: rows of new keys (`id`, `session_key`) created at `as_of`."""
+    now = as_timestamp(as_of)
+    return new_keys.select(F.col("id").cast("int").alias("id"), F.col("session_key"), now.alias("creation_datetime"),
+                           key_expiry(now, lifetime_minutes).alias("valid_until"))
+
+
 def session_key_save(keys: DataFrame, new_keys: DataFrame, as_of,
                      max_keys: int = DEFAULT_MAX_SESSION_KEYS,
                      lifetime_minutes: int = DEFAULT_KEY_LIFETIME_MINUTES) -> DataFrame:
     """SK-4: retain (RT-6), then insert the new keys created at `as_of`.
 
-    `new_keys` carries `id` and `session_key` (ids from :mod:`.ids`).
+    `new_keys` carries `id` and `session_key` (ids from :mod:`.ids`). The stored
+    form, with its own id mark, is :class:`hostshelf.sinks.store.KeyTable`.
     """
-    now = as_timestamp(as_of)
-    fresh = new_keys.select(
-        F.col("id").cast("int").alias("id"), F.col("session_key"),
-        now.alias("creation_datetime"), key_expiry(now, lifetime_minutes).alias("valid_until"))
-    return retain_session_keys(keys, as_of, max_keys).unionByName(fresh)
+    return retain_session_keys(keys, as_of, max_keys).unionByName(new_key_rows(new_keys, as_of, lifetime_minutes))

@@ -1,15 +1,14 @@
 """Raw samples → snapshot rows (AG-1…17).
 
-Each raw table carries a `sample_id`. Every fold is a ``groupBy(sample_id)``
+Each raw table carries a `sample_id`. Every fold is one ``groupBy(sample_id)``
 with partially aggregatable functions (count, sum, avg, min_by, distinct
 count of a small-domain column), so a hot sample is combined map-side and
-sends one row per task through the shuffle. The per-part results are then
-joined on `sample_id`; each side is already hash-partitioned on it, so the
-joins add no further exchange.
+sends one row per task through the shuffle. The results are joined on
+`sample_id` to the samples that were read.
 
 Rules kept from the collector: a whole sample is dropped when a required
-part is unreadable (inner join / flag), optional figures default to 0, the
-first core gives the model name and base speed, uptime is stored in
+part is unreadable (a flag of the sample's host row), optional figures default
+to 0, the first core gives the model name and base speed, uptime is stored in
 nanoseconds.
 """
 
@@ -42,31 +41,19 @@ def core_counts(cores: DataFrame) -> DataFrame:
 
 
 def core_stats(cores: DataFrame, order: tuple[str, ...] = ("core_no", "tie1", "tie2", "mhz")) -> DataFrame:
-    """AG-1/2/4 in one pass: first core's name and speed, logical cores, mean MHz."""
+    """AG-1/2/3/4 in one pass: first core's name and speed, physical and logical cores, mean MHz."""
     pick = F.min_by(F.struct(F.col("model_name"), F.col("mhz")), F.struct(*[F.col(c) for c in order]))
     return (cores.groupBy("sample_id")
             .agg(pick.alias("_first"), F.count(F.lit(1)).cast("int").alias("logical_cores"),
+                 F.countDistinct("phys_core").cast("int").alias("physical_cores"),
                  F.avg("mhz").alias("current_speed_mhz"))
-            .select("sample_id", F.col("_first.model_name").alias("name"),
-                    F.col("_first.mhz").alias("base_speed_mhz"), "logical_cores", "current_speed_mhz"))
-
-
-def physical_core_count(cores: DataFrame) -> DataFrame:
-    """AG-3: distinct physical core ids per sample (deduplicated map-side first)."""
-    return cores.groupBy("sample_id").agg(F.countDistinct("phys_core").cast("int").alias("physical_cores"))
+            .select("sample_id", F.col("_first.model_name").alias("name"), F.col("_first.mhz").alias("base_speed_mhz"),
+                    "physical_cores", "logical_cores", "current_speed_mhz"))
 
 
 def first_or_zero(values: Column) -> Column:
-    """AG-5: first element of a list, 0 when the list is empty or missing.
-
-    A scalar column (one reading per sample) is treated as a one-element list.
-    """
-    return F.coalesce(values, F.lit(0.0))
-
-
-def first_element_or_zero(arr: Column) -> Column:
-    """AG-5 for an array column."""
-    return F.coalesce(F.try_element_at(arr, F.lit(1)), F.lit(0.0))
+    """AG-5: first element of a list, 0 when the list is empty, missing, or starts with a null."""
+    return F.coalesce(F.get(values, F.lit(0)), F.lit(0.0))
 
 
 def process_totals(procs: DataFrame) -> DataFrame:
@@ -97,35 +84,37 @@ def connection_counts(conns: DataFrame) -> DataFrame:
 
 
 def ram_project(memory: DataFrame) -> DataFrame:
-    """AG-12: the five memory figures under the table's names."""
-    return memory.select("sample_id", F.col("total_b").alias("total"), F.col("used_b").alias("used"),
-                         F.col("free_b").alias("free"), F.col("committed_as").alias("commited"),
-                         F.col("cached_b").alias("cached"))
+    """AG-12: the five memory figures under the table's names.
 
+    AG-14: with a flag `mem_ok`, a sample whose memory is unreadable is dropped.
+    """
+    readable = memory.where("mem_ok") if "mem_ok" in memory.columns else memory
+    return readable.select("sample_id", F.col("total_b").alias("total"), F.col("used_b").alias("used"),
+                           F.col("free_b").alias("free"), F.col("committed_as").alias("commited"),
+                           F.col("cached_b").alias("cached"))
+
+
+USAGE = ("total", "used", "free", "used_percent")
 
-def file_project(partitions: DataFrame) -> DataFrame:
-    """AG-13: one row per partition with a usage figure; the rest are dropped.
 
-    The usage figures are derived from the raw `value` reading: total is a
-    fixed capacity, used is its whole part, used_percent passes through.
+def file_project(partitions: DataFrame, order: str = "event_id") -> DataFrame:
+    """AG-13: one row per partition with its usage figures as read; partitions without them are dropped.
+
+    AG-14: with a flag `parts_ok`, a sample whose partition list is unreadable is dropped.
     """
-    used = F.floor(F.col("value")).cast("long")
-    return (partitions.where(F.col("usage_ok"))
-            .select("sample_id", "event_id", F.col("mountpoint").alias("path"),
-                    F.lit(100000).cast("long").alias("total"), used.alias("used"),
-                    (F.lit(100000).cast("long") - used).alias("free"),
-                    (F.col("value") / F.lit(1000)).alias("used_percent")))
+    readable = partitions.where("parts_ok") if "parts_ok" in partitions.columns else partitions
+    return readable.where("usage_ok").select("sample_id", order, F.col("mountpoint").alias("path"), *USAGE)
 
 
 def cpu_snapshot(host: DataFrame, cores: DataFrame, procs: DataFrame) -> DataFrame:
     """AG-14/15/16: one CPU snapshot per readable sample.
 
     `host` has one row per sample (`cpu_ok` false = CPU info unreadable →
-    sample dropped); missing cores or processes give zeros and an empty name.
+    sample dropped; `utilization` is the list of readings); missing cores or
+    processes give zeros and an empty name.
     """
     base = host.where(F.col("cpu_ok")).select("sample_id", "utilization", "uptime_s")
-    per_core = core_stats(cores).join(physical_core_count(cores), "sample_id")
-    out = base.join(per_core, "sample_id", "left").join(process_totals(procs), "sample_id", "left")
+    out = base.join(core_stats(cores), "sample_id", "left").join(process_totals(procs), "sample_id", "left")
     return out.select(
         "sample_id",
         F.coalesce(F.col("name"), F.lit("")).alias("name"),
@@ -140,12 +129,22 @@ def cpu_snapshot(host: DataFrame, cores: DataFrame, procs: DataFrame) -> DataFra
         uptime_ns(F.col("uptime_s")).alias("uptime"))
 
 
-def net_snapshot(ifaces: DataFrame, conns: DataFrame) -> DataFrame:
-    """AG-17: counters and connection count of one sample.
+def net_snapshot(host: DataFrame, ifaces: DataFrame, conns: DataFrame) -> DataFrame:
+    """AG-10/14/17: counters and connection count of every readable sample.
 
-    A sample exists when its interface counters were read (rows in `ifaces`);
-    a sample without connection rows has 0 connections.
+    `host` has one row per sample; `net_ok` or `conn_ok` false means that the
+    counters or the connections could not be read, and drops the sample. A
+    sample without interfaces, or without connections, has zeros.
     """
-    out = net_totals(ifaces).join(connection_counts(conns), "sample_id", "left")
-    return out.select("sample_id", *NET_COUNTERS,
+    read = host.where(F.col("net_ok") & F.col("conn_ok")).select("sample_id")
+    out = (read.join(net_totals(ifaces), "sample_id", "left")
+           .join(connection_counts(conns), "sample_id", "left"))
+    return out.select("sample_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in NET_COUNTERS],
                       F.coalesce(F.col("connections"), F.lit(0)).cast("int").alias("connections"))
+
+
+def unsigned_long(sample: Column) -> Column:
+    """An unsigned 64-bit reading (`decimal(20,0)`) as the table's signed column; one that does not fit raises."""
+    fits = sample.between(F.lit(0), F.lit(2 ** 63 - 1))
+    return F.when(sample.isNull(), F.lit(None).cast("long")).when(fits, sample.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("reading does not fit: "), sample.cast("string"))).cast("long"))

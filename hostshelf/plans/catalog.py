@@ -92,13 +92,13 @@ _RANGES = {
             "current_speed_mhz": (2100, 2300.25), "base_speed_mhz": (3100, 3300),
             "processes_amount": (150, 250), "threads_amount": (1500, 3000),
             "handles_amount": (6000, 9000), "uptime": (30000000000000, 150000000000000)},
-    "ram": {"total": (16000000000, 16000000000), "used": (100000000, 300000000),
+    "ram": {"total": (17000000000, 19000000000), "used": (100000000, 300000000),
             "free": (15800000000, 15950000000), "commited": (50000000, 120000000),
             "cached": (200000000, 900000000)},
     "net": {"bytes_sent": (100000, 250000), "bytes_recv": (50000, 120000),
             "packets_sent": (50, 120), "packets_recv": (100, 250), "err_in": (1, 2),
             "err_out": (0, 1), "connections": (2, 5)},
-    "file": {"total": (100000, 100000), "used": (100, 300), "free": (99800, 99950),
+    "file": {"total": (150000, 200000), "used": (100, 300), "free": (99800, 99950),
              "used_percent": (0.05, 0.2)},
 }
 for _kind, _cols in _RANGES.items():
@@ -196,19 +196,17 @@ for _kind, _view in TABLE_OF.items():
 _NEW_FILE_ROWS_SQL = (
     "SELECT CAST((SELECT MAX(id) FROM info_file) + ROW_NUMBER() OVER (ORDER BY event_id) AS INT) AS id, "
     "CAST((SELECT MAX(group_id) FROM info_file) + 1 AS INT) AS group_id, mountpoint AS path, "
-    "CAST(100000 AS BIGINT) AS total, CAST(FLOOR(value) AS BIGINT) AS used, "
-    "100000 - CAST(FLOOR(value) AS BIGINT) AS free, value / 1000 AS used_percent, "
-    f"TIMESTAMP '{NEW_RUN_TIME}' AS insertion_datetime FROM raw_partition "
-    "WHERE usage_ok AND sample_id = (SELECT MAX(sample_id) FROM raw_partition)")
+    f"total, used, free, used_percent, TIMESTAMP '{NEW_RUN_TIME}' AS insertion_datetime FROM raw_usage "
+    "WHERE usage_ok AND sample_id = (SELECT MAX(sample_id) FROM raw_usage)")
 
 
 @register("append_and_retain",
-          f"{with_clause('info_file', 'raw_partition')}\nSELECT * FROM info_file WHERE "
+          f"{with_clause('info_file', 'raw_usage')}\nSELECT * FROM info_file WHERE "
           + _newest("info_file", 99) + f"\nUNION ALL\n{_NEW_FILE_ROWS_SQL}")
 def _append_and_retain(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     old = fx.info_file
-    raw = fx.raw_partition
+    raw = fx.raw_usage
     newest = kth_largest(raw, "sample_id", 1)
     run = snapshots.file_project(raw.where(F.col("sample_id") == F.lit(newest)))
     group = kth_largest(old, "group_id", 1)
@@ -277,6 +275,11 @@ def _session_key_save(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- snapshot folds (AG-1…17)
+def _host(fx: Fixtures) -> DataFrame:
+    """`raw_host` with its utilization as the list that a collector reads (empty when unreadable)."""
+    return fx.raw_host.withColumn("utilization", F.array_compact(F.array("utilization")))
+
+
 @register("cpu_mean_mhz", f"{with_clause('raw_core')}\nSELECT sample_id, ROUND(AVG(mhz), 6) AS current_speed_mhz "
           "FROM raw_core GROUP BY sample_id")
 def _cpu_mean_mhz(spark, sf_dir):
@@ -297,11 +300,17 @@ def _cpu_core_counts(spark, sf_dir):
     return snapshots.core_counts(_fx(spark, sf_dir).raw_core)
 
 
-@register("cpu_utilization_first", f"{with_clause('raw_host')}\nSELECT sample_id, "
-          "CASE WHEN utilization IS NULL THEN 0.0 ELSE utilization END AS utilization FROM raw_host")
+# Readings per sample: none, one or two, the first of which counts.
+_READINGS_SQL = ("CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_custkey % 2 = 0 THEN 1 ELSE 2 END AS n, "
+                 "o_totalprice / 10000 AS reading FROM")
+
+
+@register("cpu_utilization_first", f"SELECT o_orderkey AS sample_id, CASE WHEN n = 0 THEN 0.0 ELSE reading END AS utilization "
+          f"FROM (SELECT o_orderkey, {_READINGS_SQL} orders) AS r")
 def _cpu_utilization_first(spark, sf_dir):
-    h = _fx(spark, sf_dir).raw_host
-    return h.select("sample_id", snapshots.first_or_zero(F.col("utilization")).alias("utilization"))
+    r = spark.sql(f"SELECT o_orderkey AS sample_id, {_READINGS_SQL} {{orders}}", orders=_fx(spark, sf_dir).base("orders"))
+    readings = F.slice(F.array(F.col("reading"), F.lit(99.5)), F.lit(1), F.col("n"))
+    return r.select("sample_id", snapshots.first_or_zero(readings).alias("utilization"))
 
 
 @register("proc_totals", f"{with_clause('raw_process')}\nSELECT sample_id, CAST(COUNT(*) AS INT) AS processes_amount, "
@@ -332,18 +341,21 @@ def _net_connections(spark, sf_dir):
     return snapshots.connection_counts(_fx(spark, sf_dir).raw_connection)
 
 
-@register("ram_project", f"{with_clause('raw_memory')}\nSELECT sample_id, total_b AS total, used_b AS used, "
-          "free_b AS free, committed_as AS commited, cached_b AS cached FROM raw_memory")
+_RAM_BODY = ("SELECT sample_id, total_b AS total, used_b AS used, free_b AS free, committed_as AS commited, "
+             "cached_b AS cached FROM raw_memory_read WHERE mem_ok")
+
+
+@register("ram_project", f"{with_clause('raw_memory_read')}\n{_RAM_BODY}")
 def _ram_project(spark, sf_dir):
-    return snapshots.ram_project(_fx(spark, sf_dir).raw_memory)
+    return snapshots.ram_project(_fx(spark, sf_dir).raw_memory_read)
+
+
+_FILE_BODY = ("SELECT sample_id, event_id, mountpoint AS path, total, used, free, used_percent FROM raw_usage WHERE usage_ok")
 
 
-@register("file_project", f"{with_clause('raw_partition')}\nSELECT sample_id, event_id, mountpoint AS path, "
-          "CAST(100000 AS BIGINT) AS total, CAST(FLOOR(value) AS BIGINT) AS used, "
-          "100000 - CAST(FLOOR(value) AS BIGINT) AS free, value / 1000 AS used_percent "
-          "FROM raw_partition WHERE usage_ok")
+@register("file_project", f"{with_clause('raw_usage')}\n{_FILE_BODY}")
 def _file_project(spark, sf_dir):
-    return snapshots.file_project(_fx(spark, sf_dir).raw_partition)
+    return snapshots.file_project(_fx(spark, sf_dir).raw_usage)
 
 
 @register("cpu_snapshot", f"{with_clause('raw_host', 'raw_core', 'raw_process')},\n"
@@ -363,17 +375,22 @@ def _file_project(spark, sf_dir):
           "LEFT JOIN pt ON pt.sample_id = h.sample_id WHERE h.cpu_ok")
 def _cpu_snapshot(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    s = snapshots.cpu_snapshot(fx.raw_host, fx.raw_core, fx.raw_process)
+    s = snapshots.cpu_snapshot(_host(fx), fx.raw_core, fx.raw_process)
     return s.withColumn("current_speed_mhz", F.round("current_speed_mhz", 6))
 
 
-@register("net_snapshot", f"{with_clause('raw_iface', 'raw_connection')},\n"
-          f"t AS (SELECT sample_id, {_NET_SUMS} FROM raw_iface GROUP BY sample_id),\n"
-          "c AS (SELECT sample_id, COUNT(*) AS n FROM raw_connection GROUP BY sample_id)\n"
-          "SELECT t.*, CAST(COALESCE(c.n, 0) AS INT) AS connections FROM t LEFT JOIN c ON c.sample_id = t.sample_id")
+# Written from the rule: every sample whose counters and connections were read, with zeros for what it lacks.
+_NET_BODY = ("SELECT h.sample_id, " + ", ".join(
+    f"(SELECT CAST(COALESCE(SUM(i.{c}), 0) AS BIGINT) FROM raw_iface AS i WHERE i.sample_id = h.sample_id) AS {c}"
+    for c in snapshots.NET_COUNTERS) + ", (SELECT CAST(COUNT(*) AS INT) FROM raw_connection AS c "
+    "WHERE c.sample_id = h.sample_id) AS connections FROM raw_net_host AS h WHERE h.net_ok AND h.conn_ok")
+_NET_VIEWS = ("raw_net_host", "raw_iface", "raw_connection")
+
+
+@register("net_snapshot", f"{with_clause(*_NET_VIEWS)}\n{_NET_BODY}")
 def _net_snapshot(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return snapshots.net_snapshot(fx.raw_iface, fx.raw_connection)
+    return snapshots.net_snapshot(fx.raw_net_host, fx.raw_iface, fx.raw_connection)
 
 
 # ---------------------------------------------------------------- appends (SNK-1…5)
@@ -401,20 +418,12 @@ def _append_entry(name, kind, with_views, body, build_rows, order=None, excl="")
     register(name, oracle)(build)
 
 
-_append_entry("append_ram", "ram", with_clause("raw_memory"),
-              "SELECT sample_id, total_b AS total, used_b AS used, free_b AS free, committed_as AS commited, "
-              "cached_b AS cached FROM raw_memory",
-              lambda fx: snapshots.ram_project(fx.raw_memory))
-_append_entry("append_net", "net", with_clause("raw_iface", "raw_connection"),
-              f"SELECT t.*, CAST(COALESCE(c.n, 0) AS INT) AS connections FROM (SELECT sample_id, {_NET_SUMS} "
-              "FROM raw_iface GROUP BY sample_id) t LEFT JOIN (SELECT sample_id, COUNT(*) AS n FROM raw_connection "
-              "GROUP BY sample_id) c ON c.sample_id = t.sample_id",
-              lambda fx: snapshots.net_snapshot(fx.raw_iface, fx.raw_connection))
-_append_entry("append_file", "file", with_clause("raw_partition"),
-              "SELECT sample_id, event_id, mountpoint AS path, CAST(100000 AS BIGINT) AS total, "
-              "CAST(FLOOR(value) AS BIGINT) AS used, 100000 - CAST(FLOOR(value) AS BIGINT) AS free, "
-              "value / 1000 AS used_percent FROM raw_partition WHERE usage_ok",
-              lambda fx: snapshots.file_project(fx.raw_partition), order=["event_id"], excl=", event_id")
+_append_entry("append_ram", "ram", with_clause("raw_memory_read"), _RAM_BODY,
+              lambda fx: snapshots.ram_project(fx.raw_memory_read))
+_append_entry("append_net", "net", with_clause(*_NET_VIEWS), _NET_BODY,
+              lambda fx: snapshots.net_snapshot(fx.raw_net_host, fx.raw_iface, fx.raw_connection))
+_append_entry("append_file", "file", with_clause("raw_usage"), _FILE_BODY,
+              lambda fx: snapshots.file_project(fx.raw_usage), order=["event_id"], excl=", event_id")
 _append_entry("append_cpu", "cpu", with_clause("raw_host", "raw_core", "raw_process"),
               "SELECT h.sample_id, COALESCE(fc.model_name, '') AS name, "
               "CAST(COALESCE(cc.pc, 0) AS INT) AS physical_cores, CAST(COALESCE(cc.lc, 0) AS INT) AS logical_cores, "
@@ -428,7 +437,7 @@ _append_entry("append_cpu", "cpu", with_clause("raw_host", "raw_core", "raw_proc
               "FROM raw_core GROUP BY sample_id) cc ON cc.sample_id = h.sample_id "
               "LEFT JOIN (SELECT sample_id, COUNT(*) AS np, SUM(num_threads) AS nt, SUM(num_fds) AS nf "
               "FROM raw_process GROUP BY sample_id) pt ON pt.sample_id = h.sample_id WHERE h.cpu_ok",
-              lambda fx: snapshots.cpu_snapshot(fx.raw_host, fx.raw_core, fx.raw_process).withColumn(
+              lambda fx: snapshots.cpu_snapshot(_host(fx), fx.raw_core, fx.raw_process).withColumn(
                   "current_speed_mhz", F.round("current_speed_mhz", 6)))
 
 
@@ -437,18 +446,15 @@ _append_entry("append_cpu", "cpu", with_clause("raw_host", "raw_core", "raw_proc
           "SELECT CAST((SELECT MAX(id) FROM session_keys) + ROW_NUMBER() OVER (ORDER BY event_id) AS INT) AS id, "
           "CONCAT('new-', CAST(event_id AS VARCHAR(20))) AS session_key, "
           f"TIMESTAMP '{AS_OF}' AS creation_datetime, TIMESTAMP '{AS_OF}' + INTERVAL '60' MINUTE AS valid_until "
-          "FROM events WHERE event_type = 'signup'")
+          "FROM events")
 def _append_session_key(spark, sf_dir):
-    """SNK-5: new keys (one per signup event) with expiry, after the id mark."""
+    """SNK-5: new keys (one per event) with expiry, after the id mark."""
     fx = _fx(spark, sf_dir)
     table = fx.session_keys
-    new = fx.base("events").where(F.col("event_type") == "signup").select(
+    new = fx.base("events").select(
         "event_id", F.concat(F.lit("new-"), F.col("event_id").cast("string")).alias("session_key"))
     numbered = ids.assign_row_ids(new, ["event_id"], kth_largest(table, "id", 1, distinct=False))
-    now = F.lit(AS_OF).cast("timestamp_ntz")
-    fresh = numbered.select("id", "session_key", now.alias("creation_datetime"),
-                            keys.key_expiry(now).alias("valid_until"))
-    return table.unionByName(fresh)
+    return table.unionByName(keys.new_key_rows(numbered, AS_OF))
 
 
 # ---------------------------------------------------------------- ids, constraints, rendering
@@ -466,14 +472,23 @@ def _assign_row_ids(spark, sf_dir):
     return ids.assign_row_ids(raw, ["event_id"], 5000).select("id", "event_id", "mountpoint")
 
 
-@register("validate_cpu", f"{with_clause('raw_host')}\nSELECT sample_id, "
-          "(uptime_s IS NULL OR utilization IS NULL) AS rejected FROM raw_host WHERE cpu_ok")
+# CPU rows as read: some figures null, some names over 512 characters.
+_VALIDATE_VIEWS = with_clause("raw_host", "info_cpu") + """,
+cpu_rows AS (SELECT c.id, CASE WHEN c.id % 7 = 0 THEN REPEAT(c.name, 200) ELSE c.name END AS name,
+  c.physical_cores, CASE WHEN c.id % 11 = 0 THEN NULL ELSE c.logical_cores END AS logical_cores, h.utilization,
+  c.current_speed_mhz, c.base_speed_mhz, c.processes_amount, c.threads_amount, c.handles_amount, h.uptime_s AS uptime
+  FROM info_cpu AS c JOIN raw_host AS h ON h.sample_id = c.id WHERE h.cpu_ok)"""
+
+
+@register("validate_cpu", f"{_VALIDATE_VIEWS}\nSELECT id, NOT (LENGTH(name) <= 512 AND logical_cores IS NOT NULL "
+          "AND utilization IS NOT NULL AND uptime IS NOT NULL) AS rejected FROM cpu_rows")
 def _validate_cpu(spark, sf_dir):
-    h = _fx(spark, sf_dir).raw_host.where(F.col("cpu_ok")).select(
-        "sample_id", F.col("uptime_s").alias("uptime"), "utilization")
-    ok, bad = validate.split_valid(h, "cpu")
-    return (ok.select("sample_id", F.lit(False).alias("rejected"))
-            .unionByName(bad.select("sample_id", F.lit(True).alias("rejected"))))
+    fx = _fx(spark, sf_dir)
+    text = _VALIDATE_VIEWS.replace("FROM events", "FROM {events}").replace("FROM orders", "FROM {orders}")
+    rows = spark.sql(f"{text} SELECT * FROM cpu_rows", events=fx.base("events"), orders=fx.base("orders"))
+    ok, bad = validate.split_valid(rows, "cpu")
+    return (ok.select("id", F.lit(False).alias("rejected"))
+            .unionByName(bad.select("id", F.lit(True).alias("rejected"))))
 
 
 _RFC = ("REGEXP_REPLACE(STRFTIME({c}, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z'")
@@ -495,17 +510,12 @@ def _json_oracle(kind: str) -> str:
     return f"{with_clause(view)}\nSELECT id, CAST(TO_JSON({{{', '.join(fields)}}}) AS VARCHAR) AS json FROM {view}"
 
 
-# Spark's JSON writer prints doubles below 1e-3 in scientific notation
-# (6.55E-4) where DuckDB prints 0.000655: the same JSON number, other text.
-# `info_file.used_percent` has such values, so json_file has no text oracle.
-_JSON_TEXT_ORACLE = {"cpu", "ram", "net"}
-
 for _kind, _view in TABLE_OF.items():
     def _mkj(kind=_kind, view=_view):
         def build(spark, sf_dir):
             return json_rows(_fx(spark, sf_dir).view(view), kind)
         return build
-    register(f"json_{_kind}", _json_oracle(_kind) if _kind in _JSON_TEXT_ORACLE else None)(_mkj())
+    register(f"json_{_kind}", _json_oracle(_kind))(_mkj())
 
 
 # ---------------------------------------------------------------- collection interval (ST-1, batch)
@@ -520,6 +530,17 @@ def _snapshot_every_30s(spark, sf_dir):
                                "ts", "30 seconds").select("window_start", "sample_id", "utilization", "sample_ts")
 
 
+@register("disk_every_2h", f"{with_clause('raw_usage')},\n"
+          "read AS (SELECT *, MAKE_TIMESTAMP(CAST(FLOOR(EPOCH_US(ts) / 7200000000) AS BIGINT) * 7200000000) AS window_start "
+          "FROM raw_usage),\nnewest AS (SELECT window_start, ARG_MAX(sample_id, ts) AS sample_id, MAX(ts) AS sample_ts "
+          "FROM read GROUP BY window_start)\n"
+          "SELECT r.window_start, r.event_id, r.sample_id, r.mountpoint, r.usage_ok, r.total, r.used, r.free, r.used_percent, "
+          "n.sample_ts FROM read AS r JOIN newest AS n ON n.window_start = r.window_start AND n.sample_id = r.sample_id")
+def _disk_every_2h(spark, sf_dir):
+    """Whole runs: all partitions of the newest sample of each interval."""
+    return latest_per_interval(_fx(spark, sf_dir).raw_usage, "ts", "2 hours", sample_col="sample_id")
+
+
 def queries() -> dict[str, Builder]:
     return {k: e.build for k, e in CATALOG.items()}
 

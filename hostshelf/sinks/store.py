@@ -1,198 +1,295 @@
-"""A versioned snapshot table on Parquet with a commit log (sinks SNK-1…13, ST-3/4).
+"""Stored tables on Parquet with a small commit log (sinks SNK-1…13, RT-1…6, SK-4, ST-3/4).
 
 Layout under `root`::
 
-    data/commit=<n>/group_bucket=<b>/part-*.parquet   rows appended by commit n
-    _log/commit=<n>/part-*.json                       one row per commit
-
-Parquet has no delete, and overwriting a folder that is being read loses it,
-so nothing is ever rewritten in place:
-
-* an append writes only the new rows, into the commit's own folder;
-* retention is logical: the log stores the smallest visible `group_id`
-  (the keep-newest-N cutoff), and readers apply ``group_id >= cutoff`` as a
-  literal, which prunes whole `group_bucket` folders and Parquet row groups;
-* a commit becomes visible only when its log row exists; readers ignore
-  folders above the last logged commit, so a failed job leaves nothing
-  visible and its folder is overwritten by the next attempt;
-* each log row records the streaming `batch_id`, so a replayed micro-batch
-  is recognised and skipped (exactly-once appends), and the group / row
-  high-water marks, so ids are never reused after pruning.
+    data/run=<name>/[group_bucket=<b>/]part-*.parquet   rows of one commit
+    _log/commit=<n>/part-*.json                         the table's state after commit n
+
+* An append writes only its new rows, into a folder of its own.
+* The newest log entry is the whole state: the id marks (an id freed by
+  retention is never drawn again), the cutoffs below which rows are pruned,
+  the last batch of every writer, and the folders that still hold visible
+  rows. Opening a table reads one entry, and a scan lists only live folders;
+  their number is bounded by the groups (or keys) that a table keeps.
+* A log entry is created, never overwritten. If two writers meet, one of them
+  finds the entry taken, starts again from the new state, and nothing is lost.
+* Retention moves a cutoff; folders whose rows all lie below it leave the
+  state at once, and `vacuum` deletes them.
+* A replayed batch is known by writer and batch id together. A batch id lower
+  than the writer's last one is an error, never a silent skip.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
+import time
+import uuid
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import ids, validate
+from ..operators import append, ids, keys, validate
 from ..operators.ranking import kth_largest
-from ..schemas import DEFAULT_MAX_GROUPS, Kind, kind_of
-from ..session import checkpoint_dir
+from ..operators.retention import as_timestamp
+from ..schemas import (DEFAULT_KEY_LIFETIME_MINUTES, DEFAULT_MAX_GROUPS, DEFAULT_MAX_SESSION_KEYS, SESSION_KEYS, Kind,
+                       kind_of)
 
 BUCKET_COL = "group_bucket"
-COMMIT_COL = "commit"
 DEFAULT_BUCKET_SIZE = 64
+_RETRIES = 20
 
 LOG_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("batch_id", T.LongType()),
     T.StructField("group_mark", T.LongType()),
     T.StructField("id_mark", T.LongType()),
-    T.StructField("group_cutoff", T.LongType()),
+    T.StructField("cutoff", T.LongType()),
+    T.StructField("expired_before", T.StringType()),
     T.StructField("rows", T.LongType()),
+    T.StructField("writers", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("folders", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("highest", T.LongType())]))),
 ])
 
 
 @dataclass(frozen=True)
 class TableState:
+    """`cutoff` is the least visible group id (or key id); `folders` are (name, highest group or key id)."""
     version: int = 0
     group_mark: int = 0
     id_mark: int = 0
-    group_cutoff: int | None = None
+    cutoff: int | None = None
+    expired_before: str | None = None
+    rows: int = 0
+    writers: dict[str, int] = field(default_factory=dict)
+    folders: tuple[tuple[str, int], ...] = ()
 
+    def seen(self, writer: str, batch_id: int) -> bool:
+        last = self.writers.get(writer)
+        if last is not None and batch_id < last:
+            raise ValueError(f"batch {batch_id} of writer {writer!r} comes after its batch {last}")
+        return batch_id == last
 
-class SnapshotTable:
-    """One metric table (cpu, ram, net or file) with keep-newest-N retention."""
 
-    def __init__(self, spark: SparkSession, root: str, kind: str | Kind,
-                 max_groups: int = DEFAULT_MAX_GROUPS, bucket_size: int = DEFAULT_BUCKET_SIZE):
+def _new_folder() -> str:
+    return f"run={uuid.uuid4().hex}"
+
+
+class LoggedTable:
+    """State, reading and clean-up shared by the tables."""
+
+    schema: T.StructType
+
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.kind = kind_of(kind)
-        self.max_groups = max_groups
-        self.bucket_size = bucket_size
 
-    # ------------------------------------------------------------------ log
-    @property
-    def _log_path(self) -> str:
-        return f"{self.root}/_log"
+    # ------------------------------------------------------------------ files
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _list(self, *parts: str) -> list:
+        path = self._path(*parts)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return list(fs.listStatus(path)) if fs.exists(path) else []
 
-    @property
-    def _data_path(self) -> str:
-        return f"{self.root}/data"
+    def _delete(self, *parts: str) -> None:
+        path = self._path(*parts)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _log(self) -> DataFrame | None:
+    def _versions(self) -> list[int]:
+        """Versions, oldest first; the entry of one that is being written is still empty."""
+        names = [s.getPath().getName() for s in self._list("_log")]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("commit="))
+
+    # ------------------------------------------------------------------ state
+    def state(self) -> TableState:
+        for version in reversed(self._versions()):
+            rows = self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/_log/commit={version}").collect()
+            if rows:
+                r = rows[0].asDict(recursive=True)
+                r["folders"] = tuple((f["name"], f["highest"]) for f in r["folders"] or ())
+                return TableState(**{**r, "writers": r["writers"] or {}})
+        return TableState()
+
+    def create_if_absent(self) -> bool:
+        """SNK-6…10: an empty table is a log with commit 0 and no data; True when it was created."""
+        return not self._versions() and self._commit(TableState())
+
+    def _commit(self, st: TableState) -> bool:
+        """Create the log entry; False if another writer has taken the version."""
+        row = [(st.version, st.group_mark, st.id_mark, st.cutoff, st.expired_before, st.rows, st.writers, list(st.folders))]
         try:
-            return self.spark.read.schema(LOG_SCHEMA).json(self._log_path)
-        except Exception as exc:  # no commit yet
-            if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-                return None
+            (self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("errorifexists")
+             .json(f"{self.root}/_log/commit={st.version}"))
+        except AnalysisException as exc:
+            if "PATH_ALREADY_EXISTS" in str(exc):
+                return False
             raise
+        return True
 
-    def state(self) -> TableState:
-        log = self._log()
-        if log is None:
-            return TableState()
-        r = log.orderBy(F.desc("version")).limit(1).first()
-        if r is None:
-            return TableState()
-        return TableState(r["version"], r["group_mark"], r["id_mark"], r["group_cutoff"])
-
-    def has_batch(self, batch_id: int) -> bool:
-        log = self._log()
-        return log is not None and log.where(F.col("batch_id") == F.lit(batch_id)).limit(1).count() > 0
-
-    # ------------------------------------------------------------------ read
-    def create_if_absent(self) -> None:
-        """SNK-6…10: an empty table is a log with commit 0 and no data."""
-        if self._log() is None:
-            self._write_log(TableState(), batch_id=-1, rows=0)
+    def _scan(self, st: TableState, extra: list[T.StructField] = ()) -> DataFrame:
+        if not st.folders:
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, *extra]))
+        paths = [f"{self.root}/data/{name}" for name, _ in st.folders]
+        schema = T.StructType([*self.schema.fields, *extra, T.StructField("run", T.StringType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+
+    def vacuum(self, keep_versions: int = 2, min_age_seconds: float = 3600) -> int:
+        """Delete log entries but the newest `keep_versions`, and data folders that no kept entry names.
+
+        Folders younger than `min_age_seconds` stay: they may belong to a commit
+        under way. Returns the number of data folders deleted.
+        """
+        versions = self._versions()
+        kept = versions[-max(1, keep_versions):]
+        live: set[str] = set()
+        for v in kept:
+            for r in self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/_log/commit={v}").collect():
+                live |= {f["name"] for f in r["folders"] or ()}
+        limit = (time.time() - min_age_seconds) * 1000
+        for v in versions[:len(versions) - len(kept)]:
+            self._delete("_log", f"commit={v}")
+        for s in self._list("_log"):  # what a writer that died has left
+            name = s.getPath().getName()
+            if s.getModificationTime() <= limit and not any(
+                    x.getPath().getName() == "_SUCCESS" for x in self._list("_log", name)):
+                self._delete("_log", name)
+        dead = [s.getPath().getName() for s in self._list("data")
+                if s.getPath().getName() not in live and s.getModificationTime() <= limit]
+        for name in dead:
+            self._delete("data", name)
+        return len(dead)
+
+
+class SnapshotTable(LoggedTable):
+    """One metric table (cpu, ram, net or file) with keep-newest-N retention."""
+
+    def __init__(self, spark: SparkSession, root: str, kind: str | Kind,
+                 max_groups: int = DEFAULT_MAX_GROUPS, bucket_size: int = DEFAULT_BUCKET_SIZE):
+        super().__init__(spark, root)
+        self.kind = kind_of(kind)
+        self.schema = self.kind.schema
+        self.max_groups = max_groups
+        self.bucket_size = bucket_size
 
     def read(self, state: TableState | None = None) -> DataFrame:
         st = state or self.state()
-        schema = T.StructType(list(self.kind.schema.fields) + [
-            T.StructField(BUCKET_COL, T.IntegerType(), True),
-            T.StructField(COMMIT_COL, T.LongType(), True)])
-        empty = self.spark.createDataFrame([], self.kind.schema)
-        if st.version == 0:
-            return empty
-        try:
-            df = self.spark.read.schema(schema).parquet(self._data_path)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-                return empty
-            raise
-        df = df.where(F.col(COMMIT_COL) <= F.lit(st.version))
-        if st.group_cutoff is not None:
-            cut = st.group_cutoff
-            df = df.where((F.col(BUCKET_COL) >= F.lit(cut // self.bucket_size)) &
-                          (F.col("group_id") >= F.lit(cut).cast("int")))
+        df = self._scan(st, [T.StructField(BUCKET_COL, T.IntegerType(), True)])
+        if st.cutoff is not None:
+            df = df.where((F.col(BUCKET_COL) >= F.lit(st.cutoff // self.bucket_size)) &
+                          (F.col("group_id") >= F.lit(st.cutoff).cast("int")))
         return df.select(*self.kind.columns)
 
-    # ------------------------------------------------------------------ write
-    def append_run(self, rows: DataFrame, batch_id: int, *, sample_key: list[str] | None = None,
-                   order: list[str] | None = None, insert_time=None) -> bool:
+    def append_run(self, rows: DataFrame, batch_id: int, *, writer: str = "", sample_key: list[str] | None = None,
+                   order: list[str] | None = None, insert_time=None, skip_empty: bool = False) -> bool:
         """Append one collection run (or many runs keyed by `sample_key`).
 
         `rows` holds the insert columns (no `id`, `group_id`). With no
-        `sample_key` the whole input is one group. Steps: draw group ids after
-        the mark, prune to ``max_groups - 1`` older groups (logically), check
-        constraints, number rows, write the commit folder, log it. A replayed
-        `batch_id` returns False and writes nothing.
+        `sample_key` the whole input is one group. Steps: draw ids after the
+        marks (one staging of the rows), prune to ``max_groups - 1`` older groups,
+        check constraints, write the rows' folder, log it. A replayed batch of the
+        same writer, or an empty one with `skip_empty`, returns False and writes nothing.
         """
-        if self.has_batch(batch_id):
+        if self.state().seen(writer, batch_id):
             return False
-        st = self.state()
-        if sample_key:
-            checkpoint_dir(self.spark)
-            keyed = ids.assign_group_ids(rows.checkpoint(eager=True), sample_key, st.group_mark)
-            new_groups = keyed.select("group_id").distinct().count()
-        else:
-            keyed = rows.withColumn("group_id", F.lit(st.group_mark + 1).cast("int"))
-            new_groups = 1
-        group_mark = st.group_mark + new_groups
-        # Prune first (RT-5): keep max_groups - new groups among older ones; a
-        # run with no rows still prunes. A bulk run with more new groups than
-        # max_groups keeps only its newest ones (new ids are consecutive).
-        if new_groups >= self.max_groups:
-            cutoff = group_mark - self.max_groups + 1
-            keyed = keyed.where(F.col("group_id") >= F.lit(cutoff))
-        else:
-            cutoff = self._cutoff(st, self.max_groups - new_groups)
-        ts = (F.lit(insert_time).cast("timestamp_ntz") if insert_time is not None
-              else F.current_timestamp().cast("timestamp_ntz"))
-        keyed = keyed.withColumn("insertion_datetime", ts)
-        order_cols = ["group_id"] + (order or [])
-        numbered = ids.assign_row_ids(keyed, order_cols, st.id_mark)
-        # `numbered` reads a checkpoint, so counting it does not recompute the run.
-        n = numbered.count()
-        out = validate.require_valid(numbered.select(*self.kind.columns), self.kind)
+        for _ in range(_RETRIES):
+            st = self.state()
+            if st.seen(writer, batch_id):
+                return False
+            out, numbering = append.drawn(rows, self.kind, group_mark=st.group_mark, id_mark=st.id_mark,
+                                          sample_key=sample_key, order=order, inserted_at=insert_time)
+            try:
+                if skip_empty and not numbering.n_rows:
+                    return False
+                new_groups = numbering.n_keys if sample_key else 1
+                st = replace(st, version=st.version + 1, group_mark=st.group_mark + new_groups, rows=numbering.n_rows,
+                             id_mark=st.id_mark + numbering.n_rows, cutoff=self._cutoff(st, new_groups),
+                             writers={**st.writers, writer: batch_id})
+                name = self._write(out, st) if numbering.n_rows else None
+            finally:
+                numbering.discard()
+            folders = [*st.folders, *([(name, st.group_mark)] if name else [])]
+            st = replace(st, folders=tuple(f for f in folders if st.cutoff is None or f[1] >= st.cutoff))
+            if self._commit(st):
+                return True
+            if name:
+                self._delete("data", name)
+        raise RuntimeError(f"{self.root}: no free version after {_RETRIES} attempts")
+
+    def _write(self, out: DataFrame, st: TableState) -> str:
+        name = _new_folder()
+        if st.cutoff is not None:
+            out = out.where(F.col("group_id") >= F.lit(st.cutoff).cast("int"))
+        out = validate.require_valid(out, self.kind)
         out = out.withColumn(BUCKET_COL, F.floor(F.col("group_id") / F.lit(self.bucket_size)).cast("int"))
-        version = st.version + 1
-        (out.write.mode("overwrite").partitionBy(BUCKET_COL)
-         .parquet(f"{self._data_path}/{COMMIT_COL}={version}"))
-        self._write_log(TableState(version, group_mark, st.id_mark + n, cutoff), batch_id, n)
-        return True
+        out.write.partitionBy(BUCKET_COL).parquet(f"{self.root}/data/{name}")
+        return name
 
-    def _cutoff(self, st: TableState, keep: int) -> int | None:
-        if st.version == 0:
-            return st.group_cutoff
+    def _cutoff(self, st: TableState, new_groups: int) -> int | None:
+        """Least visible group once `new_groups` are in (RT-5); a bulk run of more groups than fit keeps its newest."""
+        keep = self.max_groups - new_groups
         if keep <= 0:
-            return st.group_mark + 1  # nothing old stays visible
-        cut = kth_largest(self.read(st), "group_id", keep)
-        return st.group_cutoff if cut is None else cut
-
-    def _write_log(self, st: TableState, batch_id: int, rows: int) -> None:
-        row = [(st.version, batch_id, st.group_mark, st.id_mark, st.group_cutoff, rows)]
-        (self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("overwrite")
-         .json(f"{self._log_path}/{COMMIT_COL}={st.version}"))
-
-
-def create_table_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> bool:
-    """SNK-6…10: write an empty table of `schema` when `path` holds none.
-
-    Returns True when the table was created. An existing table is left as is
-    (no migration), and its schema is not inferred but read as declared.
-    """
-    try:
-        spark.read.schema(schema).parquet(path).limit(0).collect()
-        return False
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-    spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
-    return True
+            return st.group_mark + new_groups - self.max_groups + 1
+        cut = kth_largest(self.read(st), "group_id", keep) if st.folders else None
+        return st.cutoff if cut is None else cut
+
+
+class KeyTable(LoggedTable):
+    """The session keys: prune and insert in one commit (SK-4, RT-6, SNK-5, SNK-6)."""
+
+    schema = SESSION_KEYS
+
+    def __init__(self, spark: SparkSession, root: str, max_keys: int = DEFAULT_MAX_SESSION_KEYS,
+                 lifetime_minutes: int = DEFAULT_KEY_LIFETIME_MINUTES):
+        super().__init__(spark, root)
+        self.max_keys, self.lifetime_minutes = max_keys, lifetime_minutes
+
+    def read(self, state: TableState | None = None) -> DataFrame:
+        st = state or self.state()
+        df = self._scan(st)
+        if st.cutoff is not None:
+            df = df.where(F.col("id") >= F.lit(st.cutoff).cast("int"))
+        if st.expired_before is not None:
+            df = df.where(F.col("valid_until") >= as_timestamp(st.expired_before))
+        return df.select(*SESSION_KEYS.names)
+
+    def save(self, new_keys: DataFrame, as_of: dt.datetime | str, *, order: list[str] | None = None) -> bool:
+        """Drop expired keys and all but the newest ``max_keys - 1``, then insert `new_keys` (column `session_key`).
+
+        Ids follow the table's own mark, so an id is not drawn again after its key was deleted.
+        """
+        now = as_of if isinstance(as_of, str) else as_of.replace(tzinfo=None).isoformat(sep=" ")
+        for _ in range(_RETRIES):
+            st = self.state()
+            numbering = ids.numbered(new_keys, [], list(order or ["session_key"]))
+            try:
+                fresh = numbering.rows.withColumn(
+                    "id", ids.checked_int(F.col("row_no") + F.lit(st.id_mark + 1).cast("long")))
+                rows = keys.new_key_rows(fresh, now, self.lifetime_minutes)
+                keep = self.max_keys - 1
+                cut = st.id_mark + 1 if keep <= 0 else (
+                    kth_largest(self.read(st), "id", keep, distinct=False) if st.folders else None)
+                old = st.cutoff if cut is None else cut
+                name = _new_folder()
+                if numbering.n_rows:
+                    validate.require_valid(rows, "session_keys").write.parquet(f"{self.root}/data/{name}")
+            finally:
+                numbering.discard()
+            mark = st.id_mark + numbering.n_rows
+            folders = [*st.folders, *([(name, mark)] if numbering.n_rows else [])]
+            before = now if st.expired_before is None else max(now, st.expired_before)
+            if self._commit(replace(st, version=st.version + 1, id_mark=mark, cutoff=old, expired_before=before,
+                                    rows=numbering.n_rows, folders=tuple(f for f in folders if old is None or f[1] >= old))):
+                return True
+            self._delete("data", name)
+        raise RuntimeError(f"{self.root}: no free version after {_RETRIES} attempts")
+
+
+def open_table(spark: SparkSession, root: str, kind: str | Kind, **settings) -> LoggedTable:
+    """The stored table of a metric kind, or of `session_keys`, created when absent."""
+    table = KeyTable(spark, root, **settings) if kind == "session_keys" else SnapshotTable(spark, root, kind, **settings)
+    table.create_if_absent()
+    return table

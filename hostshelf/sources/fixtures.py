@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Base tables each view reads (before view-on-view dependencies).
 BASE_TABLES = ("events", "orders", "lineitem")
+# Their columns; nothing is inferred.
+BASE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
 
 _VIEWS: dict[str, str] = {
     "info_cpu": """
@@ -26,7 +35,7 @@ SELECT CAST(event_id + 1 AS INT) AS id, CAST(event_id + 1 AS INT) AS group_id, e
   ts AS insertion_datetime FROM {events}""",
     "info_ram": """
 SELECT CAST(o_orderkey + 1 AS INT) AS id, CAST(o_orderkey + 1 AS INT) AS group_id,
-  CAST(16000000000 AS BIGINT) AS total, CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS used,
+  16000000000 + o_custkey % 5 * 1000000000 AS total, CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS used,
   16000000000 - CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS free,
   CAST(FLOOR(o_totalprice * 500) AS BIGINT) AS commited, o_custkey * 1000000 AS cached,
   o_orderdate AS insertion_datetime FROM {orders}""",
@@ -44,7 +53,7 @@ SELECT CAST(sample_id + 1 AS INT) AS id, CAST(sample_id + 1 AS INT) AS group_id,
   CAST(COUNT(*) AS INT) AS connections, MAX(sample_ts) AS insertion_datetime FROM {raw_iface} GROUP BY sample_id""",
     "info_file": """
 SELECT CAST(event_id + 1 AS INT) AS id, CAST(FLOOR(event_id / 8) AS INT) + 1 AS group_id,
-  CONCAT('/', event_type, '/', CAST(user_id % 10 AS VARCHAR(10))) AS path, CAST(100000 AS BIGINT) AS total,
+  CONCAT('/', event_type, '/', CAST(user_id % 10 AS VARCHAR(10))) AS path, CAST(100000 + user_id % 3 * 50000 AS BIGINT) AS total,
   CAST(FLOOR(value) AS BIGINT) AS used, 100000 - CAST(FLOOR(value) AS BIGINT) AS free,
   value / 1000 AS used_percent, ts AS insertion_datetime FROM {events}""",
     "session_keys": """
@@ -64,6 +73,19 @@ SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_c
 SELECT o_orderkey AS sample_id, CAST(16000000000 AS BIGINT) AS total_b, CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS used_b,
   16000000000 - CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS free_b,
   CAST(FLOOR(o_totalprice * 500) AS BIGINT) AS committed_as, o_custkey * 1000000 AS cached_b FROM {orders}""",
+    "raw_net_host": """
+SELECT o_orderkey AS sample_id, o_orderpriority <> '2-HIGH' AS net_ok, o_orderpriority <> '3-MEDIUM' AS conn_ok
+  FROM {orders}""",
+    "raw_memory_read": """
+SELECT o_orderkey AS sample_id, o_orderstatus <> 'P' AS mem_ok, 16000000000 + o_custkey % 5 * 1000000000 AS total_b,
+  CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS used_b, 16000000000 - CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS free_b,
+  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(FLOOR(o_totalprice * 500) AS BIGINT) END AS committed_as,
+  o_custkey * 1000000 AS cached_b FROM {orders}""",
+    "raw_usage": """
+SELECT event_id, CAST(FLOOR(event_id / 8) AS BIGINT) AS sample_id, CONCAT('/', event_type) AS mountpoint,
+  event_type <> 'error' AS usage_ok, CAST(100000 + user_id % 3 * 50000 AS BIGINT) AS total,
+  CAST(FLOOR(value) AS BIGINT) AS used, 100000 + user_id % 3 * 50000 - CAST(FLOOR(value) AS BIGINT) AS free,
+  value / 1000 AS used_percent, ts FROM {events}""",
     "raw_connection": """
 SELECT CAST(FLOOR(event_id / 8) AS BIGINT) AS sample_id, event_type AS kind, user_id AS peer FROM {events}""",
     "raw_partition": """
@@ -109,7 +131,7 @@ class Fixtures:
     def base(self, table: str) -> DataFrame:
         key = "base:" + table
         if key not in self._cache:
-            self._cache[key] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            self._cache[key] = self.spark.read.schema(BASE_SCHEMAS[table]).parquet(f"{self.sf_dir}/{table}.parquet")
         return self._cache[key]
 
     def view(self, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Scans of stored snapshot tables (SRC-1…5): explicit schema, fixed column order."""
+"""Scans of stored tables (SRC-1…5): explicit schema, fixed column order, visible rows only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..schemas import SESSION_KEYS, Kind, kind_of
+from ..functions.clock import current_time
+from ..schemas import Kind, kind_of
+
+__all__ = ["current_time", "project", "read_session_keys", "read_table"]
 
 
 def project(df: DataFrame, kind: str | Kind) -> DataFrame:
@@ -13,30 +15,14 @@ def project(df: DataFrame, kind: str | Kind) -> DataFrame:
     return df.select(*kind_of(kind).columns)
 
 
-def read_table(spark: SparkSession, kind: str | Kind, path: str) -> DataFrame:
-    """Scan a stored snapshot table with its declared schema (no inference).
-
-    Only the declared columns are read, so a storage-side bucket column is
-    pruned, while filters on `group_id` still prune whole bucket folders.
-    """
-    k = kind_of(kind)
-    return project(spark.read.schema(_with_bucket(k.schema)).parquet(path), k)
-
-
-def read_session_keys(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SESSION_KEYS).parquet(path).select(*SESSION_KEYS.names)
-
-
-def _with_bucket(schema):
-    from ..sinks.store import BUCKET_COL  # local import: sinks depends on sources
+def read_table(spark: SparkSession, kind: str | Kind, root: str) -> DataFrame:
+    """Scan a stored metric table through its log, so that pruned and uncommitted rows stay out."""
+    from ..sinks.store import SnapshotTable  # local import: sinks build on sources
 
-    if "group_id" not in schema.names:
-        return schema
-    from pyspark.sql import types as T
+    return SnapshotTable(spark, root, kind).read()
 
-    return T.StructType(list(schema.fields) + [T.StructField(BUCKET_COL, T.IntegerType(), True)])
 
+def read_session_keys(spark: SparkSession, root: str) -> DataFrame:
+    from ..sinks.store import KeyTable
 
-def current_time() -> "F.Column":
-    """The store clock (SRC-6) as a timestamp without zone."""
-    return F.current_timestamp().cast("timestamp_ntz")
+    return KeyTable(spark, root).read()

@@ -1,16 +1,18 @@
 """Periodic collection as Structured Streaming (ST-1…5).
 
-* ST-1 — one point sample per interval: a tumbling window on the event time
-  keeps the latest reading of each interval (`max_by` on the timestamp);
-  late rows beyond the watermark are dropped.
+* ST-1 — one collection per interval: a tumbling window on the event time keeps
+  the newest sample of each interval with all its rows (a disk run has one row
+  per partition); late rows beyond the watermark are dropped.
 * ST-2 — backfill first (``trigger(availableNow=True)``), then a live
   query with ``trigger(processingTime=...)`` on the same checkpoint.
-* ST-3 — per micro-batch: allocate groups, prune, append
-  (:meth:`SnapshotTable.append_run` inside ``foreachBatch``).
-* ST-4 — a replayed micro-batch carries the same `batch_id`; the table's log
-  recognises it, so a retry adds no group. An empty micro-batch is not a
-  collection run: it draws no group and prunes nothing.
-* ST-5 — each metric is its own query with its own checkpoint.
+* ST-3 — per micro-batch: fold the raw messages, allocate groups, prune, append
+  (:meth:`SnapshotTable.append_run` inside ``foreachBatch``). The batch is
+  computed once, when the append stages its rows.
+* ST-4 — a replayed micro-batch carries the same query and batch id; the
+  table's log recognises the pair, so a retry adds no group. An empty
+  micro-batch is not a collection run: it draws no group and prunes nothing.
+* ST-5 — each metric is its own query with its own checkpoint
+  (see :mod:`.pipelines` for the four of them).
 
 Event time: `withWatermark` needs a TIMESTAMP (with zone) column; tables use
 TIMESTAMP_NTZ, so the stream casts with the session zone pinned to UTC and
@@ -30,35 +32,56 @@ from ..sinks.store import SnapshotTable
 
 
 def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_INTERVAL_SECONDS} seconds",
-                        watermark: str | None = None) -> DataFrame:
-    """One row per tumbling interval: the reading with the latest timestamp.
-
-    Output: `window_start`, the other input columns, `sample_ts` (the chosen
-    reading's time). Works on a batch or a streaming DataFrame.
+                        watermark: str | None = None, sample_col: str | None = None,
+                        keys: tuple[str, ...] = ()) -> DataFrame:
+    """All rows of the newest sample of each tumbling interval (and of each `keys` value, e.g. a host).
+
+    The newest sample is the one of the row with the latest timestamp; without
+    `sample_col` every row is a sample. Ties go to the greater sample id, then
+    to the row whose other columns come last. Output: `window_start`, the other
+    input columns, `sample_ts` (the newest row's time). Works on a batch or a
+    streaming DataFrame; a group holds the rows of one interval (of one host),
+    so its size is set by the collector and not by the table.
     """
-    others = [c for c in df.columns if c != ts_col]
+    others = [c for c in df.columns if c != ts_col and c not in keys]
     ts = F.col(ts_col)
     src = df
     if watermark is not None:
         src = src.withColumn(ts_col, ts.cast("timestamp")).withWatermark(ts_col, watermark)
         ts = F.col(ts_col)
-    agg = src.groupBy(F.window(ts, interval).alias("w")).agg(
-        F.max_by(F.struct(*others), ts).alias("pick"), F.max(ts).alias("sample_ts"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      *[F.col(f"pick.{c}").alias(c) for c in others],
-                      F.col("sample_ts").cast("timestamp_ntz").alias("sample_ts"))
+    row = F.struct(ts.alias("t"), F.struct(*others).alias("x"))
+    agg = src.groupBy(F.window(ts, interval).alias("w"), *keys).agg(F.collect_list(row).alias("rows"))
+    if sample_col is None:
+        agg = agg.withColumn("newest", _newest_row("rows", others, df)).withColumn("rows", F.array("newest"))
+    else:
+        agg = agg.withColumn("newest", F.array_max(F.transform(
+            "rows", lambda r: F.struct(r["t"].alias("t"), r["x"][sample_col].alias("s")))))
+        agg = agg.withColumn("rows", F.filter("rows", lambda r: r["x"][sample_col].eqNullSafe(F.col("newest.s"))))
+    return (agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys,
+                       F.explode("rows").alias("r"), F.col("newest.t").cast("timestamp_ntz").alias("sample_ts"))
+            .select("window_start", *keys, *[F.col(f"r.x.{c}").alias(c) for c in others], "sample_ts"))
+
+
+def _newest_row(rows: str, others: list[str], df: DataFrame):
+    """The row with the latest time; among equals the greatest by its comparable columns."""
+    plain = [c for c in others if "map<" not in df.schema[c].dataType.simpleString()]
+    ranked = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), *[r["x"][c].alias(f"o{i}") for i, c in enumerate(plain)]))
+    return F.get(rows, F.array_position(ranked, F.array_max(ranked)).cast("int") - 1)
+
+
+def _query_id(batch: DataFrame) -> str:
+    """Id of the streaming query behind a micro-batch; a new checkpoint has a new one."""
+    return batch._jdf.sparkSession().sparkContext().getLocalProperty("sql.streaming.queryId") or ""
 
 
 def snapshot_writer(table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
                     sample_key: list[str] | None = None, order: list[str] | None = None,
                     insert_time=None) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` body: skip empty or replayed batches, else append one run."""
+    """`foreachBatch` body: append the batch's runs; empty and replayed batches add nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        table.append_run(to_rows(batch), batch_id, sample_key=sample_key, order=order,
-                         insert_time=insert_time)
+        table.append_run(to_rows(batch), batch_id, writer=_query_id(batch), sample_key=sample_key, order=order,
+                         insert_time=insert_time, skip_empty=True)
 
     return write
 
@@ -66,10 +89,13 @@ def snapshot_writer(table: SnapshotTable, to_rows: Callable[[DataFrame], DataFra
 def start_collector(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
                     checkpoint: str, *, sample_key: list[str] | None = None,
                     order: list[str] | None = None, available_now: bool = False,
-                    interval_seconds: int = DEFAULT_INTERVAL_SECONDS,
-                    output_mode: str = "append", insert_time=None) -> StreamingQuery:
-    """Start one metric pipeline (own checkpoint); backfill with `available_now`."""
-    w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+                    interval_seconds: int = DEFAULT_INTERVAL_SECONDS, insert_time=None) -> StreamingQuery:
+    """Start one metric pipeline (own checkpoint); backfill with `available_now`.
+
+    Always in append mode: other modes send an interval again, which would
+    become a new group each time.
+    """
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     w = w.foreachBatch(snapshot_writer(table, to_rows, sample_key, order, insert_time))
     w = w.trigger(availableNow=True) if available_now else w.trigger(
         processingTime=f"{interval_seconds} seconds")
@@ -79,14 +105,13 @@ def start_collector(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[
 def backfill_then_live(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
                        checkpoint: str, *, timeout_s: float | None = None, **kw) -> StreamingQuery:
     """ST-2: drain what is already there (``availableNow``), then keep
-    collecting on the same checkpoint every interval; returns the live query."""
+    collecting on the same checkpoint every interval; returns the live query.
+
+    A backfill that is not done after `timeout_s` is stopped first; the live
+    query goes on where it was.
+    """
     first = start_collector(stream, table, to_rows, checkpoint, available_now=True, **kw)
-    first.awaitTermination(timeout_s)
+    done = first.awaitTermination() if timeout_s is None else first.awaitTermination(timeout_s)
+    if timeout_s is not None and not done:
+        first.stop()
     return start_collector(stream, table, to_rows, checkpoint, available_now=False, **kw)
-
-
-def start_collectors(pipelines: dict[str, tuple[DataFrame, SnapshotTable, Callable[[DataFrame], DataFrame]]],
-                     checkpoint_root: str, **kw) -> dict[str, StreamingQuery]:
-    """ST-5: one independent query per metric, each with its own checkpoint."""
-    return {name: start_collector(stream, table, to_rows, f"{checkpoint_root.rstrip('/')}/{name}", **kw)
-            for name, (stream, table, to_rows) in pipelines.items()}

@@ -1,13 +1,17 @@
-import os
-import tempfile
+import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostshelf.sinks.store import SnapshotTable
-from hostshelf.sources.fixtures import Fixtures
-from hostshelf.streaming.collect import latest_per_interval, snapshot_writer, start_collector
+from hostshelf.operators import append, ids
+from hostshelf.schemas import SESSION_KEYS
+from hostshelf.session import checkpoint_dir
+from hostshelf.sinks.store import KeyTable, SnapshotTable, TableState, open_table
+from hostshelf.sources.tables import read_session_keys, read_table
+from hostshelf.streaming import pipelines
+from hostshelf.streaming.collect import backfill_then_live, latest_per_interval, snapshot_writer, start_collector
 
 from conftest import SF001
 
@@ -23,9 +27,14 @@ def _ram_rows(spark, n0, n1):
         F.lit(7).cast("long").alias("cached"))
 
 
+def _event_stream(spark):
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF001)
+
+
+# ------------------------------------------------------------------ store
 def test_store_append_retain_and_replay(spark, scratch):
     t = SnapshotTable(spark, f"{scratch}/ram", "ram", max_groups=3, bucket_size=2)
-    t.create_if_absent()
+    assert t.create_if_absent() and not t.create_if_absent()
     assert t.read().count() == 0
     for b in range(5):
         assert t.append_run(_ram_rows(spark, b, b + 1), batch_id=b, insert_time="2024-01-01 00:00:00")
@@ -36,27 +45,154 @@ def test_store_append_retain_and_replay(spark, scratch):
     assert not t.append_run(_ram_rows(spark, 0, 1), batch_id=4)
     assert t.read().count() == 3
     st = t.state()
-    assert (st.version, st.group_mark, st.id_mark, st.group_cutoff) == (5, 5, 5, 3)
+    assert (st.version, st.group_mark, st.id_mark, st.cutoff) == (5, 5, 5, 3)
+
+
+def test_writers_are_told_apart_and_an_older_batch_is_an_error(spark, scratch):
+    t = open_table(spark, f"{scratch}/ram", "ram")
+    assert t.append_run(_ram_rows(spark, 0, 1), batch_id=3, writer="a")
+    assert t.append_run(_ram_rows(spark, 1, 2), batch_id=0, writer="b")  # not a replay: another writer
+    assert not t.append_run(_ram_rows(spark, 1, 2), batch_id=0, writer="b")
+    with pytest.raises(ValueError):
+        t.append_run(_ram_rows(spark, 2, 3), batch_id=2, writer="a")
+    assert t.read().count() == 2
+
+
+def test_readers_see_neither_pruned_nor_uncommitted_rows(spark, scratch):
+    t = open_table(spark, f"{scratch}/ram", "ram", max_groups=2)
+    for b in range(4):
+        t.append_run(_ram_rows(spark, b, b + 1), batch_id=b)
+    _ram_rows(spark, 0, 9).write.parquet(f"{scratch}/ram/data/left-by-a-failed-job")
+    assert sorted(r.group_id for r in read_table(spark, "ram", f"{scratch}/ram").collect()) == [3, 4]
 
 
-def test_store_multi_row_groups(spark, scratch):
+def test_two_writers_meet(spark, scratch):
+    a = open_table(spark, f"{scratch}/ram", "ram")
+    st = a.state()
+    assert a._commit(TableState(version=st.version + 1, group_mark=7, id_mark=70))
+    assert not a._commit(TableState(version=st.version + 1, group_mark=1, id_mark=1))  # taken, not overwritten
+    assert a.append_run(_ram_rows(spark, 0, 2), batch_id=0)
+    assert sorted((r.group_id, r.id) for r in a.read().collect()) == [(8, 71), (8, 72)]
+
+
+def test_vacuum_bounds_the_folders(spark, scratch):
+    t = open_table(spark, f"{scratch}/ram", "ram", max_groups=2)
+    for b in range(7):
+        t.append_run(_ram_rows(spark, b, b + 1), batch_id=b)
+    assert len(t.state().folders) == 2
+    assert t.vacuum(min_age_seconds=3600) == 0  # all are young
+    assert t.vacuum(keep_versions=1, min_age_seconds=0) == 5
+    assert len(t._list("data")) == 2 and len(t._list("_log")) == 1
+    assert sorted(r.group_id for r in t.read().collect()) == [6, 7]
+    assert t.append_run(_ram_rows(spark, 8, 9), batch_id=7) and not t.append_run(_ram_rows(spark, 8, 9), batch_id=7)
+
+
+def test_store_multi_row_groups_and_empty_staging(spark, scratch):
     t = SnapshotTable(spark, f"{scratch}/file", "file", max_groups=2)
     rows = spark.createDataFrame([(s, f"/m{i}", 100, 10 * i, 100 - 10 * i, 0.1 * i)
                                   for s in (1, 2, 3) for i in range(3)],
                                  "sample_id long, path string, total long, used long, free long, used_percent double")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = lambda: {s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("staged-")}
+    before = staged()
     assert t.append_run(rows, batch_id=0, sample_key=["sample_id"], order=["path"], insert_time="2024-01-01")
     df = t.read()
     # three groups drawn in one run; only the newest max_groups stay
     assert sorted({r.group_id for r in df.collect()}) == [2, 3]
-    assert sorted(r.id for r in df.collect()) == list(range(1, 7))
+    assert sorted(r.id for r in df.collect()) == list(range(4, 10))
     assert t.append_run(rows.where("sample_id = 1"), batch_id=1, sample_key=["sample_id"], order=["path"],
                         insert_time="2024-01-02")
     assert sorted({r.group_id for r in t.read().collect()}) == [3, 4]
+    assert staged() == before  # nothing is left behind
+
+
+def test_a_bad_row_fails_the_append(spark, scratch):
+    t = open_table(spark, f"{scratch}/ram", "ram")
+    bad = _ram_rows(spark, 0, 2).withColumn("used", F.lit(None).cast("long"))
+    with pytest.raises(Exception, match="constraint violated"):
+        t.append_run(bad, batch_id=0)
+    with pytest.raises((ValueError, AnalysisException)):
+        t.append_run(_ram_rows(spark, 0, 2).drop("used"), batch_id=0)
+    assert t.read().count() == 0
+
+
+# ------------------------------------------------------------------ ids
+@pytest.mark.parametrize("n", [1, 500])
+def test_ids_over_partitions_with_null_keys_and_a_hot_key(spark, n):
+    rows = [(None if i % 10 == 0 else i % 4 if i < n // 2 else 2, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ids.numbered(df, ["k"], ["v"])
+        out = got.rows.collect()
+        spread = got.rows.where("k = 2").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = sorted({r[0] for r in rows}, key=lambda k: (k is not None, k or 0))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted((r.row_no, r.key_no, r.k, r.v) for r in out if r.k is not None) == [
+        (i, keys.index(k), k, v) for i, (k, v) in enumerate(order) if k is not None]
+    assert len(out) == n == got.n_rows and got.n_keys == len(keys)
+    assert n == 1 or spread > 1
+    got.discard()
+
+
+def test_null_sample_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    assert {r.v: r.group_id for r in ids.assign_group_ids(df, ["k"], 10).collect()} == {"b": 11, "a": 12, "c": 13}
+
+
+def test_ids_beyond_the_column_raise(spark):
+    df = spark.range(3).select(F.col("id").alias("v"))
+    with pytest.raises(Exception, match="does not fit"):
+        ids.assign_row_ids(df, ["v"], 2 ** 31 - 2).collect()
+    assert ids.sequence(df, ["v"], "n", 2 ** 31).agg(F.max("n")).first()[0] == 2 ** 31 + 2
+
+
+def test_insert_time_is_the_store_clock_without_a_value(spark):
+    r = spark.range(1).select(append.insert_time().alias("t"), F.current_timestamp().cast("timestamp_ntz").alias("now")).first()
+    assert r.t == r.now
+
 
+# ------------------------------------------------------------------ session keys
+def test_key_table_prunes_and_inserts_in_one_commit(spark, scratch):
+    t = open_table(spark, f"{scratch}/keys", "session_keys", max_keys=3, lifetime_minutes=60)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "session_key string")
+    for i in range(5):
+        t.save(keys(f"k{i}"), f"2024-01-01 00:0{i}:00")
+    assert [(r.id, r.session_key) for r in t.read().orderBy("id").collect()] == [(3, "k2"), (4, "k3"), (5, "k4")]
+    t.save(keys("late"), "2024-01-01 01:03:30")  # k2 and k3 are over
+    assert [(r.id, r.session_key) for r in read_session_keys(spark, f"{scratch}/keys").orderBy("id").collect()] == [(5, "k4"), (6, "late")]
+    assert t.read().columns == SESSION_KEYS.names
+    t.save(keys("x", "y"), "2024-01-02 00:00:00")  # all others are over; ids are never drawn again
+    assert sorted((r.id, r.session_key) for r in t.read().collect()) == [(7, "x"), (8, "y")]
+    assert t.vacuum(keep_versions=1, min_age_seconds=0) > 0 and t.read().count() == 2
+    with pytest.raises(Exception, match="constraint violated"):
+        t.save(keys("z" * 513), "2024-01-02 00:00:00")
 
-def test_stream_equals_batch_complete_mode(spark, scratch):
-    src = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF001)
-    stream = latest_per_interval(src.select("event_id", "value", "ts"), "ts", "30 seconds")
+
+def test_open_creates_all_five_tables(spark, scratch):
+    for kind in ("cpu", "ram", "net", "file", "session_keys"):
+        t = open_table(spark, f"{scratch}/{kind}", kind)
+        assert t.read().columns == t.schema.names and t.read().count() == 0
+        assert not open_table(spark, f"{scratch}/{kind}", kind).create_if_absent()
+
+
+# ------------------------------------------------------------------ streams
+def test_whole_runs_per_interval(spark):
+    rows = [("10:00:01", 1, "/a"), ("10:00:01", 1, "/b"), ("10:00:20", 2, "/a"), ("10:00:20", 2, "/b"), ("10:00:20", 2, "/c"),
+            ("10:00:31", 3, "/a"), ("10:00:31", 4, "/z"), ("10:00:31", 4, "/y")]
+    df = spark.createDataFrame([(f"2024-01-01 {t}", s, p) for t, s, p in rows], "t string, sample_id int, path string")
+    df = df.select(F.col("t").cast("timestamp").alias("ts"), "sample_id", "path")
+    got = latest_per_interval(df, "ts", "30 seconds", sample_col="sample_id").collect()
+    assert sorted((r.window_start.second, r.sample_id, r.path) for r in got) == [
+        (0, 2, "/a"), (0, 2, "/b"), (0, 2, "/c"), (30, 4, "/y"), (30, 4, "/z")]
+    assert "SortAggregate" not in latest_per_interval(df, "ts")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_equals_batch(spark, scratch):
+    stream = latest_per_interval(_event_stream(spark).select("event_id", "value", "ts"), "ts", "30 seconds")
     q = (stream.writeStream.outputMode("complete").format("memory").queryName("every30")
          .option("checkpointLocation", f"{scratch}/ck").trigger(availableNow=True).start())
     q.awaitTermination(120)
@@ -67,28 +203,85 @@ def test_stream_equals_batch_complete_mode(spark, scratch):
     assert got.exceptAll(batch).count() == 0
 
 
-def test_collector_backfill_with_watermark_and_restart(spark, scratch):
-    table = SnapshotTable(spark, f"{scratch}/cpu_ram", "ram", max_groups=100)
-    src = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF001)
-    points = latest_per_interval(src.select("event_id", "value", "ts"), "ts", "30 seconds", watermark="10 minutes")
-
-    def to_rows(b):
-        return b.select(F.col("window_start"), F.lit(16000).cast("long").alias("total"),
-                        F.floor("value").cast("long").alias("used"),
-                        (16000 - F.floor("value")).cast("long").alias("free"),
-                        F.col("event_id").alias("commited"), F.lit(0).cast("long").alias("cached"))
-
-    q = start_collector(points, table, to_rows, f"{scratch}/ck2", sample_key=["window_start"],
-                        available_now=True, insert_time="2024-02-01 00:00:00")
-    q.awaitTermination(300)
-    n = table.read().count()
-    assert 0 < n <= 100
-    v = table.state().version
-    # restart on the same checkpoint: no new batch, nothing appended
-    q = start_collector(points, table, to_rows, f"{scratch}/ck2", sample_key=["window_start"],
-                        available_now=True, insert_time="2024-02-01 00:00:00")
-    q.awaitTermination(120)
-    assert table.state().version == v
+def _messages(events, kind):
+    """Messages of a metric made of the events: some samples are unreadable, some lists are empty."""
+    e, v = F.col("event_id"), F.floor("value").cast("decimal(20,0)")
+    base = [e.alias("sample_id"), F.col("ts").cast("timestamp").alias("ts")]
+    n = F.sequence(F.lit(1), (e % 3 + 1).cast("int"))
+    parts = {
+        "cpu": [(e % 7 != 0).alias("cpu_ok"), F.slice(F.array("value", F.lit(1.0)), F.lit(1), (e % 3).cast("int")).alias("utilization"),
+                F.when(e % 5 != 0, e).alias("uptime_s"),
+                F.transform(n, lambda i: F.struct(i.alias("core_no"), (i % 2).alias("phys_core"), F.col("event_type").alias("model_name"),
+                                                  (F.col("value") + i).alias("mhz"))).alias("cores"),
+                F.transform(n, lambda i: F.struct(i.alias("num_threads"), F.when(i > 1, i).alias("num_fds"))).alias("procs")],
+        "ram": [(e % 7 != 0).alias("mem_ok"), *[F.when(e % 7 != 0, v).alias(c) for c in ("total_b", "used_b", "free_b", "committed_as", "cached_b")]],
+        "net": [(e % 7 != 0).alias("net_ok"), (e % 5 != 0).alias("conn_ok"),
+                F.when(e % 4 == 0, F.array().cast("array<struct<" + pipelines._COUNTERS + ">>")).otherwise(F.transform(
+                    n, lambda i: F.struct(*[(v + i).cast("decimal(20,0)").alias(c) for c in pipelines.snapshots.NET_COUNTERS]))).alias("ifaces"),
+                F.when(e % 2 == 0, F.array(F.lit("tcp"), F.lit("udp"))).otherwise(F.array().cast("array<string>")).alias("connections")],
+        "file": [(e % 7 != 0).alias("parts_ok"), F.transform(n, lambda i: F.struct(
+            F.concat(F.lit("/m"), i).alias("mountpoint"), (i != 2).alias("usage_ok"), (v + 10).cast("decimal(20,0)").alias("total"),
+            v.alias("used"), F.lit(10).cast("decimal(20,0)").alias("free"), F.lit(0.5).alias("used_percent"))).alias("partitions")],
+    }
+    return events.select(*base, *parts[kind])
+
+
+@pytest.mark.parametrize("kind", ["cpu", "ram", "net", "file"])
+def test_collector_from_messages_to_store_equals_the_batch(spark, scratch, kind):
+    table = open_table(spark, f"{scratch}/{kind}", kind, max_groups=100_000)
+    stream = _messages(_event_stream(spark), kind)
+    run = lambda: pipelines.start(kind, stream, table, f"{scratch}/ck", interval_seconds=600, live=False,
+                                  insert_time="2024-02-01 00:00:00").awaitTermination(300)
+    run()
+    batch = pipelines.per_interval(_messages(spark.read.parquet(f"{SF001}/events.parquet"), kind), 600)
+    last = batch.agg(F.max("window_start")).first()[0]
+    closed = batch.where(F.col("window_start") < F.lit(last))  # the newest interval is still open behind the watermark
+    want = pipelines.ROWS[kind](closed)
+    figures = [c for c in table.schema.names if c not in ("id", "group_id", "insertion_datetime")]
+    got = table.read()
+    assert got.count() == want.count() > 100
+    assert got.select(*figures).exceptAll(want.select(*figures)).count() == 0
+    assert got.select("group_id").distinct().count() == want.select("sample_id").distinct().count()
+    version = table.state().version
+    run()  # restart on the same checkpoint: no new batch, nothing appended
+    assert table.state().version == version
+
+
+def test_backfill_then_live_stops_a_slow_backfill(spark, scratch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=100_000)
+    points = pipelines.per_interval(_messages(_event_stream(spark), "ram"), 600, "1 minute")
+    live = backfill_then_live(points, table, pipelines.ram_rows, f"{scratch}/ck", timeout_s=0.2, interval_seconds=1,
+                              sample_key=["sample_id"], insert_time="2024-02-01 00:00:00")
+    try:
+        deadline = time.time() + 120
+        while not table.read().count() and time.time() < deadline:
+            live.processAllAvailable()
+        assert len([q for q in spark.streams.active if q.id == live.id]) == 1
+    finally:
+        live.stop()
+    assert table.read().count() > 100
+
+
+def test_independent_pipelines_own_checkpoints(spark, scratch):
+    kinds = ("ram", "file")
+    tables = {k: open_table(spark, f"{scratch}/{k}", k, max_groups=10) for k in kinds}
+    qs = pipelines.start_all({k: _messages(_event_stream(spark), k) for k in kinds}, tables, f"{scratch}/ck",
+                             interval_seconds=3600, live=False, insert_time="2024-02-01 00:00:00")
+    for q in qs.values():
+        q.awaitTermination(300)
+    assert all(tables[k].read().select("group_id").distinct().count() == 10 for k in kinds)
+    assert len({q.id for q in qs.values()}) == 2
+
+
+def test_a_new_checkpoint_is_another_writer(spark, scratch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=100_000)
+    points = pipelines.per_interval(_messages(_event_stream(spark), "ram"), 3600, "1 minute")
+    counts = []
+    for name in ("ck1", "ck2"):
+        start_collector(points, table, pipelines.ram_rows, f"{scratch}/{name}", sample_key=["sample_id"], available_now=True,
+                        insert_time="2024-02-01 00:00:00").awaitTermination(300)
+        counts.append(table.read().count())
+    assert counts[1] == 2 * counts[0] > 0
 
 
 def test_empty_batch_draws_no_group(spark, scratch):
@@ -98,46 +291,13 @@ def test_empty_batch_draws_no_group(spark, scratch):
     assert table.state().version == 0
 
 
-def test_independent_pipelines_own_checkpoints(spark, scratch):
-    from hostshelf.streaming.collect import start_collectors
-
-    src = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(SF001)
-    points = latest_per_interval(src.select("event_id", "value", "ts"), "ts", "1 hour")
-    ram = SnapshotTable(spark, f"{scratch}/ram", "ram", max_groups=10)
-    cpu = SnapshotTable(spark, f"{scratch}/cpu", "cpu", max_groups=10)
-
-    def ram_rows(b):
-        return b.select("window_start", F.lit(1).cast("long").alias("total"), F.lit(1).cast("long").alias("used"),
-                        F.lit(0).cast("long").alias("free"), F.col("event_id").alias("commited"),
-                        F.lit(0).cast("long").alias("cached"))
-
-    def cpu_rows(b):
-        return b.select("window_start", F.lit("x").alias("name"), F.lit(1).alias("physical_cores"),
-                        F.lit(2).alias("logical_cores"), F.col("value").alias("utilization"),
-                        F.lit(1.0).alias("current_speed_mhz"), F.lit(1.0).alias("base_speed_mhz"),
-                        F.lit(1).alias("processes_amount"), F.lit(1).alias("threads_amount"),
-                        F.lit(1).alias("handles_amount"), F.col("event_id").alias("uptime"))
-
-    qs = start_collectors({"ram": (points, ram, ram_rows), "cpu": (points, cpu, cpu_rows)}, f"{scratch}/ck",
-                          sample_key=["window_start"], available_now=True, output_mode="complete",
-                          insert_time="2024-02-01 00:00:00")
-    for q in qs.values():
-        q.awaitTermination(300)
-    assert os.path.isdir(f"{scratch}/ck/ram") and os.path.isdir(f"{scratch}/ck/cpu")
-    assert ram.read().select("group_id").distinct().count() == 10
-    assert cpu.read().select("group_id").distinct().count() == 10
-
-
-def test_create_tables_if_absent(spark, scratch):
-    from hostshelf.schemas import CPU, FILE, NET, RAM, SESSION_KEYS
-    from hostshelf.sinks.store import create_table_if_absent
-    from hostshelf.sources.tables import read_session_keys
-
-    for name, schema in {"session_keys": SESSION_KEYS, "info_cpu": CPU, "info_ram": RAM,
-                         "info_net": NET, "info_file": FILE}.items():
-        path = f"{scratch}/{name}"
-        assert create_table_if_absent(spark, path, schema)
-        assert not create_table_if_absent(spark, path, schema)
-        assert spark.read.schema(schema).parquet(path).columns == schema.names
-    keys = read_session_keys(spark, f"{scratch}/session_keys")
-    assert keys.count() == 0 and keys.columns == SESSION_KEYS.names
+def test_unsigned_readings(spark):
+    df = spark.createDataFrame([("9223372036854775807",), ("0",), (None,)], "s string").select(F.col("s").cast("decimal(20,0)").alias("d"))
+    got = df.select(pipelines.snapshots.unsigned_long(F.col("d")).alias("x")).collect()
+    assert [r.x for r in got] == [2 ** 63 - 1, 0, None]
+    with pytest.raises(Exception, match="does not fit"):
+        spark.sql("SELECT CAST('18446744073709551615' AS DECIMAL(20,0)) AS d").select(pipelines.snapshots.unsigned_long(F.col("d"))).collect()
+
+
+def test_key_table_is_a_logged_table():
+    assert issubclass(KeyTable, SnapshotTable.__mro__[1])
