@@ -306,12 +306,15 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
 
     `in_task` gets an iterator of batches of `block_texts`, sorted by gram, and yields such spans.
     """
-    classed = with_classes(repeated_blocks(rows, kind))
+    classed = staged(with_classes(repeated_blocks(rows, kind)), "classed")
+    reps = staged(representatives(classed), "representatives")
     whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n")
-    texts = block_texts(representatives(classed), rows, kind)
-    few = (texts.where(F.col("rivals") <= crowd).repartition("h").sortWithinPartitions("h")
+    few = (block_texts(reps.where(F.col("rivals") <= crowd), rows, kind).repartition("h").sortWithinPartitions("h")
            .mapInArrow(in_task, "ord long, text_key long, s int, n int"))
-    return whole.union(few).union(crowded(texts.where(F.col("rivals") > crowd), kind, first_only))
+    many = reps.where(F.col("rivals") > crowd)
+    if many.isEmpty():
+        return whole.union(few)
+    return whole.union(few).union(crowded(block_texts(many, rows, kind), kind, first_only))
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
