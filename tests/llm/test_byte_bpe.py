@@ -22,20 +22,22 @@ def texts():
     return out + ["", " ", "\n\n\n", "<|endoftext|>", "a" * 5000, "= " * 900, "Don't we'll", "x" * 199 + "é" * 100, "ab" * 99, "-" * 250]
 
 
-def test_ids_and_bytes_equal_the_library(frame, library):
+@pytest.mark.parametrize("native", [False, True])
+def test_ids_and_bytes_equal_the_library(frame, library, native):
     rows = list(enumerate(texts()))
-    got = {r.doc_id: r.ids for r in byte_bpe.encoded(frame(rows), RANKS).collect()}
+    got = {r.doc_id: r.ids for r in byte_bpe.encoded(frame(rows), RANKS, native=native).collect()}
     assert {i: library.encode_ordinary(t) for i, t in rows} == got
 
 
-def test_report_hashes(frame, library):
+@pytest.mark.parametrize("native", [False, True])
+def test_report_hashes(frame, library, native):
     import hashlib
     rows = [(1, "one two  three"), (2, None), (2, "x"), (2, "x"), (None, "née"), (3, "")]
     def want(i, t):
         ids = library.encode_ordinary(t or "")
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())
-    got = [tuple(r) for r in byte_bpe.report(frame(rows), RANKS).collect()]
+    got = [tuple(r) for r in byte_bpe.report(frame(rows), RANKS, native=native).collect()]
     assert sorted(got, key=repr) == sorted((want(*r) for r in rows), key=repr)
 
 
@@ -59,6 +61,7 @@ def test_long_words_follow_the_same_merges(library):
     for _ in range(60):
         word = "".join(rnd.choices(rnd.choice(["ab", "aeiounrst", "é漢a", "="]), k=rnd.randint(1, 400)))
         assert byte_bpe.merged_long(word.encode(), RANKS) == library._encode_single_piece(word.encode())
+        assert byte_bpe.merged(word.encode(), RANKS) == library._encode_single_piece(word.encode())
 
 
 def test_vocabulary_files_agree():
