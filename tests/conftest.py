@@ -14,8 +14,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from hostshelf.session import build_session, checkpoint_dir
 
-    s = build_session("local[*]", 8)
-    checkpoint_dir(s)  # the session's folder, or a fresh scratch one in local mode
+    s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="hostshelf-shared-")})
+    checkpoint_dir(s)
     yield s
     s.stop()
 
