@@ -8,13 +8,15 @@ those k that the cutoff would reject. The cutoff is certified when the exact
 binomial tail P(Bin(n, alpha / rules) <= k) is at most delta / tests
 (Bonferroni over all strata, rules and cutoffs): then, with confidence
 1 - delta, no stratum loses more than a share `alpha` of its good documents
-to all rules together. The lowest certified cutoff applies; a stratum with too
-few labels gets none, and only the base rules hold there.
+to all rules together. Of the certified cutoffs the one that rejects the most
+bad documents less good ones applies, of equal ones the highest, so that a rule
+takes no more than it needs; a stratum with too few labels gets none, and only
+the base rules hold there. Documents that the base rules reject take no part.
 
 Defined results: null text has no words (so it fails the base rule); a null
 language is a stratum of its own; null labels are ignored; a document with
-several labels counts as good if one of them says so; without labels only the
-base rules apply.
+several labels counts as good if one of them says so, else as bad; without
+labels only the base rules apply.
 """
 
 from __future__ import annotations
@@ -104,15 +106,18 @@ def certified_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA,
 
     `rows` holds doc_id, stratum and the score columns. A score at or above its cutoff is rejected.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    cells = [F.sum((F.col(r) >= c).cast("long")).alias(f"{r}_{j}") for r in RULES for j, c in enumerate(grid)]
-    counts = rows.join(good, "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *cells)
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    hits = {r: [F.col(r) >= c for c in grid] for r in RULES}
+    cells = [F.sum((kind & h).cast("long")).alias(f"{r}_{j}_{name}") for name, kind in (("k", F.col("good")), ("bad", ~F.col("good")))
+             for r in RULES for j, h in enumerate(hits[r])]
+    counts = rows.join(known, "doc_id").groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), *cells)
     strata = counts.withColumn("tests", F.count("*").over(_whole()) * (len(RULES) * len(grid)))
     p = alpha / len(RULES)
-    lowest = {r: F.least(*[F.when(log_binomial_cdf(F.col("n"), F.col(f"{r}_{j}"), p)
-                                  <= F.lit(math.log(delta)) - F.log("tests"), F.lit(c)) for j, c in enumerate(grid)])
-              for r in RULES}
-    return strata.select("stratum", *[c.alias(f"cut_{r}") for r, c in lowest.items()])
+    limit = F.lit(math.log(delta)) - F.log("tests")
+    best = {r: F.array_max(F.array(*[F.when(log_binomial_cdf(F.col("n"), F.col(f"{r}_{j}_k"), p) <= limit,
+                                            F.struct((F.col(f"{r}_{j}_bad") - F.col(f"{r}_{j}_k")).alias("gain"), F.lit(c).alias("cut")))
+                                     for j, c in enumerate(grid)])).getField("cut") for r in RULES}
+    return strata.select("stratum", *[c.alias(f"cut_{r}") for r, c in best.items()])
 
 
 def _whole():
@@ -123,7 +128,7 @@ def _whole():
 
 def judged(rows: DataFrame, labels: DataFrame, m: str = "m", **method) -> DataFrame:
     """`rows` (with doc_id, lang and the struct `m`) plus base_failed and kept."""
-    scored = rows.select("doc_id", _stratum().alias("stratum"), *[c.alias(r) for r, c in scores(m).items()])
+    scored = rows.where(~base_failed(m)).select("doc_id", _stratum().alias("stratum"), *[c.alias(r) for r, c in scores(m).items()])
     cuts = staged(certified_cutoffs(scored, labels, **method), "cutoffs")
     rejected = F.coalesce(*[F.when(c >= F.col(f"cut_{r}"), True) for r, c in scores(m).items()], F.lit(False))
     return (rows.withColumn("stratum", _stratum()).join(cuts, "stratum", "left")
@@ -173,15 +178,16 @@ s AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
               CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0 END,
               CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
               CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END] AS score FROM m),
-good AS (SELECT stratum, score FROM s
-         WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)),
-cell AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (score[rule] >= cut) AS k
-         FROM good, range(1, 6) AS a(rule), unnest([{_GRID_SQL}]) AS b(cut) GROUP BY ALL),
+known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+cell AS (SELECT stratum, rule, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND score[rule] >= cut) AS k,
+                count(*) FILTER (NOT good AND score[rule] >= cut) AS bad
+         FROM s JOIN known USING (doc_id), range(1, 6) AS a(rule), unnest([{_GRID_SQL}]) AS b(cut)
+         WHERE NOT base_failed GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN k >= n * {ALPHA / len(RULES)} THEN 1.0 ELSE
              list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
                  + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))) END AS p FROM cell),
-cuts AS (SELECT stratum, rule, min(cut) AS cut FROM tail
-         WHERE p <= {DELTA} / (SELECT count(*) FROM cell) GROUP BY ALL),
+cuts AS (SELECT stratum, rule, cut FROM tail WHERE p <= {DELTA} / (SELECT count(*) FROM cell)
+         QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, cut DESC) = 1),
 bad AS (SELECT DISTINCT r FROM s JOIN cuts USING (stratum) WHERE score[rule] >= cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM s
