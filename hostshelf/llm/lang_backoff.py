@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostshelf.llm.common import staged
+from hostshelf.operators.ranking import kth_largest
 
 ORDERS = (4, 3, 2, 1)
 MAX_WORDS, MAX_GRAMS, MIN_COUNT = 60_000, 20_000, 3
@@ -38,7 +39,7 @@ UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Entries of a worker's memory of unseen words (a cache, never a limit on results).
-_CACHE = 100_000
+_CACHE = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,66 +91,71 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of the kept units: a row per unit, a column per language."""
+    """Log frequencies of the kept units: a row per unit (words, then the n-grams of each order), a column per language."""
 
-    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
-        self.langs, self.tables, self.seen = langs, tables, {}
+    def __init__(self, langs: list[str], index: dict[int, dict[str, int]], logs: np.ndarray):
+        self.langs, self.index, self.logs, self.seen = langs, index, logs, {}
 
-    def unseen(self, word: str) -> np.ndarray:
-        if word not in self.seen:
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The word's own row, else the rows of its longest known n-grams; empty if nothing of it is known."""
+        found = self.seen.get(word)
+        if found is None:
+            at = self.index[0].get(word)
+            found = (at,) if at is not None else self._backoff(word)
             if len(self.seen) >= _CACHE:
                 self.seen.clear()
-            self.seen[word] = self._backoff(word)
-        return self.seen[word]
+            self.seen[word] = found
+        return found
 
-    def _backoff(self, word: str) -> np.ndarray:
+    def _backoff(self, word: str) -> tuple[int, ...]:
         for order in ORDERS:
-            index, logs = self.tables[order]
-            at = [index[g] for g in grams_of(word, order) if g in index]
-            if at:
-                return logs[at].mean(axis=0)
-        return np.zeros(len(self.langs))
+            known = self.index[order]
+            if at := [known[g] for g in grams_of(word, order) if g in known]:
+                return tuple(at)
+        return ()
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, share): every word counts once per place, an unseen one by the mean of its n-grams."""
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        index, logs = self.tables[0]
-        total, known, times = np.zeros(len(self.langs)), [], []
+        at, weight = [], []
         for word, n in Counter(words).items():
-            at = index.get(word)
-            if at is None:
-                total += n * self.unseen(word)
-            else:
-                known.append(at)
-                times.append(n)
-        if known:
-            total += np.array(times, float) @ logs[known]
+            rows = self.rows(word)
+            if len(rows) == 1:
+                at.append(rows[0])
+                weight.append(n)
+            elif rows:
+                at.extend(rows)
+                weight.extend([n / len(rows)] * len(rows))
+        total = np.array(weight, float) @ self.logs[at] if at else np.zeros(len(self.langs))
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
 
 def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Count, keep the most frequent units (ties by spelling), and take logarithms."""
+    """Count, keep the most frequent units, and take logarithms.
+
+    A unit is kept if its count is over that of the first one beyond the bound,
+    so at most `max_words` words and `max_grams` n-grams per order come to the driver.
+    """
     counts = staged(counted(docs), "counts")
-    totals = counts.groupBy("ord", "lang").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in totals})
-    tables = {}
+    totals = {(r["ord"], r["lang"]): r["n"] for r in counts.groupBy("ord", "lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted({lang for _, lang in totals})
+    per_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    units = staged(counts.groupBy("ord", "unit").agg(F.sum("n").alias("all"), *per_lang).where(F.col("all") >= MIN_COUNT), "units")
+    index, logs, size = {}, [], 0
     for order in (0, *ORDERS):
-        per_lang = {r["lang"]: r["n"] for r in totals if r["ord"] == order}
-        top = (counts.where(F.col("ord") == order).groupBy("unit")
-               .agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
-                                               for i, x in enumerate(langs)])
-               .where(F.col("all") >= MIN_COUNT).orderBy(F.desc("all"), "unit")
-               .limit(max_grams if order else max_words))
-        rows = top.toPandas() if langs else None
-        units = [] if rows is None else rows["unit"].tolist()
-        n = np.array([[per_lang.get(x, 0) for x in langs]], float)
-        hits = rows[[f"n{i}" for i in range(len(langs))]].to_numpy(float) if units else np.zeros((0, len(langs)))
-        logs = np.log((hits + SMOOTHING) / (n + SMOOTHING * max(1, len(units))))
-        tables[order] = ({u: i for i, u in enumerate(units)}, logs)
-    return Model(langs, tables)
+        of = units.where(F.col("ord") == order)
+        beyond = kth_largest(of, "all", (max_grams if order else max_words) + 1, distinct=False)
+        rows = (of if beyond is None else of.where(F.col("all") > beyond)).drop("ord", "all").toPandas().sort_values("unit")
+        index[order] = {u: size + i for i, u in enumerate(rows["unit"])}
+        size += len(rows)
+        n = np.array([[totals.get((order, x), 0) for x in langs]], float)
+        hits = rows.drop(columns="unit").to_numpy(float).reshape(len(rows), len(langs))
+        logs.append(np.log((hits + SMOOTHING) / (n + SMOOTHING * max(1, len(rows)))))
+    return Model(langs, index, np.concatenate(logs))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

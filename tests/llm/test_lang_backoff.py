@@ -42,9 +42,10 @@ def test_backoff_for_unseen_words_and_defined_cases(frame):
 
 def test_bounded_model_still_scores(frame):
     rows = [(i, "one two three four" if i % 2 else "eins zwei drei vier", "en" if i % 2 else "de", "s") for i in range(40)]
-    model = lang.learn(frame(rows), max_words=2, max_grams=5)
-    assert len(model.tables[0][0]) == 2 and len(model.tables[4][0]) <= 5
-    assert model.predict("three")[0] == "en"
+    rows += [(100 + i, "often often rest", "en", "s") for i in range(40)]
+    model = lang.learn(frame(rows), max_words=2, max_grams=30)
+    assert 1 <= len(model.index[0]) <= 2 and len(model.index[4]) <= 30 and len(model.logs) == sum(map(len, model.index.values()))
+    assert model.predict("often")[0] == "en" and model.predict("oft")[0] == "en"
 
 
 def test_no_training_rows(frame):
