@@ -244,7 +244,8 @@ def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
                 ("ord", pa.int64()), ("text_key", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32()),
                 ("members", pa.int64()), ("rivals", pa.int64()), ("left", pa.int32()), ("body", pa.binary())]))
 
-    return (by_doc.join(rows, ["ord", "text_key"]).select("ord", "text_key", "blocks", "text")  # the same exchange as in `with_spans`
+    # All columns of `rows`, so that `with_spans` can use the same exchange of the documents again.
+    return (by_doc.join(rows, ["ord", "text_key"])
             .mapInArrow(apply, "ord long, text_key long, h long, s int, n int, members long, rivals long, left int, body binary"))
 
 
