@@ -61,7 +61,7 @@ def test_misfit_filter_is_an_error():
 
 def test_short_names_resolve_within_table(spark, fx):
     # `total_min` exists for RAM and disk: each table uses its own column.
-    ram = info_query(fx.info_ram, "ram", {"total_min": "16000000001"}).count()
+    ram = info_query(fx.info_ram, "ram", {"total_min": "20000000001"}).count()
     disk = info_query(fx.info_file, "file", {"total_min": "100000"}).count()
     assert ram == 0 and disk == fx.info_file.count()
     documented = info_query(fx.info_cpu, "cpu", {"cpu_physical_cores_max": "3"}).count()
