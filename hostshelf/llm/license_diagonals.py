@@ -59,7 +59,7 @@ TEMPLATES = (
 )
 
 GRAM, SHORT_GRAM = 3, 2
-MIN_COVER, SLACK = 0.85, 2
+MIN_COVER, SLACK = 0.9, 2
 _OWN = "own row"  # stands for the document itself, so that one pass also returns documents without a hit
 
 
