@@ -204,20 +204,22 @@ def repeated_blocks(rows: DataFrame, kind: Kind) -> DataFrame:
               .groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     found = rows.select("ord", "text_key", "text").mapInArrow(
         _block_rows(kind), "h long, g long, ord long, text_key long, s int, n int")
-    return staged(found.join(counts, "h"), "blocks").withColumn(
+    # Staged first: a join with a written table, unlike one with an aggregate, can be split where a gram is hot.
+    return staged(found.join(staged(counts, "grams"), "h"), "blocks").withColumn(
         "place", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("s"))
 
 
 def with_classes(found: DataFrame) -> DataFrame:
     """`found` plus its class's `members` and `first` place."""
     classes = found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first"))
-    return found.join(classes, ["h", "g", "n"])
+    return found.join(staged(classes, "classes"), ["h", "g", "n"])
 
 
-def representatives(classed: DataFrame) -> DataFrame:
-    """The first block of every class of a contested gram, with `rivals`, the number of its gram's classes."""
+def representatives(classed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first block of every class of a contested gram with `rivals`, the number of its gram's classes; those numbers)."""
     reps = classed.where("place = first").dropDuplicates(["h", "g", "n"])
-    return reps.join(reps.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1"), "h")
+    rivals = staged(reps.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1"), "rivals")
+    return reps.join(rivals, "h"), rivals
 
 
 def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
@@ -308,14 +310,14 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
     `in_task` gets an iterator of batches of `block_texts`, sorted by gram, and yields such spans.
     """
     classed = staged(with_classes(repeated_blocks(rows, kind)), "classed")
-    reps = staged(representatives(classed), "representatives")
+    reps, rivals = representatives(classed)
     whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n")
     few = (block_texts(reps.where(F.col("rivals") <= crowd), rows, kind).repartition("h").sortWithinPartitions("h")
            .mapInArrow(in_task, "ord long, text_key long, s int, n int"))
-    many = reps.where(F.col("rivals") > crowd)
-    if many.isEmpty():
+    many = F.col("rivals") > crowd
+    if rivals.where(many).isEmpty():
         return whole.union(few)
-    return whole.union(few).union(crowded(block_texts(many, rows, kind), kind, first_only))
+    return whole.union(few).union(crowded(block_texts(reps.where(many), rows, kind), kind, first_only))
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:

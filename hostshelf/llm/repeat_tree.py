@@ -147,7 +147,7 @@ def repeat_groups(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     kind = Kind(False, window, gram)
     rows = rows_of(docs)
     classed = anchors.staged(anchors.with_classes(anchors.repeated_blocks(rows, kind)), "classed")
-    texts = anchors.block_texts(anchors.representatives(classed), rows, kind)
+    texts = anchors.block_texts(anchors.representatives(classed)[0], rows, kind)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in anchors.grouped(batches, PORTION):
