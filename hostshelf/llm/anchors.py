@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import staged
+from hostshelf.llm.common import split_join, staged
 
 #: Units handled at once in a task; longer texts are cut into pieces that overlap by one window.
 CHUNK = 1 << 20
@@ -204,22 +204,21 @@ def repeated_blocks(rows: DataFrame, kind: Kind) -> DataFrame:
               .groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     found = rows.select("ord", "text_key", "text").mapInArrow(
         _block_rows(kind), "h long, g long, ord long, text_key long, s int, n int")
-    # Staged first: a join with a written table, unlike one with an aggregate, can be split where a gram is hot.
-    return staged(found.join(staged(counts, "grams"), "h"), "blocks").withColumn(
+    return staged(split_join(found, counts, ["h"]), "blocks").withColumn(
         "place", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("s"))
 
 
 def with_classes(found: DataFrame) -> DataFrame:
     """`found` plus its class's `members` and `first` place."""
     classes = found.groupBy("h", "g", "n").agg(F.count("*").alias("members"), F.min("place").alias("first"))
-    return found.join(staged(classes, "classes"), ["h", "g", "n"])
+    return split_join(found, classes, ["h", "g", "n"])
 
 
 def representatives(classed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first block of every class of a contested gram with `rivals`, the number of its gram's classes; those numbers)."""
     reps = classed.where("place = first").dropDuplicates(["h", "g", "n"])
-    rivals = staged(reps.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1"), "rivals")
-    return reps.join(rivals, "h"), rivals
+    rivals = reps.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    return split_join(reps, rivals, ["h"]), rivals
 
 
 def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:

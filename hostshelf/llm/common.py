@@ -72,23 +72,37 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def split_join(rows: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of `rows` with a table aggregated by `keys` (the first one a long), fit for hot keys.
+
+    Joined on the complement of the first key: the aggregate's own partitioning
+    then does not serve the join, both sides get an exchange, and adaptive
+    execution can split a hot key's rows (it leaves a join alone whose other
+    side is an aggregate without an exchange of its own).
+    """
+    first, *others = keys
+    mark = F.bitwise_not(F.col(first)).alias("_not_key")
+    return (rows.select("*", mark).join(grouped.select("*", mark).drop(first), ["_not_key", *others])
+            .select(*rows.columns, *[c for c in grouped.columns if c not in keys]))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b) but the roots: root is the component's smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Every
-    step is a grouped minimum (combined before the shuffle) and a join that
-    adaptive execution can split, so a star of any size is fine; each round is
-    staged in the shared folder. Self loops are ignored.
+    step is a grouped minimum (combined before the shuffle) and a `split_join`,
+    so a star of any size is fine; each round is staged in the shared folder.
+    Self loops are ignored.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (split_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = split_join(large, low, ["u"])
         e = staged(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                    .union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostshelf.llm.common import only, rows_of, staged
+from hostshelf.llm.common import only, rows_of, split_join, staged
 
 #: Bytes of the text in the range key; bounds what the splitter sample sends to the driver.
 PREFIX_BYTES = 32
@@ -87,7 +87,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = runs.join(moved, "run", "left").withColumn("root", F.coalesce("root", "run"))
     sizes = rows.groupBy("root").agg(F.count("*").alias("group_size"))
     keepers = heads.select(F.col("run").alias("root"), F.col("doc_id").alias("keep_id")).join(sizes, "root")
-    return rows.join(keepers, "root").select(
+    return split_join(rows, keepers, ["root"]).select(
         "doc_id", "text_key", "keep_id", "group_size", (F.col("head") & (F.col("run") == F.col("root"))).alias("kept"),
         "text_sha256")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostshelf.llm.anchors import Hasher, _mix
-from hostshelf.llm.common import rows_of, staged
+from hostshelf.llm.common import rows_of, split_join, staged
 
 MIN_CHARS = 20
 HALVES, SIXTEENTHS = 2, 16
@@ -111,7 +111,7 @@ def _lines(min_chars: int) -> Callable:
 def _agreeing(keys: DataFrame) -> DataFrame:
     """The regions of `keys` in which another line has the same key, per line."""
     shared = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("key")
-    return (keys.join(shared, "key").groupBy("a", "b")
+    return (split_join(keys, shared, ["key"]).groupBy("a", "b")
             .agg(F.collect_list(F.struct("role", "lo", "hi")).alias("regions")))
 
 
@@ -197,7 +197,7 @@ def earlier_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFram
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
     least = each.groupBy("key").agg(*[of(i).alias(f"p{i}") for i in range(3)])
     partner = F.when(F.col("kind") == 0, F.col("p0")).when(F.col("kind") == 1, F.col("p2")).otherwise(F.col("p1"))
-    found = (each.join(least, "key").withColumn("partner", partner).where("partner < first")
+    found = (split_join(each, least, ["key"]).withColumn("partner", partner).where("partner < first")
              .groupBy("a", "b").agg(F.min("partner").alias("partner")))
     bodies = near.select("a", "b", "body")
     other = near.select(F.col("first").alias("partner"), F.col("body").alias("other")).dropDuplicates(["partner"])
