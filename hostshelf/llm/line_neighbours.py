@@ -110,7 +110,8 @@ def _lines(min_chars: int) -> Callable:
 
 def _agreeing(keys: DataFrame) -> DataFrame:
     """The regions of `keys` in which another line has the same key, per line."""
-    shared = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("key")
+    ends = [f(c).alias(f"{c}{i}") for c in ("a", "b") for i, f in enumerate((F.min, F.max))]
+    shared = keys.groupBy("key").agg(*ends).where("a0 < a1 OR b0 < b1").select("key")
     return (split_join(keys, shared, ["key"]).groupBy("a", "b")
             .agg(F.collect_list(F.struct("role", "lo", "hi")).alias("regions")))
 
