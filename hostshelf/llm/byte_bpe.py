@@ -166,8 +166,8 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     return _CLASSES[pattern]
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per portion: the distinct words in hex, and for each document its id, its words' end and (as int32 bytes) numbers."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
+    """Per portion: the documents' ids, the ends of their words, the words' numbers, and the distinct words."""
     for b in batches:
         tokens, ids = b.column("tokens"), b.column("doc_id")
         ends = tokens.offsets.to_numpy().astype(np.int64)
@@ -175,20 +175,30 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while i < len(tokens):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + PORTION, "right")) - 1)
             coded = tokens.values.slice(ends[i], ends[j] - ends[i]).dictionary_encode()
-            words = [w.as_buffer().to_pybytes().hex().upper() for w in coded.dictionary]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                 pa.array([(ends[i + 1:j + 1] - ends[i]).tolist()], pa.list_(pa.int64())),
-                 pa.array([coded.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-                 pa.array([words], pa.list_(pa.string()))], names=["doc_ids", "ends", "numbers", "words"])
+            yield (ids.slice(i, j - i).to_pylist(), ends[i + 1:j + 1] - ends[i], coded.indices.to_numpy(zero_copy_only=False),
+                   coded.dictionary.cast(pa.binary()).to_pylist())
             i = j
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per portion, for the native form: words in hex, their numbers as int32 bytes."""
+    for doc_ids, ends, numbers, words in _grouped(batches):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([doc_ids], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())),
+             pa.array([numbers.astype("<i4").tobytes()], pa.binary()),
+             pa.array([[w.hex().upper() for w in words]], pa.list_(pa.string()))], names=["doc_ids", "ends", "numbers", "words"])
+
+
+def split_words(docs: DataFrame, pattern: str = vocab.PATTERN) -> DataFrame:
+    """doc_id and `tokens`, the matches of the pattern in order."""
+    return id_and_text(docs).select("doc_id", F.regexp_extract_all(
+        "text", F.lit(java_pattern(docs.sparkSession, pattern)), F.lit(0)).alias("tokens"))
+
+
 def portions(docs: DataFrame, pattern: str = vocab.PATTERN) -> DataFrame:
     """Rows of documents and their distinct words (`words`, in hex)."""
-    split = id_and_text(docs).select("doc_id", F.regexp_extract_all(
-        "text", F.lit(java_pattern(docs.sparkSession, pattern)), F.lit(0)).alias("tokens"))
-    return split.mapInArrow(_portions, "doc_ids array<long>, ends array<long>, numbers binary, words array<string>")
+    return split_words(docs, pattern).mapInArrow(
+        _portions, "doc_ids array<long>, ends array<long>, numbers binary, words array<string>")
 
 
 def folded_natively(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -246,32 +256,36 @@ def _worker_words(shared) -> _Words:
     return held
 
 
-def _rows(batches: Iterator[pa.RecordBatch], words: _Words):
+def _folded(batches: Iterator[pa.RecordBatch], words: _Words):
     """Per portion: document ids, their word numbers, and per distinct word its ids and decoded bytes."""
     piece = {rank: token for token, rank in words.ranks.items()}
+    for doc_ids, ends, numbers, own in _grouped(batches):
+        ids = [words.ids(w) for w in own]
+        yield doc_ids, np.split(numbers, ends[:-1]), ids, [b"".join([piece[i] for i in x]) for x in ids]
+
+
+def _from_native(batches: Iterator[pa.RecordBatch], words: _Words):
+    """The same from portions that are folded natively; long words are filled in."""
     for b in batches:
-        native = "ids" in b.schema.names
-        for r in range(b.num_rows):
-            doc_ids, ends = b.column("doc_ids")[r].as_py(), b.column("ends")[r].as_py()
-            numbers = np.frombuffer(b.column("numbers")[r].as_buffer(), "<i4")
-            own = [bytes.fromhex(w) for w in b.column("words")[r].as_py()]
-            ids, data = (b.column("ids")[r].as_py(), b.column("pieces")[r].as_py()) if native else ([None] * len(own), [None] * len(own))
+        for r in b.to_pylist():
+            ids, data = r["ids"], r["pieces"]
             for w, x in enumerate(ids):
                 if x is None:
-                    ids[w] = words.ids(own[w])
-                    data[w] = b"".join([piece[i] for i in ids[w]])
-            yield doc_ids, np.split(numbers, ends[:-1]) if ends else [], ids, data
+                    data[w] = bytes.fromhex(r["words"][w])
+                    ids[w] = words.ids(data[w])
+            yield r["doc_ids"], np.split(np.frombuffer(r["numbers"], "<i4"), r["ends"][:-1]), ids, data
 
 
 def _applied(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool, schema: str, per_portion) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file
+    read = _from_native if native else _folded
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for portion in _rows(batches, _worker_words(shared)):
+        for portion in read(batches, _worker_words(shared)):
             yield per_portion(*portion)
 
-    rows = portions(docs, pattern)
-    return (folded_natively(rows, ranks) if native else rows).mapInArrow(apply, schema)
+    rows = folded_natively(portions(docs, pattern), ranks) if native else split_words(docs, pattern)
+    return rows.mapInArrow(apply, schema)
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = vocab.PATTERN, native: bool = False) -> DataFrame:
