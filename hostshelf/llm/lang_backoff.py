@@ -68,16 +68,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found: Counter = Counter()
+        found: dict[tuple[str, int], dict[str, int]] = {}
         for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n"))):
             for order in ORDERS:
+                counts = found.setdefault((lang, order), {})
                 for g in grams_of(word, order):
-                    found[lang, order, g] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-            names=["lang", "ord", "unit", "n"])
+                    counts[g] = counts.get(g, 0) + n
+        for (lang, order), counts in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(counts), pa.string()), pa.array(np.full(len(counts), order, np.int32)),
+                 pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                names=["lang", "ord", "unit", "n"])
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -98,13 +99,11 @@ class Model:
 
     def rows(self, word: str) -> tuple[int, ...]:
         """The word's own row, else the rows of its longest known n-grams; empty if nothing of it is known."""
-        found = self.seen.get(word)
-        if found is None:
-            at = self.index[0].get(word)
-            found = (at,) if at is not None else self._backoff(word)
-            if len(self.seen) >= _CACHE:
-                self.seen.clear()
-            self.seen[word] = found
+        at = self.index[0].get(word)
+        found = (at,) if at is not None else self._backoff(word)
+        if len(self.seen) >= _CACHE:
+            self.seen.clear()
+        self.seen[word] = found
         return found
 
     def _backoff(self, word: str) -> tuple[int, ...]:
@@ -119,9 +118,11 @@ class Model:
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        at, weight = [], []
+        at, weight, known, learn_rows = [], [], self.seen.get, self.rows
         for word, n in Counter(words).items():
-            rows = self.rows(word)
+            rows = known(word)
+            if rows is None:
+                rows = learn_rows(word)
             if len(rows) == 1:
                 at.append(rows[0])
                 weight.append(n)
