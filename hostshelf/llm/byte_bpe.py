@@ -15,7 +15,7 @@ The fold comes in two forms with equal results:
   bytes, since Spark looks maps up one key after the other) and the pieces as a
   literal array. Bytes are written in hex, two digits each.
 * the default: the same fold in Arrow batches, where the portions are anyway.
-  It takes about a fifth of the time (figures in the README).
+  It takes about an eighth of the time (figures in the README).
 
 Words over `LONG_WORD` bytes (runs of one kind of character without a break)
 are merged by the same rule with a heap, since a fold over an array costs the
