@@ -17,7 +17,7 @@ from hostshelf.llm.common import documents, staged
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_risk.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_risk.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), joint=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

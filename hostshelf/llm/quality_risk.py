@@ -13,6 +13,16 @@ bad documents less good ones applies, of equal ones the highest, so that a rule
 takes no more than it needs; a stratum with too few labels gets none, and only
 the base rules hold there. Documents that the base rules reject take no part.
 
+That split needs about 900 good labels of a stratum before any cutoff can be
+certified. With `joint` (the pipeline) half of delta goes to a second family:
+the set that all rules together reject at one common cutoff, tested at the
+whole alpha, P(Bin(n, alpha) <= k) <= delta / 2 / strata, as a fixed sequence
+from the highest cutoff down (k only grows on the way, so the levels before the
+first failure are those that pass). At the lowest level that passes every rule
+may have any cutoff from there up, since the set so rejected is a part of the
+certified one. The other half goes to the split above; per stratum the family
+with the greater sum of the rules' gains applies, on a tie the split.
+
 Defined results: null text has no words (so it fails the base rule); a null
 language is a stratum of its own; null labels are ignored; a document with
 several labels counts as good if one of them says so, else as bad; without
@@ -101,8 +111,8 @@ def log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
 
 
 def certified_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-                      grid: tuple[float, ...] = GRID) -> DataFrame:
-    """(stratum, one cutoff column per rule) of the strata in which some cutoff is certified.
+                      grid: tuple[float, ...] = GRID, joint: bool = False) -> DataFrame:
+    """(stratum, one cutoff column per rule) of the labelled strata; null where no cutoff is certified.
 
     `rows` holds doc_id, stratum and the score columns. A score at or above its cutoff is rejected.
     """
@@ -110,14 +120,28 @@ def certified_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     hits = {r: [F.col(r) >= c for c in grid] for r in RULES}
     cells = [F.sum((kind & h).cast("long")).alias(f"{r}_{j}_{name}") for name, kind in (("k", F.col("good")), ("bad", ~F.col("good")))
              for r in RULES for j, h in enumerate(hits[r])]
+    if joint:
+        cells += [F.sum((F.col("good") & (F.greatest(*RULES) >= c)).cast("long")).alias(f"all_{j}_k") for j, c in enumerate(grid)]
     counts = rows.join(known, "doc_id").groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), *cells)
-    strata = counts.withColumn("tests", F.count("*").over(_whole()) * (len(RULES) * len(grid)))
-    p = alpha / len(RULES)
-    limit = F.lit(math.log(delta)) - F.log("tests")
-    best = {r: F.array_max(F.array(*[F.when(log_binomial_cdf(F.col("n"), F.col(f"{r}_{j}_k"), p) <= limit,
-                                            F.struct((F.col(f"{r}_{j}_bad") - F.col(f"{r}_{j}_k")).alias("gain"), F.lit(c).alias("cut")))
-                                     for j, c in enumerate(grid)])).getField("cut") for r in RULES}
-    return strata.select("stratum", *[c.alias(f"cut_{r}") for r, c in best.items()])
+    strata = counts.withColumn("strata", F.count("*").over(_whole()))
+
+    def best(rule: str, passes: list[Column]) -> Column:
+        return F.array_max(F.array(*[F.when(ok, F.struct(
+            (F.col(f"{rule}_{j}_bad") - F.col(f"{rule}_{j}_k")).alias("gain"), F.lit(c).alias("cut")))
+            for j, (c, ok) in enumerate(zip(grid, passes))]))
+
+    p, n = alpha / len(RULES), F.col("n")
+    limit = F.lit(math.log(delta / 2 if joint else delta)) - F.log("strata")
+    split = {r: best(r, [log_binomial_cdf(n, F.col(f"{r}_{j}_k"), p) <= limit - math.log(len(RULES) * len(grid))
+                         for j in range(len(grid))]) for r in RULES}
+    if not joint:
+        return strata.select("stratum", *[c.getField("cut").alias(f"cut_{r}") for r, c in split.items()])
+    strata = strata.select("*", *[(log_binomial_cdf(n, F.col(f"all_{j}_k"), alpha) <= limit).alias(f"all_{j}") for j in range(len(grid))])
+    strata = strata.select("stratum", *[c.alias(f"split_{r}") for r, c in split.items()],
+                           *[best(r, [F.col(f"all_{j}") for j in range(len(grid))]).alias(f"joint_{r}") for r in RULES])
+    gain = lambda kind: sum(F.coalesce(F.col(f"{kind}_{r}.gain"), F.lit(0)) for r in RULES)
+    return strata.select("stratum", *[F.when(gain("joint") > gain("split"), F.col(f"joint_{r}.cut"))
+                                      .otherwise(F.col(f"split_{r}.cut")).alias(f"cut_{r}") for r in RULES])
 
 
 def _whole():

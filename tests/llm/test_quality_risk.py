@@ -1,9 +1,11 @@
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hostshelf.llm import quality_risk as q
 
 
@@ -81,3 +83,55 @@ def test_empty_table_and_native_plan(spark, frame):
     assert q.report(frame([(1, "a")]).where("false"), labels).collect() == []
     plan = q.measured(frame([(1, "a")]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def tail(n, k, p):
+    return 1.0 if k >= n * p else sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def joint_brute(rows):
+    """stratum to its cutoffs, from (stratum, good, scores)."""
+    out, names = {}, sorted({s for s, *_ in rows})
+    for name in names:
+        good, bad = ([x for s, g, x in rows if s == name and g == kind] for kind in (True, False))
+        found = []
+        for family in ("split", "joint"):
+            cuts, total = [], 0
+            for r in range(5):
+                ok = []
+                for c in q.GRID:
+                    k = sum(x[r] >= c for x in good)
+                    if family == "split":
+                        fine = tail(len(good), k, q.ALPHA / 5) <= q.DELTA / 2 / (len(names) * 5 * len(q.GRID))
+                    else:
+                        fine = all(tail(len(good), sum(max(x) >= d for x in good), q.ALPHA) <= q.DELTA / 2 / len(names)
+                                   for d in q.GRID if d >= c)
+                    ok += [(sum(x[r] >= c for x in bad) - k, c)] * fine
+                cuts.append(max(ok)[1] if ok else None)
+                total += max(ok)[0] if ok else 0
+            found.append((total, cuts))
+        out[name] = found[1][1] if found[1][0] > found[0][0] else found[0][1]
+    return out
+
+
+def test_joint_cutoffs_equal_brute_force(spark):
+    rnd = random.Random(3)
+    quiet = lambda: [0.0, 0.0, rnd.uniform(0, 0.03), 0.0, rnd.choice([0.0] * 60 + [0.3])]
+    junk = lambda: [rnd.uniform(0.1, 0.38), 0.0, 0.02, 0.0, 0.0]
+    rows = [("aa", True, quiet()) for _ in range(250)] + [("aa", False, junk()) for _ in range(30)]
+    rows += [("bb", True, [0.0, 0.0, 0.05, 0.0, 0.0]) for _ in range(1100)] + [("bb", False, [0.0, 0.013, 0.0, 0.0, 0.0]) for _ in range(9)]
+    rows += [("cc", True, [0.0] * 5) for _ in range(93)] + [("cc", False, junk()) for _ in range(9)]
+    rows += [("dd", True, [0.0] * 5) for _ in range(99)] + [("dd", False, junk()) for _ in range(9)]
+    scored = spark.createDataFrame([(i, s, *x) for i, (s, _, x) in enumerate(rows)],
+                                   "doc_id long, stratum string, " + ", ".join(f"{r} double" for r in q.RULES))
+    labels = spark.createDataFrame([(i, int(g), 0) for i, (_, g, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r[0]: list(r[1:]) for r in q.certified_cutoffs(scored, labels, joint=True).collect()}
+    assert got == joint_brute(rows)
+    assert got["aa"][0] is not None and got["bb"][1] == 0.0125 and got["cc"] == [None] * 5 and got["dd"][0] is not None
+
+
+def test_pipeline_rejects_junk_of_a_rare_language(spark, frame, tmp_path):
+    rows = [(i, good(i), "xx", "s") for i in range(120)] + [(500 + i, good(i) + " #*$%" * 20, "xx", "s") for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(500 + i, 0, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, frame(rows), str(tmp_path)).collect()) == list(range(120))
