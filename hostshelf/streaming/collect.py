@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,8 +40,10 @@ def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_I
     `sample_col` every row is a sample. Ties go to the greater sample id, then
     to the row whose other columns come last. Output: `window_start`, the other
     input columns, `sample_ts` (the newest row's time). Works on a batch or a
-    streaming DataFrame; a group holds the rows of one interval (of one host),
-    so its size is set by the collector and not by the table.
+    streaming DataFrame. The newest row or sample id is a maximum, combined in
+    the map tasks; a batch joins the id back to the rows, so an interval may
+    hold any share of the table. A stream cannot join back: with `sample_col`
+    its state holds the rows of each open interval (of each host) as one array.
     """
     others = [c for c in df.columns if c != ts_col and c not in keys]
     ts = F.col(ts_col)
@@ -49,24 +51,45 @@ def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_I
     if watermark is not None:
         src = src.withColumn(ts_col, ts.cast("timestamp")).withWatermark(ts_col, watermark)
         ts = F.col(ts_col)
+    if sample_col is not None and not df.isStreaming:
+        return _whole_samples(src, ts, interval, sample_col, keys, others)
     row = F.struct(ts.alias("t"), F.struct(*others).alias("x"))
-    agg = src.groupBy(F.window(ts, interval).alias("w"), *keys).agg(F.collect_list(row).alias("rows"))
+    by = src.groupBy(F.window(ts, interval).alias("w"), *keys)
     if sample_col is None:
-        agg = agg.withColumn("newest", _newest_row("rows", others, df)).withColumn("rows", F.array("newest"))
+        plain = [c for c in others if "map<" not in df.schema[c].dataType.simpleString()]
+        agg = by.agg(_hashed(F.max_by(row, F.struct(ts, *plain))).alias("r")).withColumn("newest", F.col("r"))
     else:
-        agg = agg.withColumn("newest", F.array_max(F.transform(
+        agg = by.agg(F.collect_list(row).alias("rows")).withColumn("newest", F.array_max(F.transform(
             "rows", lambda r: F.struct(r["t"].alias("t"), r["x"][sample_col].alias("s")))))
-        agg = agg.withColumn("rows", F.filter("rows", lambda r: r["x"][sample_col].eqNullSafe(F.col("newest.s"))))
+        agg = agg.withColumn("r", F.explode(F.filter("rows", lambda r: r["x"][sample_col].eqNullSafe(F.col("newest.s")))))
     return (agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys,
-                       F.explode("rows").alias("r"), F.col("newest.t").cast("timestamp_ntz").alias("sample_ts"))
+                       "r", F.col("newest.t").cast("timestamp_ntz").alias("sample_ts"))
             .select("window_start", *keys, *[F.col(f"r.x.{c}").alias(c) for c in others], "sample_ts"))
 
 
-def _newest_row(rows: str, others: list[str], df: DataFrame):
-    """The row with the latest time; among equals the greatest by its comparable columns."""
-    plain = [c for c in others if "map<" not in df.schema[c].dataType.simpleString()]
-    ranked = F.transform(rows, lambda r: F.struct(r["t"].alias("t"), *[r["x"][c].alias(f"o{i}") for i, c in enumerate(plain)]))
-    return F.get(rows, F.array_position(ranked, F.array_max(ranked)).cast("int") - 1)
+def _hashed(value: Column) -> Column:
+    """The aggregate `value` in an object hash aggregate: a struct's maximum alone would sort all rows before it combines them.
+
+    The list stays empty, since collect_list leaves nulls out.
+    """
+    return F.when(F.size(F.collect_list(F.lit(None).cast("int"))) == 0, value)
+
+
+def _whole_samples(rows: DataFrame, ts: Column, interval: str, sample_col: str, keys: tuple[str, ...],
+                   others: list[str]) -> DataFrame:
+    """Batch: the newest (time, sample) of each interval, joined back to the rows.
+
+    The join keys are not the aggregate's grouping (the window's start, not the
+    window), so both sides get an exchange and a large sample can be split.
+    """
+    sample = [*keys, sample_col]
+    newest = (rows.groupBy(F.window(ts, interval).alias("w"), *keys)
+              .agg(_hashed(F.max(F.struct(ts.alias("t"), F.col(sample_col).alias("s")))).alias("newest"))
+              .select(F.col("w.start").alias("_w"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                      F.col("newest.s").alias(f"_k{len(keys)}"), F.col("newest.t").cast("timestamp_ntz").alias("sample_ts")))
+    own = rows.select(F.window(ts, interval).alias("w"), *keys, *others).withColumn("window_start", F.col("w.start")).drop("w")
+    on = [F.col("window_start") == F.col("_w"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(sample)]]
+    return own.join(newest, on).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *keys, *others, "sample_ts")
 
 
 def _query_id(batch: DataFrame) -> str:

@@ -1,3 +1,4 @@
+import re
 import time
 
 import pytest
@@ -191,6 +192,34 @@ def test_whole_runs_per_interval(spark):
     assert "SortAggregate" not in latest_per_interval(df, "ts")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_crowded_interval_is_never_one_array(spark):
+    """A third of the rows in one interval: same rows as by hand, and no row is collected."""
+    ids = F.col("id").cast("int")
+    df = spark.range(3000).select(
+        F.timestamp_seconds(F.lit(1704103200) + F.when(ids % 3 == 0, ids % 30).otherwise(30 * (ids % 50) + ids % 7)).alias("ts"),
+        F.when(ids % 11 > 0, ids % 4).alias("sample_id"), F.when(ids % 5 > 0, ids % 2).alias("host"), ids.alias("row"))
+    rows = df.collect()
+    for keys in ((), ("host",)):
+        group = lambda r: (int(r.ts.timestamp()) // 30, *(r[k] for k in keys))  # noqa: B023, E731
+        rank = lambda r: (r.ts, r.sample_id is not None, r.sample_id or 0)
+        best = {}
+        for r in rows:
+            best[group(r)] = max(best.get(group(r), rank(r)), rank(r))
+        whole = latest_per_interval(df, "ts", "30 seconds", sample_col="sample_id", keys=keys)
+        want = sorted(r.row for r in rows if rank(r)[1:] == best[group(r)][1:])
+        assert whole.columns == ["window_start", *keys, *[c for c in ("sample_id", "host", "row") if c not in keys], "sample_ts"]
+        assert sorted(r.row for r in whole.collect()) == want
+        last = latest_per_interval(df, "ts", "30 seconds", keys=keys)
+        top = {}
+        for r in rows:
+            key = (*rank(r), r.host is not None, r.host or 0, r.row)
+            top[group(r)] = max(top.get(group(r), key), key)
+        assert sorted(r.row for r in last.collect()) == sorted(k[-1] for k in top.values())
+        for got in (whole, last):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortAggregate" not in plan and set(re.findall(r"collect_list\((.)", plan)) == {"n"}  # of null only
+
+
 def test_stream_equals_batch(spark, scratch):
     stream = latest_per_interval(_event_stream(spark).select("event_id", "value", "ts"), "ts", "30 seconds")
     q = (stream.writeStream.outputMode("complete").format("memory").queryName("every30")
