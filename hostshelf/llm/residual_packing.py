@@ -21,7 +21,8 @@ Ids are those of the `tokenizers` library. None of the vocabulary's parts
 (white-space rule, lower case, composed characters, words, special tokens)
 looks across ASCII white space, so a text is encoded stretch by stretch, and a
 worker remembers the ids of the stretches it has met (bounded, two
-generations).
+generations). A word of Latin letters with signs behind it is put together
+from the ids of its lower-case letters and of the signs.
 
 Defined results: null text is empty (one token, the closing id); repeated rows
 are packed one by one; a null id is kept; an empty table gives no pieces.
@@ -29,6 +30,7 @@ are packed one by one; a null id is kept; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -39,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostshelf.llm import vocab
 from hostshelf.llm.common import id_and_text, staged
 
 CAPACITY, CLOSING_ID = 4096, 1
@@ -47,7 +50,9 @@ SLACK = 16
 #: Items of one best-fit pool, and bins of one merging group (bounds of a task's memory, not of the input).
 POOL, GROUP = 1 << 16, 1 << 16
 #: Stretches that a worker remembers per generation, and the longest one it remembers.
-_KNOWN, _LONG = 150_000, 64
+_KNOWN, _LONG = 300_000, 64
+#: A word of ASCII and Latin-1 letters (all of them composed), perhaps with ASCII signs behind it; an apostrophe may join letters.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]*)")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, room int"
 _BINS = "bin long, size int, members array<struct<bin:long,base:long>>"
 
@@ -62,6 +67,8 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_str(spec), {}
+        self.model = self.tokenizer.model
+        self.char_of = {b: c for c, b in vocab._byte_of_char().items()}
 
     @classmethod
     def shared(cls, name: str, spec: str) -> Encoder:
@@ -73,8 +80,7 @@ class Encoder(dict):
     def __missing__(self, stretch: bytes) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
-            found = self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
-            ids = array("I", found).tobytes()
+            ids = self._encode(stretch)
         if len(stretch) <= _LONG:
             if len(self) >= _KNOWN:
                 self.older = dict(self)
@@ -82,6 +88,16 @@ class Encoder(dict):
             self[stretch] = ids
         return ids
 
+    def _encode(self, stretch: bytes) -> bytes:
+        if word := _WORD.fullmatch(stretch):
+            lower = word[1].decode().lower().encode()
+            if lower != stretch:
+                return self[lower] + (self[word[2]] if word[2] else b"")
+            found = [t.id for t in self.model.tokenize(stretch.decode("latin-1").translate(self.char_of))]
+        else:
+            found = self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
+        return array("I", found).tobytes()
+
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 

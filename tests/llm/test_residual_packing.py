@@ -13,7 +13,7 @@ from hostshelf.llm import catalog
 from hostshelf.llm import residual_packing as pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-WORDS = ["Alpha ", "beta's ", "gamma\n", "漢字", "１２3 ", "!?", "<|endoftext|>", " <|startoftext|> ", "é", "́", "İΣ",
+WORDS = ["École, ", "Wort.", "mot&&&", "mot.'s", "x<|", "a_b_", "(a)", "NAÏVE! ", "I.", "xÿ", "a×b", "÷", "ß", "ǰ", "J\u030c", "s", "<|ENDOFTEXT|>", ", ", "Alpha ", "beta's ", "gamma\n", "漢字", "１２3 ", "!?", "<|endoftext|>", " <|startoftext|> ", "é", "́", "İΣ",
          " ", "\x1c", "\x85", " ", "don't ", "''ll", "\t", "\x0b", "ﬁ", "각", "가", " ̈", "\0"]
 
 
