@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostshelf.llm import byte_bpe, content_sort, fim_chunks, lang_backoff, license_diagonals, line_neighbours, phrase_automata, quality_risk, repeat_tree, residual_packing, simhash_cover, vocab, window_packing
+from hostshelf.llm import byte_bpe, content_sort, fim_chunks, lang_backoff, license_diagonals, line_neighbours, phrase_automata, phrase_counting, quality_risk, repeat_tree, residual_packing, simhash_cover, vocab, window_packing
 from hostshelf.llm.common import documents
 
 
@@ -55,14 +55,18 @@ def op11_fim_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_chunks.report(documents(spark, sf_dir))
 
 
+def op12_phrase_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_counting.report(documents(spark, sf_dir))
+
+
 def op13_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_phrase_automata, op2_repeat_tree, op3_simhash_near_dedup, op4_byte_bpe, op5_language_backoff, op6_line_neighbours, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules, op11_fim_chunks, op13_residual_packing)}
+    return {f.__name__: f for f in (op1_phrase_automata, op2_repeat_tree, op3_simhash_near_dedup, op4_byte_bpe, op5_language_backoff, op6_line_neighbours, op7_license_scan, op8_window_packing, op9_exact_dedup, op10_quality_rules, op11_fim_chunks, op12_phrase_counting, op13_residual_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_phrase_automata": phrase_automata.ORACLE, "op9_exact_dedup": content_sort.ORACLE, "op10_quality_rules": quality_risk.ORACLE,
-            "op11_fim_chunks": fim_chunks.ORACLE}
+            "op11_fim_chunks": fim_chunks.ORACLE, "op12_phrase_counting": phrase_counting.ORACLE}

@@ -57,17 +57,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared checkpoint folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet into the shared checkpoint folder and read it back; `by` is a column of few values, a folder each.
 
     Cuts the lineage with a copy that survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the folder of a `staged` table that nothing reads any more."""
+    spark = table.sparkSession
+    for place in {name.rsplit("/llm-", 1)[0] + "/llm-" + name.rsplit("/llm-", 1)[1].split("/")[0] for name in table.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

@@ -1,0 +1,91 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from hostshelf.llm import phrase_counting as phr
+
+
+def brute(rows, threshold, absorbed, top):
+    """The contract by plain counting, with Python's whole numbers."""
+    f, n = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        lang = lang or "und"
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower):
+            words = tuple(w for w in re.split("[ \t]+", piece) if w)
+            n[lang] += len(words)
+            for k in range(1, 6):
+                f[lang].update(words[i:i + k] for i in range(len(words) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        found = {p: a for p, a in counts.items() if len(p) >= 2 and a >= threshold}
+        kept = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and 100 * b >= absorbed * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))
+                   for q, b in found.items()):
+                continue
+            cuts = [(1000 * a * n[lang] // (counts[p[:j]] * counts[p[j:]]), j) for j in range(1, len(p))]
+            score, j = min(cuts)
+            kept.append((-score, -a, " ".join(p).encode(), counts[p[:j]], counts[p[j:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def corpus(seed, docs=120):
+    rnd = random.Random(seed)
+    words = ["The", "the", "of", "new", "york", "city", "hall", "é", "漢", "a\0b", "can't", "x" * 30] + [f"w{i}" for i in range(25)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    passage = "one two three four five six"
+    rows = []
+    for i in range(docs):
+        parts = []
+        for _ in range(rnd.randrange(40)):
+            parts.append(passage if rnd.random() < .05 else rnd.choices(words, weights)[0])
+            parts.append(rnd.choice([" ", " ", " ", "\t", "  ", ". ", "\n", "!?", "\xa0", "\r", "\x0b"]))
+        rows.append((i, "".join(parts), rnd.choice(["en", "en", "en", "de", None, "und"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed, shards, slots, limits", [
+    (1, 2, phr.SLOTS, (4, 100, 2000)), (2, 3, 256, (4, 60, 15)), (3, 1, 64, (2, 100, 2000))])
+def test_equals_plain_counting(spark, frame, monkeypatch, seed, shards, slots, limits):
+    """Also with a crowded table: phrases that share slots enter early and are still counted exactly."""
+    monkeypatch.setattr(phr, "PORTION", 700)
+    rows = corpus(seed) + [(900, None, "en"), (901, "", "fr"), (902, "solo", "xx"), (3, "new york city " * 8, "en"), (3, "new york city " * 8, "en")]
+    got = phr.report(frame(rows).repartition(5), *limits, shards=shards, slots=slots).collect()
+    assert sorted(map(tuple, got)) == brute(rows, *limits)
+
+
+def test_a_phrase_that_enters_late_is_counted_for_a_full_cycle(spark, frame):
+    """All copies of a phrase lie in one shard; those of the other shard are scanned first."""
+    rows = [(i, "filler words here", "en") for i in range(10)] + [(10 + i, "deep long phrase of five", "en") for i in range(6)]
+    found, totals = phr.frequent_phrases(frame(rows).repartition(4), threshold=6, shards=3)
+    assert {(r.phrase, r.a) for r in found.collect() if r.k == 5} == {("deep long phrase of five", 6)}
+    assert [tuple(r) for r in totals.collect()] == [("en", 60)]
+
+
+def test_products_over_64_bits(spark):
+    found = spark.createDataFrame([("en", "a b", 2, 10 ** 12), ("en", "a", 1, 3 * 10 ** 12), ("en", "b", 1, 7 * 10 ** 12)],
+                                  "lang string, phrase string, k int, a long")
+    totals = spark.createDataFrame([("en", 10 ** 13)], "lang string, n long")
+    assert [r.score for r in phr.scored(found, totals).collect()] == [1000 * 10 ** 12 * 10 ** 13 // (3 * 10 ** 12 * 7 * 10 ** 12)]
+
+
+def test_words_of_a_portion():
+    words = phr.Words([b"A b,a", b"", "é  A".encode()], ["x", "x", "y"])
+    assert [words.phrases(np.array([i]), 1)[0].as_py() for i in range(5)] == ["a", "b", "a", "é", "a"]
+    assert words.code[0] == words.code[2] != words.code[4] and words.piece[0] == words.piece[1] != words.piece[2]
+
+
+def test_long_text_and_hot_language(spark, frame):
+    rows = [(0, "very long text " * 100_000, "en"), *[(i, "very long text", "en") for i in range(50)], (99, "z" * 500_000, None)]
+    got = {r.phrase: (r.a, r.n) for r in phr.report(frame(rows)).collect()}
+    assert got["text very long text very"] == (99_998, 300_150)
+
+
+def test_empty_table(spark, frame):
+    assert phr.report(frame([])).collect() == []
