@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostshelf.llm.common import discard, staged
@@ -48,9 +48,9 @@ SHARDS = 2
 SLOTS = 1 << 23
 UNDETERMINED = "und"
 #: Bytes of text that a task turns into numbers at once.
-PORTION = 1 << 24
+PORTION = 1 << 23
 _NEVER = 255
-_COUNTS = "lang string, phrase string, k int, since int, h long, a long"
+_COUNTS = "lang string, phrase string, since int, a long"
 _BREAKS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 _BLANKS = np.frombuffer(b" \t", np.uint8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -64,11 +64,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slots_of(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+def _longer(left: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of all their words but the last, and of the last."""
+    return _mix(left * np.uint64(0x9E3779B97F4A7C15) + last)
+
+
+def _spelled(words: list[bytes], langs: list[str]) -> np.ndarray:
+    """Hashes of words, each of its language."""
+    spelling = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return _mix(spelling + np.array([xxhash.xxh64_intdigest(x, 1) for x in langs], np.uint64))
+
+
+def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """The two slots of a phrase's hash."""
     return h & np.uint64(slots - 1), (h >> np.uint64(32)) & np.uint64(slots - 1)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the number of every key, how often each occurs)."""
+    order = np.argsort(keys)
+    new = np.concatenate(([True], np.diff(keys[order]) != 0))
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    return order[head], number, np.diff(np.concatenate((head, [len(keys)])))
+
+
 class Words:
     """A portion of documents as word numbers. `code` tells (language, word) pairs apart; `piece` rises at every break."""
 
@@ -87,12 +108,10 @@ class Words:
         self.langs = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.langs)}
         lang = np.array([number[x] for x in langs], np.int64)[np.searchsorted(ends, start, "right")]
-        pair, first, self.code = np.unique(lang * max(1, len(self.spelling)) + word, return_index=True, return_inverse=True)
         self.word, self.lang = word, lang
-        spelled = np.array([xxhash.xxh64_intdigest(w) for w in self.spelling.cast(pa.binary()).to_pylist()], np.uint64)
-        of_lang = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
-        self.first = first
-        self.hash = _mix(spelled[word[first]] + of_lang[lang[first]]) if len(first) else np.zeros(0, np.uint64)
+        self.first, self.code, self.count = _numbered(lang * len(self.spelling) + word) if len(word) else (word,) * 3
+        spelling, of_lang = self.spelling.cast(pa.binary()).to_pylist(), [self.langs[i] for i in lang[self.first]]
+        self.hash = _spelled([spelling[i] for i in word[self.first]], of_lang)
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         parts = [self.spelling.take(pa.array(self.word[at + i])) for i in range(k)]
@@ -100,7 +119,7 @@ class Words:
 
 
 def count_portion(words: Words, scan: int, shards: int, longest: int, entered: Callable) -> Iterator[tuple]:
-    """(k, first places, since, hashes, counts) of the phrases that `scan` counts, shortest first.
+    """(first places, k, since, counts) of the phrases that `scan` counts, shortest first.
 
     `entered(hashes)` gives the scan from which each phrase counts as frequent, or _NEVER.
     """
@@ -109,7 +128,7 @@ def count_portion(words: Words, scan: int, shards: int, longest: int, entered: C
     hashes, code, n = words.hash, words.code, len(words.code)
     begun = np.zeros(len(hashes), np.int64)  # the scan from which each phrase of the level at hand is counted
     if scan < shards:
-        yield 1, words.first, np.zeros(len(hashes), np.int64), hashes, np.bincount(code, minlength=len(hashes))
+        yield words.first, 1, begun, words.count
     valid = np.ones(n, bool)
     for k in range(2, longest + 1):
         since = np.maximum(entered(hashes), begun)
@@ -118,33 +137,35 @@ def count_portion(words: Words, scan: int, shards: int, longest: int, entered: C
         if k == 2:
             follows &= words.piece[:-1] == words.piece[1:]
         at = np.flatnonzero(follows)
+        # What is counted no more matters only as a part of longer phrases, if it has entered.
+        over = np.flatnonzero(np.maximum(since[code[at]], since[code[at + 1]]) <= scan - shards)
+        known = entered(_longer(hashes[code[at[over]]], words.hash[words.code[at[over] + k - 1]]))
+        at = np.delete(at, over[known == _NEVER])
         if not len(at):
             return
-        pair, first, number, count = np.unique(code[at] * len(words.hash) + words.code[at + k - 1],
-                                               return_index=True, return_inverse=True, return_counts=True)
+        first, number, count = _numbered(code[at] * len(words.hash) + words.code[at + k - 1])
         first = at[first]
         begun = np.maximum(since[code[first]], since[code[first + 1]])
-        hashes = _mix(hashes[code[first]] * np.uint64(0x9E3779B97F4A7C15) + words.hash[words.code[first + k - 1]])
+        hashes = _longer(hashes[code[first]], words.hash[words.code[first + k - 1]])
         now = np.flatnonzero(begun > scan - shards)
         if len(now):
-            yield k, first[now], begun[now], hashes[now], count[now]
+            yield first[now], k, begun[now], count[now]
         valid, code = np.zeros(n, bool), np.zeros(n, np.int64)
         valid[at], code[at] = True, number
 
 
 def _counts(table, slots: int, scan: int, shards: int, longest: int) -> Callable:
     def entered(h: np.ndarray) -> np.ndarray:
-        one, two = slots_of(h, slots)
+        one, two = _slots(h, slots)
         return np.maximum(table.value[one], table.value[two])
 
     def rows(texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
         words = Words(texts, langs)
         names = pa.array(words.langs, pa.string())
-        for k, at, since, h, count in count_portion(words, scan, shards, longest, entered):
+        for at, k, since, count in count_portion(words, scan, shards, longest, entered):
             yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(words.lang[at])), words.phrases(at, k), pa.array(np.full(len(at), k, np.int32)),
-                 pa.array(since.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))],
-                names=[x.split()[0] for x in _COUNTS.split(", ")])
+                [names.take(pa.array(words.lang[at])), words.phrases(at, k), pa.array(since.astype(np.int32)),
+                 pa.array(count.astype(np.int64))], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs, held = [], [], 0
@@ -162,6 +183,10 @@ def _counts(table, slots: int, scan: int, shards: int, longest: int) -> Callable
     return apply
 
 
+def n_words(phrase: str = "phrase") -> Column:
+    return F.length(phrase) - F.length(F.replace(F.col(phrase), F.lit(" "))) + 1
+
+
 def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS,
                      slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, a) of all phrases with a >= threshold, (lang, n) with n the word occurrences)."""
@@ -177,44 +202,51 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
             raise RuntimeError("phrase counting: too many scans")  # longest x shards at most
         known = spark.sparkContext.broadcast(table)  # `slots` bytes
         counted = (texts.where(F.col("shard") == scan % shards).select("lang", "text")
-                   .mapInArrow(_counts(known, slots, scan, shards, longest), _COUNTS)
-                   .withColumn("entered", F.lit(None).cast("int")))
+                   .mapInArrow(_counts(known, slots, scan, shards, longest), _COUNTS))
         if state is not None:
-            counted = counted.unionByName(state.where(F.col("since") > scan - shards))
-        summed = (counted.groupBy("lang", "phrase", "k", "since", "h").agg(F.sum("a").alias("a"), F.max("entered").alias("entered"))
-                  .withColumn("entered", F.coalesce("entered", F.when(F.col("a") >= threshold, F.lit(scan + 1)))))
-        before, state = state, staged(summed, f"scan-{scan}")
+            counted = counted.union(state.where(F.col("since") > scan - shards))
+        before, state = state, staged(counted.groupBy("lang", "phrase", "since").agg(F.sum("a").alias("a")), f"scan-{scan}")
         if before is not None:
             discard(before)
         known.unpersist()
         if scan == shards - 1:
-            totals = staged(state.where("k = 1").groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-        done.append(staged(state.where((F.col("since") == scan + 1 - shards) & (F.col("a") >= threshold))
-                           .select("lang", "phrase", "k", "a"), f"done-{scan}"))
-        if _enter(table, state.where((F.col("entered") == scan + 1) & (F.col("k") < longest)), slots, scan + 1):
+            totals = staged(state.where("since = 0").groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+        frequent = state.where(F.col("a") >= threshold).withColumn("k", n_words())
+        done.append(staged(frequent.where(F.col("since") == scan + 1 - shards).select("lang", "phrase", "k", "a"), f"done-{scan}"))
+        if _enter(table, frequent.where(F.col("k") < longest), scan + 1):
             last = scan + shards
         scan += 1
     discard(texts)
     discard(state)
     found = done[0]
     for other in done[1:]:
-        found = found.unionByName(other)
+        found = found.union(other)
     return found, totals
 
 
-def _enter(table: np.ndarray, phrases: DataFrame, slots: int, scan: int) -> bool:
-    """Mark the slots of `phrases`; at most slots / 64 rows of bits come back."""
-    one, two = F.col("h").bitwiseAND(slots - 1), F.shiftrightunsigned("h", 32).bitwiseAND(slots - 1)
-    slot = phrases.select(F.explode(F.array(one, two)).alias("slot"))
-    bits = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toPandas()
+def _enter(table: np.ndarray, phrases: DataFrame, scan: int) -> bool:
+    """Mark the slots of `phrases` that nothing has marked; False if there are none. At most slots / 64 rows of bits come back."""
+    slots = len(table)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, words = b.column("lang").to_pylist(), [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
+            h = _spelled([w[0] for w in words], langs)
+            for i in range(1, max(map(len, words), default=0)):
+                more = [j for j, w in enumerate(words) if len(w) > i]
+                h[more] = _longer(h[more], _spelled([words[j][i] for j in more], [langs[j] for j in more]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(h, slots)).astype(np.int64))], names=["slot"])
+
+    bits = (phrases.select("lang", "phrase").mapInArrow(apply, "slot long").groupBy(F.shiftright("slot", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toPandas())
     if not len(bits):
         return False
     word, bits = bits["word"].to_numpy(np.int64), bits["bits"].to_numpy(np.int64).view(np.uint64)
     row, bit = np.nonzero((bits[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
     at = word[row] * 64 + bit
-    table[at] = np.minimum(table[at], scan)
-    return True
+    at = at[table[at] == _NEVER]
+    table[at] = scan
+    return len(at) > 0
 
 
 def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
@@ -267,15 +299,16 @@ p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS pi
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
 g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(words) - k + 2 AS BIGINT)), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
       FROM w, range(1, {LONGEST + 1}) AS t(k) WHERE len(words) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k >= 2 AND a >= {THRESHOLD}),
-cut AS (SELECT c.*, j, h.a AS l, t.a AS r, n.n,
-               (CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(h.a AS HUGEINT) * t.a) AS score
-        FROM c, range(1, {LONGEST}) AS x(j), f AS h, f AS t, n
-        WHERE j < c.k AND h.k = j AND t.k = c.k - j AND h.lang = c.lang AND t.lang = c.lang AND n.lang = c.lang
-          AND h.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
-          AND t.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')),
+c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2 AND a >= {THRESHOLD}),
+part AS MATERIALIZED (SELECT c.lang, c.k, c.phrase, c.a, j, array_to_string(string_split(c.phrase, ' ')[1:j], ' ') AS head,
+                             array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') AS tail
+                      FROM c, range(1, {LONGEST}) AS x(j) WHERE j < c.k),
+seen AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= {THRESHOLD}),
+cut AS (SELECT part.*, h.a AS l, t.a AS r, n.n, (CAST(1000 AS HUGEINT) * part.a * n.n) // (CAST(h.a AS HUGEINT) * t.a) AS score
+        FROM part JOIN seen AS h ON h.lang = part.lang AND h.phrase = part.head
+        JOIN seen AS t ON t.lang = part.lang AND t.phrase = part.tail JOIN n ON n.lang = part.lang),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 held AS (SELECT DISTINCT s.lang, s.phrase FROM c AS s JOIN c AS longer ON s.lang = longer.lang AND s.k < longer.k
          AND contains(' ' || longer.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * longer.a >= {ABSORBED} * s.a)
