@@ -64,7 +64,8 @@ def suffix_array(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple
     width = int(size.max())
     at = start[:, None] + np.arange(width)
     rows = np.where(np.arange(width) < size[:, None], text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
+    order = np.argsort(size, kind="stable")  # numpy's strings end before their zeros: of such ties the shorter comes first
+    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{width}").ravel(), kind="stable")]
     rows, size = rows[order], size[order]
     differ = rows[1:] != rows[:-1]
     shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)

@@ -156,3 +156,17 @@ def test_cleaned_keeps_layout_and_clean_documents(frame):
 def test_empty_table(frame):
     for f in (phrase_automata.report, repeat_tree.report, phrase_automata.cleaned):
         assert f(frame([(1, "a")]).where("false")).collect() == []
+
+
+def test_zero_bytes_at_the_end_of_a_block(frame):
+    p = "".join(random.Random(3).choices("abcdefgh", k=100))
+    rows = [(1, "x" + p + "\0"), (2, "z" + p), (3, "y" + p + "\0")]
+    assert [r.n_removed for r in sorted(repeat_tree.report(frame(rows)).collect(), key=lambda r: r.doc_id)] == [0, 100, 101]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_of_zero_bytes_equal_brute_force(frame, seed):
+    rnd = random.Random(seed)
+    parts = ["".join(rnd.choices("\0\0ab", k=rnd.randint(60, 240))) for _ in range(6)]
+    rows = [(i, "".join(rnd.choice(parts)[rnd.randint(0, 40):] for _ in range(rnd.randint(1, 4))) + "\0" * rnd.randint(0, 3)) for i in range(25)]
+    assert rows_of(repeat_tree.report(frame(rows))) == brute_bytes(rows, 100)
