@@ -21,6 +21,8 @@ held out.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +39,17 @@ MAX_WORDS, MAX_GRAMS, MIN_COUNT = 60_000, 20_000, 3
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(categories: str) -> str:
+    """The characters of the Unicode categories, as ranges of a pattern."""
+    inside = [unicodedata.category(chr(c))[0] in categories for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(inside) + 1) if (c < len(inside) and inside[c]) != (c > 0 and inside[c - 1])]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
+
+
+#: Words begin with a letter; marks stay with the letters they belong to, numeric signs are none.
+_LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 #: Entries of a worker's memory of unseen words (a cache, never a limit on results).
 _CACHE = 300_000
 

@@ -57,3 +57,12 @@ def test_no_training_rows(frame):
 @pytest.mark.parametrize("word,order,want", [("ab", 4, ["^ab$"]), ("ab", 3, ["^ab", "ab$"]), ("ab", 1, ["a", "b"]), ("a", 4, [])])
 def test_grams(word, order, want):
     assert lang.grams_of(word, order) == want
+
+
+def test_words_need_a_letter(frame):
+    from hostshelf.llm.lang_backoff import words_of
+    assert words_of("½ ² ① Ⅷ 12 _") == [] and words_of(None) == []
+    assert words_of("हिन्दी ไทยที่ e\u0301te\u0301 x² naïve_漢字") == ["हिन्दी", "ไทยที่", "e\u0301te\u0301", "x", "naïve", "漢字"]
+    rows = [(i, "plain words of a text", "en") for i in range(40)] + [(100, "½ ²"), (101, "\u0301\u0301"), (102, "12 ③")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang.report(frame(rows)).collect()}
+    assert got[100] == got[101] == got[102] == ("und", 0.0) and got[1][0] == "en"
