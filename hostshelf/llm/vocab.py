@@ -31,7 +31,7 @@ def json_file(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}, special
 
 
-_ENCODINGS: dict[str, object] = {}
+_ENCODINGS: dict[object, object] = {}
 
 
 def encoding(name: str, ranks: dict[bytes, int], special: dict[str, int]):
@@ -41,3 +41,12 @@ def encoding(name: str, ranks: dict[bytes, int], special: dict[str, int]):
     if name not in _ENCODINGS:
         _ENCODINGS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODINGS[name]
+
+
+def tokenizer(name: str, spec: str):
+    """The `tokenizers` object of a `tokenizer.json` text, built once per Python worker."""
+    from tokenizers import Tokenizer
+
+    if (name, "json") not in _ENCODINGS:
+        _ENCODINGS[name, "json"] = Tokenizer.from_str(spec)
+    return _ENCODINGS[name, "json"]

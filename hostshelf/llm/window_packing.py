@@ -105,14 +105,19 @@ class _Packer:
 def packed(docs: DataFrame, tokenizer_json: str, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece; `offset` is its place in sequence `sequence_id`, `tier` the window's length."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab.json_file(tokenizer_json))  # one vocabulary file
+    with open(tokenizer_json, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())  # the same file
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = vocab.encoding(tokenizer_json, *shared.value)
         packer, held = _Packer(TaskContext.get().partitionId(), tiers), 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = enc.encode_to_numpy(text.as_py(), allowed_special="all")
-                ids = np.append(ids, np.uint32(CLOSING_ID)).astype("<u4")
+                try:
+                    ids = enc.encode_to_numpy(text.as_py(), allowed_special="all")
+                except ValueError:  # a run of white space too long for the pattern's stack
+                    ids = vocab.tokenizer(tokenizer_json, spec.value).encode(text.as_py(), add_special_tokens=False).ids
+                ids = np.append(np.asarray(ids, "<u4"), np.uint32(CLOSING_ID)).astype("<u4")
                 packer.add(doc_id, ids)
                 held += len(ids)
                 if held >= POOL_TOKENS:

@@ -81,3 +81,9 @@ def test_step_groups_have_equal_tokens():
 
 def test_empty_table(frame):
     assert pack.packed(frame([(1, "a")]).where("false"), PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "\n" * 1_000_000, " \n\t" * 400_000 + "x", "x " * 10 + " " * 1_000_000 + "é"])
+def test_long_runs(frame, text):
+    rows = [(1, "before"), (2, text), (3, "after")]
+    check(rows, pack.packed(frame(rows), PATH).collect())
