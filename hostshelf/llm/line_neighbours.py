@@ -34,6 +34,7 @@ from hostshelf.llm.common import rows_of, split_join, staged
 
 MIN_CHARS = 20
 HALVES, SIXTEENTHS = 2, 16
+_TAGS = 1 << 29
 _CHUNK = 1 << 20
 _SEPARATOR = np.uint32(10)
 _BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
@@ -171,11 +172,13 @@ def earlier_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFram
     """(lines, links): all visible lines with the `first` place of their text, and for each text with an earlier
     neighbour at distance 1 the place of the earliest such neighbour."""
     place = F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line")
+    # The same with some bits of the text's key, so that lines at one place of different texts are told apart.
+    spot = lambda: (F.col("place") * F.lit(_TAGS).cast("decimal(9,0)") + F.col("text_key").bitwiseAND(_TAGS - 1)).cast("decimal(38,0)")
     lines = staged(rows.select("ord", "text_key", "text").mapInArrow(
         _lines(min_chars), "a long, b long, ord long, text_key long, line int, size int, "
         + ", ".join(f"k{i} long" for i in range(2 * HALVES))).withColumn("place", place), "lines")
     texts = staged(lines.groupBy("a", "b").agg(
-        F.min("place").alias("first"), F.min("size").alias("size"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(2 * HALVES)]), "texts")
+        F.min("place").alias("first"), F.min(spot()).alias("spot"), F.min("size").alias("size"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(2 * HALVES)]), "texts")
 
     def halves(role: int) -> list[Column]:
         last = F.col("size") - role + 1
@@ -187,9 +190,9 @@ def earlier_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFram
     keys = (texts.where(F.col("size") >= min_chars).select("a", "b", F.explode(F.array(*halves(0), *halves(1))).alias("k"))
             .select("k.key", "a", "b", "k.role", "k.lo", "k.hi"))
     regions = staged(_agreeing(keys), "halves")
-    standing = lines.select("a", "b", "place", "ord", "text_key", "line")
-    firsts = (regions.join(texts.select("a", "b", "first"), ["a", "b"])
-              .join(standing, ["a", "b"]).where("place = first").dropDuplicates(["a", "b"]))
+    standing = lines.select("a", "b", spot().alias("at"), "ord", "text_key", "line")
+    firsts = (regions.join(texts.select("a", "b", F.col("spot").alias("first")), ["a", "b"])
+              .join(standing, ["a", "b"]).where("at = first").dropDuplicates(["a", "b"]))
     near = staged(_bodies(firsts, rows), "near")
     regions = _agreeing(near.select("a", "b", "body", "regions").mapInArrow(_narrower, _KEY))
     near = staged(near.drop("regions").join(regions, ["a", "b"]), "nearer")
@@ -198,12 +201,13 @@ def earlier_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFram
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
     least = each.groupBy("key").agg(*[of(i).alias(f"p{i}") for i in range(3)])
     partner = F.when(F.col("kind") == 0, F.col("p0")).when(F.col("kind") == 1, F.col("p2")).otherwise(F.col("p1"))
-    found = (split_join(each, least, ["key"]).withColumn("partner", partner).where("partner < first")
+    coarse = lambda c: F.col(c) - F.col(c) % F.lit(_TAGS).cast("decimal(9,0)")
+    found = (split_join(each, least, ["key"]).withColumn("partner", partner).where(coarse("partner") < coarse("first"))
              .groupBy("a", "b").agg(F.min("partner").alias("partner")))
     bodies = near.select("a", "b", "body")
-    other = near.select(F.col("first").alias("partner"), F.col("body").alias("other")).dropDuplicates(["partner"])
+    other = near.select(F.col("first").alias("partner"), F.col("body").alias("other"))  # all bodies that share a spot
     links = (found.join(bodies, ["a", "b"]).join(other, "partner")
-             .where(F.levenshtein("body", "other", 1) == 1).select("a", "b", "partner"))
+             .where(F.levenshtein("body", "other", 1) == 1).select("a", "b", "partner").dropDuplicates(["a", "b"]))
     return lines.join(texts.select("a", "b", "first"), ["a", "b"]), staged(links, "links")
 
 

@@ -72,3 +72,11 @@ def test_a_key_shared_by_very_many_lines(frame):
 
 def test_empty_table(frame):
     assert line_neighbours.report(frame([(1, "a")]).where("false")).collect() == []
+
+
+def test_rows_that_share_an_id(frame):
+    """Lines at one place of two texts with one id: a near copy of either goes, and the two stay apart."""
+    one, two = "the first of two quite different lines", "another line that nobody else would write"
+    rows = [(1, one), (1, two), (1, one[:-1] + "x"), (2, one + "s"), (3, two[1:]), (None, one[1:]), (None, two + "!")]
+    got = line_neighbours.report(frame(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
