@@ -174,9 +174,9 @@ def report(docs: DataFrame, labels: DataFrame, **method) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **method) -> DataFrame:
     """The rows of `docs` that pass, with their own columns."""
-    m = "_measured_"
-    rows = staged(measured(docs, m), "measured")
-    return judged(rows, labels, m, **method).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = staged(measured(whole.select("_row", "_row.doc_id", "_row.text", "_row.lang")).drop("text"), "measured")
+    return judged(rows, labels, **method).where("kept").select("_row.*")
 
 
 _GRID_SQL = ", ".join(str(c) for c in GRID)

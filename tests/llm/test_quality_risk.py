@@ -135,3 +135,11 @@ def test_pipeline_rejects_junk_of_a_rare_language(spark, frame, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(500 + i, 0, 0) for i in range(6)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, frame(rows), str(tmp_path)).collect()) == list(range(120))
+
+
+def test_columns_named_like_the_stage_s_own(spark, frame):
+    names = ["kept", "stratum", "m", "_row", "base_failed", "cut_symbol_share", "measured", "n_words"]
+    docs = frame([(i, " ".join(f"word{j}" for j in range(30)), "en") for i in range(3)], extra=False).selectExpr("*", *[f"'own {n}' AS `{n}`" for n in names])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = q.keep_good(docs, labels, joint=True)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
