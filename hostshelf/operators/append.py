@@ -25,16 +25,20 @@ def insert_time(value=None) -> Column:
     return F.lit(value).cast("timestamp_ntz") if not isinstance(value, Column) else value.cast("timestamp_ntz")
 
 
+def from_numbered(n: ids.Numbered, kind: str | Kind, *, group_mark: int, id_mark: int, keyed: bool, inserted_at=None) -> DataFrame:
+    """Table rows of numbered rows, with ids after the marks; rows without a sample key are one new group."""
+    group = F.col("key_no") if keyed else F.lit(0).cast("long")
+    out = (n.rows.withColumn("group_id", ids.checked_int(group + F.lit(group_mark + 1).cast("long")))
+           .withColumn("id", ids.checked_int(F.col("row_no") + F.lit(id_mark + 1).cast("long")))
+           .withColumn("insertion_datetime", insert_time(inserted_at)))
+    return out.select(*kind_of(kind).columns)
+
+
 def drawn(rows: DataFrame, kind: str | Kind, *, group_mark: int, id_mark: int, sample_key: list[str] | None = None,
           order: list[str] | None = None, inserted_at=None) -> tuple[DataFrame, ids.Numbered]:
     """(table rows, the numbering behind them). Without `sample_key` all rows are one run (one new group)."""
-    k = kind_of(kind)
     n = ids.numbered(rows, list(sample_key or []), list(order or []))
-    group = F.col("key_no") if sample_key else F.lit(0).cast("long")
-    out = (n.rows.withColumn("group_id", ids.checked_int(group + F.lit(group_mark + 1).cast("long")))
-           .withColumn("id", ids.checked_int(F.col("row_no") + F.lit(id_mark + 1).cast("long")))
-           .withColumn("insertion_datetime", insert_time(inserted_at)))
-    return out.select(*k.columns), n
+    return from_numbered(n, kind, group_mark=group_mark, id_mark=id_mark, keyed=bool(sample_key), inserted_at=inserted_at), n
 
 
 def table_rows(rows: DataFrame, kind: str | Kind, **marks) -> DataFrame:

@@ -9,6 +9,7 @@ GROUP BY) over the same views, so the two sides share inputs but not logic.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.render import json_rows, render_timestamps
 from ..operators import ids, keys, paging, retention, snapshots, validate
 from ..operators.ranking import kth_largest
+from ..schemas import kind_of
+from ..session import checkpoint_dir
+from ..sinks.store import open_table
 from ..sources.fixtures import Fixtures, with_clause
 from ..streaming.collect import latest_per_interval
-from .info_query import info_query
+from .info_query import info_query, stored_query
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -457,6 +461,73 @@ def _append_session_key(spark, sf_dir):
     return table.unionByName(keys.new_key_rows(numbered, AS_OF))
 
 
+# ---------------------------------------------------------------- stored tables (SRC-1…5, SNK-1…5, PG, GP, RT, SK)
+# Every view's rows go through a stored table: two bulk runs (even groups, then odd ones) with the default retention.
+def _stored(spark, sf_dir, kind):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}/{kind}"
+    table = open_table(spark, root, kind)
+    view = _fx(spark, sf_dir).view(TABLE_OF[kind]).withColumnsRenamed({"id": "_id", "group_id": "_group"})
+    for run in (0, 1):
+        table.append_run(view.where(F.col("_group") % 2 == run).drop("insertion_datetime"), run,
+                         sample_key=["_group"], order=["_id"], insert_time=NEW_RUN_TIME)
+    return table
+
+
+def _stored_sql(kind: str, where: str = "TRUE", tail: str = "") -> str:
+    view, own = TABLE_OF[kind], [c for c in kind_of(kind).columns if c not in ("id", "group_id", "insertion_datetime")]
+    return (f"{with_clause(view)},\nnumbered AS (SELECT {', '.join(own)}, CAST(ROW_NUMBER() OVER (ORDER BY group_id % 2, group_id, id) AS INT) AS id, "
+            f"CAST(DENSE_RANK() OVER (ORDER BY group_id % 2, group_id) AS INT) AS group_id FROM {view}),\n"
+            "stored AS (SELECT * FROM numbered WHERE group_id > (SELECT MAX(group_id) FROM numbered) - 100),\n"
+            "ranked AS (SELECT *, DENSE_RANK() OVER (ORDER BY group_id DESC) AS place FROM stored)\n"
+            f"SELECT * EXCLUDE (place), TIMESTAMP '{NEW_RUN_TIME}' AS insertion_datetime FROM ranked WHERE {where} ORDER BY id DESC {tail}")
+
+
+def _stored_entry(name: str, kind: str, form: dict, where: str = "TRUE", tail: str = "") -> None:
+    register(name, _stored_sql(kind, where, tail))(lambda spark, sf_dir: stored_query(_stored(spark, sf_dir, kind), form))
+
+
+for _kind in TABLE_OF:
+    _stored_entry(f"stored_scan_{_kind}", _kind, {})
+_stored_entry("stored_limit_rows", "cpu", {"limit": "25"}, tail="LIMIT 25")
+_stored_entry("stored_page_rows", "file", {"limit": "40", "offset": "123"}, tail="LIMIT 40 OFFSET 123")
+_stored_entry("stored_group_page", "file", {"limit_group": "30", "offset_group": "20"}, "place > 20 AND place <= 30")
+_stored_entry("stored_group_then_row_page", "file", {"limit_group": "30", "limit": "20", "offset": "11"}, "place <= 30", "LIMIT 20 OFFSET 11")
+_stored_entry("stored_filtered_page", "file", {"limit_group": "60", "file_used_max": "200", "limit": "50"},
+              "place <= 60 AND used <= 200", "LIMIT 50")
+
+_SAVED_AT, _SAVED_LATER, _ASKED_AT = "2024-01-15 12:00:00", "2024-01-15 12:30:00", "2024-01-15 13:15:00"
+_STORED_KEYS_SQL = f"""{with_clause('session_keys')},
+numbered AS (SELECT session_key, id % 2 AS run, CAST(ROW_NUMBER() OVER (ORDER BY id % 2, session_key) AS INT) AS place FROM session_keys),
+stored AS (SELECT place AS id, session_key, CASE run WHEN 0 THEN TIMESTAMP '{_SAVED_AT}' ELSE TIMESTAMP '{_SAVED_LATER}' END AS creation_datetime
+           FROM numbered WHERE run = 1 OR place > (SELECT MAX(place) FROM numbered WHERE run = 0) - 59),
+kept AS (SELECT *, creation_datetime + INTERVAL '60' MINUTE AS valid_until FROM stored)
+"""
+
+
+def _stored_keys(spark, sf_dir):
+    table = open_table(spark, f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}/keys", "session_keys")
+    rows = _fx(spark, sf_dir).session_keys
+    for run, at in ((0, _SAVED_AT), (1, _SAVED_LATER)):
+        table.save(rows.where(F.col("id") % 2 == run).select("session_key"), at)
+    return table
+
+
+@register("stored_scan_session_keys", _STORED_KEYS_SQL + "SELECT * FROM kept")
+def _stored_scan_keys(spark, sf_dir):
+    return _stored_keys(spark, sf_dir).read()
+
+
+@register("stored_keys_valid", _STORED_KEYS_SQL + f"SELECT * FROM ({_CANDIDATES_SQL}) c WHERE c.session_key IN "
+          f"(SELECT session_key FROM kept WHERE valid_until > TIMESTAMP '{_ASKED_AT}')")
+def _stored_keys_valid(spark, sf_dir):
+    return _stored_keys(spark, sf_dir).valid(_candidates(_fx(spark, sf_dir)), _ASKED_AT)
+
+
+@register("stored_keys_unseen", _STORED_KEYS_SQL + f"SELECT * FROM ({_CANDIDATES_SQL}) c WHERE c.session_key NOT IN (SELECT session_key FROM kept)")
+def _stored_keys_unseen(spark, sf_dir):
+    return _stored_keys(spark, sf_dir).unseen(_candidates(_fx(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- ids, constraints, rendering
 @register("assign_group_ids", f"{with_clause('raw_partition')}\nSELECT event_id, sample_id, "
           "CAST(1000 + DENSE_RANK() OVER (ORDER BY sample_id) AS INT) AS group_id FROM raw_partition")

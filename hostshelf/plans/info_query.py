@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from ..functions.filters import QuerySpec, resolve
 from ..operators.paging import group_bounds, page_rows
 from ..schemas import Kind, kind_of
+from ..sinks.store import SnapshotTable
 from ..sources.tables import project
 
 
@@ -37,3 +38,13 @@ def info_query(table: DataFrame, kind: str | Kind, form: Mapping[str, Any] | Non
     >>> info_query(cpu_df, "cpu", {"limit": "50", "start_datetime": "2026-07-01T00:00:00Z"})
     """
     return build(table, resolve(kind_of(kind), form))
+
+
+def stored_query(table: SnapshotTable, form: Mapping[str, Any] | None = None) -> DataFrame:
+    """`info_query` over a stored table. Group ranks, and without filters the page as well, come from its log entry."""
+    spec, state = resolve(table.kind, form), table.state()
+    where = spec.where()
+    groups = {"limit_group": spec.limit_group, "offset_group": spec.offset_group}
+    if where is None:
+        return table.page(spec.limit, spec.offset, **groups, state=state)
+    return page_rows(table.page(**groups, state=state, ordered=False).where(where), spec.limit, spec.offset)

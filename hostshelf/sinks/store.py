@@ -3,16 +3,22 @@
 Layout under `root`::
 
     data/run=<name>/[group_bucket=<b>/]part-*.parquet   rows of one commit
-    _log/commit=<n>/part-*.json                         the table's state after commit n
-
-* An append writes only its new rows, into a folder of its own.
+    _log/commit=<n>.json                                the table's state after commit n
+    _ids/draw=<n>.json                                  the id marks after draw n
+
+* An append numbers its rows once, draws a range of ids and groups, writes its
+  rows into a folder of its own, and commits. Writers that meet at a draw or a
+  commit repeat that small step only, never the rows. Ranges of runs that died
+  are gaps, as with any sequence. A run that is tried again (same writer and
+  batch, same counts) gets its range and its insert time again.
 * The newest log entry is the whole state: the id marks (an id freed by
-  retention is never drawn again), the cutoffs below which rows are pruned,
-  the last batch of every writer, and the folders that still hold visible
-  rows. Opening a table reads one entry, and a scan lists only live folders;
-  their number is bounded by the groups (or keys) that a table keeps.
-* A log entry is created, never overwritten. If two writers meet, one of them
-  finds the entry taken, starts again from the new state, and nothing is lost.
+  retention is never drawn again), the cutoffs below which rows are pruned, the
+  last batch of every writer, and the folders that still hold visible rows, with
+  the ids and the rows of each visible group. Ids of a group have no gaps, so
+  cutoffs and page borders are arithmetic over the entry: no data file is read
+  for them, and a page opens its own folders only. The entry is bounded by the
+  groups (or keys) that a table keeps.
+* Entries are created whole and never overwritten (see :mod:`.log`).
 * Retention moves a cutoff; folders whose rows all lie below it leave the
   state at once, and `vacuum` deletes them.
 * A replayed batch is known by writer and batch id together. A batch id lower
@@ -22,41 +28,50 @@ Layout under `root`::
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 import uuid
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import append, ids, keys, validate
-from ..operators.ranking import kth_largest
 from ..operators.retention import as_timestamp
 from ..schemas import (DEFAULT_KEY_LIFETIME_MINUTES, DEFAULT_MAX_GROUPS, DEFAULT_MAX_SESSION_KEYS, SESSION_KEYS, Kind,
                        kind_of)
+from .log import EntryLog
 
 BUCKET_COL = "group_bucket"
 DEFAULT_BUCKET_SIZE = 64
-_RETRIES = 20
+_RETRIES = 100
+
+
+@dataclass(frozen=True)
+class Block:
+    """Rows of one group in one folder: ids `first_id`, `first_id` + 1, … Keys are blocks without a group."""
+    first_id: int
+    rows: int
+    group: int | None = None
 
-LOG_SCHEMA = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("group_mark", T.LongType()),
-    T.StructField("id_mark", T.LongType()),
-    T.StructField("cutoff", T.LongType()),
-    T.StructField("expired_before", T.StringType()),
-    T.StructField("rows", T.LongType()),
-    T.StructField("writers", T.MapType(T.StringType(), T.LongType())),
-    T.StructField("folders", T.ArrayType(T.StructType([
-        T.StructField("name", T.StringType()), T.StructField("highest", T.LongType())]))),
-])
+    @property
+    def last_id(self) -> int:
+        return self.first_id + self.rows - 1
+
+
+@dataclass(frozen=True)
+class Folder:
+    name: str
+    blocks: tuple[Block, ...]
+    inserted_at: str | None = None
+    valid_until: str | None = None
 
 
 @dataclass(frozen=True)
 class TableState:
-    """`cutoff` is the least visible group id (or key id); `folders` are (name, highest group or key id)."""
+    """`cutoff` is the least visible group id (or key id)."""
     version: int = 0
     group_mark: int = 0
     id_mark: int = 0
@@ -64,7 +79,7 @@ class TableState:
     expired_before: str | None = None
     rows: int = 0
     writers: dict[str, int] = field(default_factory=dict)
-    folders: tuple[tuple[str, int], ...] = ()
+    folders: tuple[Folder, ...] = ()
 
     def seen(self, writer: str, batch_id: int) -> bool:
         last = self.writers.get(writer)
@@ -72,11 +87,61 @@ class TableState:
             raise ValueError(f"batch {batch_id} of writer {writer!r} comes after its batch {last}")
         return batch_id == last
 
+    def visible(self) -> list[tuple[Block, Folder]]:
+        """Blocks that readers see, newest ids first; a cutoff inside a folder of keys shortens its block."""
+        out = []
+        for f in self.folders:
+            if f.valid_until is not None and self.expired_before is not None and f.valid_until < self.expired_before:
+                continue
+            for b in f.blocks:
+                if b.group is None and self.cutoff is not None and b.first_id < self.cutoff <= b.last_id:
+                    b = Block(self.cutoff, b.last_id - self.cutoff + 1)
+                if self.cutoff is None or (b.first_id if b.group is None else b.group) >= self.cutoff:
+                    out.append((b, f))
+        return sorted(out, key=lambda x: -x[0].first_id)
+
+    def groups(self) -> list[int]:
+        """Visible groups, newest first."""
+        return sorted({b.group for b, _ in self.visible()}, reverse=True)
+
+    def live(self) -> TableState:
+        """The state without folders and blocks that nothing shows any more."""
+        kept = {}
+        for b, f in self.visible():
+            kept.setdefault(f.name, []).append(b)
+        return replace(self, folders=tuple(replace(f, blocks=tuple(sorted(kept[f.name], key=lambda b: b.first_id)))
+                                           for f in self.folders if f.name in kept))
+
+    def to_json(self) -> dict:
+        return asdict(self)
+
+    @staticmethod
+    def from_json(entry: dict) -> TableState:
+        folders = tuple(Folder(**{**f, "blocks": tuple(Block(**b) for b in f["blocks"])}) for f in entry["folders"])
+        return TableState(**{**entry, "folders": folders})
+
+
+@dataclass(frozen=True)
+class Draw:
+    """A range of groups and ids after the marks, and the time at which the rows count as inserted."""
+    group_mark: int
+    id_mark: int
+    inserted_at: str
+
 
 def _new_folder() -> str:
     return f"run={uuid.uuid4().hex}"
 
 
+def _clock_text(as_of: dt.datetime | str | None) -> str:
+    """A clock value in one form, so that times compare as text."""
+    if as_of is None:
+        as_of = dt.datetime.now(dt.timezone.utc)
+    elif isinstance(as_of, str):
+        as_of = dt.datetime.fromisoformat(as_of)
+    return as_of.replace(tzinfo=None).isoformat(sep=" ", timespec="microseconds")
+
+
 class LoggedTable:
     """State, reading and clean-up shared by the tables."""
 
@@ -85,6 +150,8 @@ class LoggedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = EntryLog(spark, f"{self.root}/_log", "commit")
+        self.draws = EntryLog(spark, f"{self.root}/_ids", "draw")
 
     # ------------------------------------------------------------------ files
     def _path(self, *parts: str):
@@ -99,41 +166,53 @@ class LoggedTable:
         path = self._path(*parts)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _versions(self) -> list[int]:
-        """Versions, oldest first; the entry of one that is being written is still empty."""
-        names = [s.getPath().getName() for s in self._list("_log")]
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("commit="))
-
     # ------------------------------------------------------------------ state
     def state(self) -> TableState:
-        for version in reversed(self._versions()):
-            rows = self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/_log/commit={version}").collect()
-            if rows:
-                r = rows[0].asDict(recursive=True)
-                r["folders"] = tuple((f["name"], f["highest"]) for f in r["folders"] or ())
-                return TableState(**{**r, "writers": r["writers"] or {}})
-        return TableState()
+        found = self.log.newest()
+        return TableState() if found is None else TableState.from_json(found[1])
 
     def create_if_absent(self) -> bool:
         """SNK-6…10: an empty table is a log with commit 0 and no data; True when it was created."""
-        return not self._versions() and self._commit(TableState())
+        return not self.log.numbers() and self._commit(TableState())
 
     def _commit(self, st: TableState) -> bool:
         """Create the log entry; False if another writer has taken the version."""
-        row = [(st.version, st.group_mark, st.id_mark, st.cutoff, st.expired_before, st.rows, st.writers, list(st.folders))]
-        try:
-            (self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("errorifexists")
-             .json(f"{self.root}/_log/commit={st.version}"))
-        except AnalysisException as exc:
-            if "PATH_ALREADY_EXISTS" in str(exc):
+        return self.log.put(st.version, st.to_json())
+
+    def _committed(self, change: Callable[[TableState], TableState | None]) -> bool:
+        """Commit `change` of the newest state, again while other writers come first; False if it returns None."""
+        for _ in range(_RETRIES):
+            st = self.state()
+            after = change(st)
+            if after is None:
                 return False
-            raise
-        return True
+            if self._commit(replace(after, version=st.version + 1).live()):
+                return True
+            time.sleep(random.uniform(0, 0.05))
+        raise RuntimeError(f"{self.root}: no free version after {_RETRIES} attempts")
 
-    def _scan(self, st: TableState, extra: list[T.StructField] = ()) -> DataFrame:
-        if not st.folders:
+    def _draw(self, n_groups: int, n_rows: int, run: str, inserted_at: str | None) -> Draw:
+        """SNK-11, SNK-12: a range that no other run has. An open draw of the same `run` and size is used again."""
+        for _ in range(_RETRIES):
+            st, last = self.state(), self.draws.newest()
+            number, entry = last or (-1, {"group_mark": 0, "id_mark": 0, "open": {}})
+            mine = entry["open"].get(run)
+            if mine and mine["size"] == [n_groups, n_rows] and inserted_at in (None, mine["inserted_at"]):
+                return Draw(mine["group_mark"], mine["id_mark"], mine["inserted_at"])
+            draw = Draw(max(st.group_mark, entry["group_mark"]), max(st.id_mark, entry["id_mark"]), inserted_at or _clock_text(None))
+            writer = run.rpartition(":")[0]
+            still = {k: v for k, v in entry["open"].items() if k.rpartition(":")[0] != writer}  # one open run per writer
+            after = {"group_mark": draw.group_mark + n_groups, "id_mark": draw.id_mark + n_rows,
+                     "open": {**still, **({run: {**asdict(draw), "size": [n_groups, n_rows]}} if run else {})}}
+            if self.draws.put(number + 1, after):
+                return draw
+            time.sleep(random.uniform(0, 0.05))
+        raise RuntimeError(f"{self.root}: no free draw after {_RETRIES} attempts")
+
+    def _scan(self, names: list[str], extra: list[T.StructField] = ()) -> DataFrame:
+        if not names:
             return self.spark.createDataFrame([], T.StructType([*self.schema.fields, *extra]))
-        paths = [f"{self.root}/data/{name}" for name, _ in st.folders]
+        paths = [f"{self.root}/data/{name}" for name in names]
         schema = T.StructType([*self.schema.fields, *extra, T.StructField("run", T.StringType())])
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
 
@@ -143,20 +222,10 @@ class LoggedTable:
         Folders younger than `min_age_seconds` stay: they may belong to a commit
         under way. Returns the number of data folders deleted.
         """
-        versions = self._versions()
-        kept = versions[-max(1, keep_versions):]
-        live: set[str] = set()
-        for v in kept:
-            for r in self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/_log/commit={v}").collect():
-                live |= {f["name"] for f in r["folders"] or ()}
+        self.log.tidy(keep_versions, min_age_seconds)
+        self.draws.tidy(1, min_age_seconds)
+        live = {f["name"] for n in self.log.numbers() for f in (self.log.read(n) or {"folders": ()})["folders"]}
         limit = (time.time() - min_age_seconds) * 1000
-        for v in versions[:len(versions) - len(kept)]:
-            self._delete("_log", f"commit={v}")
-        for s in self._list("_log"):  # what a writer that died has left
-            name = s.getPath().getName()
-            if s.getModificationTime() <= limit and not any(
-                    x.getPath().getName() == "_SUCCESS" for x in self._list("_log", name)):
-                self._delete("_log", name)
         dead = [s.getPath().getName() for s in self._list("data")
                 if s.getPath().getName() not in live and s.getModificationTime() <= limit]
         for name in dead:
@@ -175,66 +244,105 @@ class SnapshotTable(LoggedTable):
         self.max_groups = max_groups
         self.bucket_size = bucket_size
 
+    def _rows(self, blocks: list[tuple[Block, Folder]]) -> DataFrame:
+        """Rows of the folders that hold `blocks`, from the least of their groups on."""
+        names = sorted({f.name for _, f in blocks})
+        df = self._scan(names, [T.StructField(BUCKET_COL, T.IntegerType(), True)])
+        if blocks:
+            least = min(b.group for b, _ in blocks)
+            df = df.where((F.col(BUCKET_COL) >= F.lit(least // self.bucket_size)) &
+                          (F.col("group_id") >= F.lit(least).cast("int")))
+        return df.select(*self.kind.columns)
+
     def read(self, state: TableState | None = None) -> DataFrame:
+        return self._rows((state or self.state()).visible())
+
+    def page(self, limit: int | None = None, offset: int | None = None, *, limit_group: int | None = None,
+             offset_group: int | None = None, state: TableState | None = None, ordered: bool = True) -> DataFrame:
+        """PG-1…4, GP-1…5: newest rows first, of the groups ranked ``offset_group < rank <= limit_group``.
+
+        All borders come from the log entry; the result is one scan of the folders that the page touches.
+        """
+        if (limit or 0) < 0 or (offset or 0) < 0:
+            raise ValueError("LIMIT and OFFSET must not be negative")
         st = state or self.state()
-        df = self._scan(st, [T.StructField(BUCKET_COL, T.IntegerType(), True)])
-        if st.cutoff is not None:
-            df = df.where((F.col(BUCKET_COL) >= F.lit(st.cutoff // self.bucket_size)) &
-                          (F.col("group_id") >= F.lit(st.cutoff).cast("int")))
-        return df.select(*self.kind.columns)
+        ranked = st.groups()
+        ranked = ranked[max(0, offset_group or 0):None if limit_group is None else max(0, limit_group)]
+        inside = set(ranked)
+        skip, left, taken = offset or 0, limit, []
+        for b, f in st.visible():
+            if b.group not in inside:
+                continue
+            part = min(skip, b.rows)
+            skip -= part
+            n = b.rows - part if left is None else min(left, b.rows - part)
+            if n:
+                taken.append((Block(b.last_id - part - n + 1, n, b.group), f))
+                left = None if left is None else left - n
+        df = self._rows(taken)
+        if taken:
+            group, row = F.col("group_id"), F.col("id")
+            df = df.where((group <= F.lit(max(b.group for b, _ in taken)).cast("int")) &
+                          row.between(F.lit(taken[-1][0].first_id).cast("int"), F.lit(taken[0][0].last_id).cast("int")))
+        return df.orderBy(F.desc("id")) if ordered else df
 
     def append_run(self, rows: DataFrame, batch_id: int, *, writer: str = "", sample_key: list[str] | None = None,
                    order: list[str] | None = None, insert_time=None, skip_empty: bool = False) -> bool:
         """Append one collection run (or many runs keyed by `sample_key`).
 
         `rows` holds the insert columns (no `id`, `group_id`). With no
-        `sample_key` the whole input is one group. Steps: draw ids after the
-        marks (one staging of the rows), prune to ``max_groups - 1`` older groups,
-        check constraints, write the rows' folder, log it. A replayed batch of the
-        same writer, or an empty one with `skip_empty`, returns False and writes nothing.
+        `sample_key` the whole input is one group. Steps: number the rows (one
+        staging), draw their ids, check constraints, write the rows' folder, and
+        commit it with the cutoff that keeps `max_groups` groups. A replayed batch
+        of the same writer, or an empty one with `skip_empty`, returns False and
+        writes nothing.
         """
         if self.state().seen(writer, batch_id):
             return False
-        for _ in range(_RETRIES):
-            st = self.state()
-            if st.seen(writer, batch_id):
+        n = ids.numbered(rows, list(sample_key or []), list(order or []))
+        try:
+            if skip_empty and not n.n_rows:
                 return False
-            out, numbering = append.drawn(rows, self.kind, group_mark=st.group_mark, id_mark=st.id_mark,
-                                          sample_key=sample_key, order=order, inserted_at=insert_time)
-            try:
-                if skip_empty and not numbering.n_rows:
-                    return False
-                new_groups = numbering.n_keys if sample_key else 1
-                st = replace(st, version=st.version + 1, group_mark=st.group_mark + new_groups, rows=numbering.n_rows,
-                             id_mark=st.id_mark + numbering.n_rows, cutoff=self._cutoff(st, new_groups),
-                             writers={**st.writers, writer: batch_id})
-                name = self._write(out, st) if numbering.n_rows else None
-            finally:
-                numbering.discard()
-            folders = [*st.folders, *([(name, st.group_mark)] if name else [])]
-            st = replace(st, folders=tuple(f for f in folders if st.cutoff is None or f[1] >= st.cutoff))
-            if self._commit(st):
-                return True
-            if name:
-                self._delete("data", name)
-        raise RuntimeError(f"{self.root}: no free version after {_RETRIES} attempts")
+            new = n.n_keys if sample_key else 1
+            draw = self._draw(new, n.n_rows, f"{writer}:{batch_id}", None if insert_time is None else str(insert_time))
+            folder = self._write(n, draw, bool(sample_key)) if n.n_rows else None
+        finally:
+            n.discard()
 
-    def _write(self, out: DataFrame, st: TableState) -> str:
-        name = _new_folder()
-        if st.cutoff is not None:
-            out = out.where(F.col("group_id") >= F.lit(st.cutoff).cast("int"))
+        def change(st: TableState) -> TableState | None:
+            if st.seen(writer, batch_id):
+                return None
+            own = range(draw.group_mark + 1, draw.group_mark + new + 1)
+            newest = sorted({*st.groups(), *own[-self.max_groups:]}, reverse=True)[:self.max_groups]
+            cutoff = st.cutoff if len(newest) < self.max_groups else max(newest[-1], st.cutoff or newest[-1])
+            return replace(st, group_mark=max(st.group_mark, own.stop - 1), id_mark=max(st.id_mark, draw.id_mark + n.n_rows),
+                           rows=n.n_rows, cutoff=cutoff, writers={**st.writers, writer: batch_id},
+                           folders=(*st.folders, *([folder] if folder else [])))
+
+        done = False
+        try:
+            done = self._committed(change)
+        finally:
+            if folder and not done:
+                self._delete("data", folder.name)
+        return done
+
+    def _write(self, n: ids.Numbered, draw: Draw, keyed: bool) -> Folder:
+        """The run's folder: its rows, but for groups of a bulk run beyond the `max_groups` newest."""
+        least = max(0, n.n_keys - self.max_groups) if keyed else 0
+        sizes = [(0, 0, n.n_rows)]
+        if keyed:
+            sizes = (n.rows.where(F.col("key_no") >= least).groupBy("key_no")
+                     .agg(F.min("row_no").alias("first"), F.count("*").alias("rows")).collect())  # at most max_groups rows
+        out = append.from_numbered(n, self.kind, group_mark=draw.group_mark, id_mark=draw.id_mark, keyed=keyed,
+                                   inserted_at=draw.inserted_at)
+        out = out.where(F.col("group_id") > F.lit(draw.group_mark + least).cast("int"))
         out = validate.require_valid(out, self.kind)
         out = out.withColumn(BUCKET_COL, F.floor(F.col("group_id") / F.lit(self.bucket_size)).cast("int"))
+        name = _new_folder()
         out.write.partitionBy(BUCKET_COL).parquet(f"{self.root}/data/{name}")
-        return name
-
-    def _cutoff(self, st: TableState, new_groups: int) -> int | None:
-        """Least visible group once `new_groups` are in (RT-5); a bulk run of more groups than fit keeps its newest."""
-        keep = self.max_groups - new_groups
-        if keep <= 0:
-            return st.group_mark + new_groups - self.max_groups + 1
-        cut = kth_largest(self.read(st), "group_id", keep) if st.folders else None
-        return st.cutoff if cut is None else cut
+        blocks = [Block(draw.id_mark + 1 + first, rows, draw.group_mark + 1 + key) for key, first, rows in sorted(map(tuple, sizes))]
+        return Folder(name, tuple(blocks), inserted_at=draw.inserted_at)
 
 
 class KeyTable(LoggedTable):
@@ -249,43 +357,63 @@ class KeyTable(LoggedTable):
 
     def read(self, state: TableState | None = None) -> DataFrame:
         st = state or self.state()
-        df = self._scan(st)
+        df = self._scan(sorted({f.name for _, f in st.visible()}))
         if st.cutoff is not None:
             df = df.where(F.col("id") >= F.lit(st.cutoff).cast("int"))
         if st.expired_before is not None:
             df = df.where(F.col("valid_until") >= as_timestamp(st.expired_before))
         return df.select(*SESSION_KEYS.names)
 
+    def unseen(self, candidates: DataFrame, key_col: str = "session_key") -> DataFrame:
+        """SK-1 against the table as it stands."""
+        return keys.keys_unseen(candidates, self.read(), key_col)
+
+    def valid(self, presented: DataFrame, as_of: dt.datetime | str | None = None, key_col: str = "session_key") -> DataFrame:
+        """SK-2 against the table as it stands; folders whose keys have all expired by then are not opened."""
+        now = _clock_text(as_of)
+        st = self.state()
+        st = replace(st, folders=tuple(f for f in st.folders if f.valid_until is None or f.valid_until > now))
+        return keys.keys_valid(presented, self.read(st), now, key_col)
+
     def save(self, new_keys: DataFrame, as_of: dt.datetime | str, *, order: list[str] | None = None) -> bool:
         """Drop expired keys and all but the newest ``max_keys - 1``, then insert `new_keys` (column `session_key`).
 
-        Ids follow the table's own mark, so an id is not drawn again after its key was deleted.
+        Ids are drawn like those of rows, so an id is not drawn again after its key was deleted.
         """
-        now = as_of if isinstance(as_of, str) else as_of.replace(tzinfo=None).isoformat(sep=" ")
-        for _ in range(_RETRIES):
-            st = self.state()
-            numbering = ids.numbered(new_keys, [], list(order or ["session_key"]))
-            try:
-                fresh = numbering.rows.withColumn(
-                    "id", ids.checked_int(F.col("row_no") + F.lit(st.id_mark + 1).cast("long")))
+        now = _clock_text(as_of)
+        n = ids.numbered(new_keys, [], list(order or ["session_key"]))
+        folder = None
+        try:
+            draw = self._draw(0, n.n_rows, "", now)
+            if n.n_rows:
+                fresh = n.rows.withColumn("id", ids.checked_int(F.col("row_no") + F.lit(draw.id_mark + 1).cast("long")))
                 rows = keys.new_key_rows(fresh, now, self.lifetime_minutes)
-                keep = self.max_keys - 1
-                cut = st.id_mark + 1 if keep <= 0 else (
-                    kth_largest(self.read(st), "id", keep, distinct=False) if st.folders else None)
-                old = st.cutoff if cut is None else cut
-                name = _new_folder()
-                if numbering.n_rows:
-                    validate.require_valid(rows, "session_keys").write.parquet(f"{self.root}/data/{name}")
-            finally:
-                numbering.discard()
-            mark = st.id_mark + numbering.n_rows
-            folders = [*st.folders, *([(name, mark)] if numbering.n_rows else [])]
-            before = now if st.expired_before is None else max(now, st.expired_before)
-            if self._commit(replace(st, version=st.version + 1, id_mark=mark, cutoff=old, expired_before=before,
-                                    rows=numbering.n_rows, folders=tuple(f for f in folders if old is None or f[1] >= old))):
-                return True
-            self._delete("data", name)
-        raise RuntimeError(f"{self.root}: no free version after {_RETRIES} attempts")
+                until = dt.datetime.fromisoformat(now) + dt.timedelta(minutes=self.lifetime_minutes)
+                folder = Folder(_new_folder(), (Block(draw.id_mark + 1, n.n_rows),), inserted_at=now, valid_until=_clock_text(until))
+                validate.require_valid(rows, "session_keys").write.parquet(f"{self.root}/data/{folder.name}")
+        finally:
+            n.discard()
+
+        def change(st: TableState) -> TableState:
+            keep, cutoff = self.max_keys - 1, st.cutoff
+            if keep <= 0:
+                cutoff = draw.id_mark + 1
+            else:
+                for b, _ in st.visible():
+                    if b.rows >= keep:
+                        cutoff = max(b.last_id - keep + 1, st.cutoff or 0)
+                        break
+                    keep -= b.rows
+            return replace(st, id_mark=max(st.id_mark, draw.id_mark + n.n_rows), rows=n.n_rows, cutoff=cutoff,
+                           expired_before=max(now, st.expired_before or now), folders=(*st.folders, *([folder] if folder else [])))
+
+        done = False
+        try:
+            done = self._committed(change)
+        finally:
+            if folder and not done:
+                self._delete("data", folder.name)
+        return done
 
 
 def open_table(spark: SparkSession, root: str, kind: str | Kind, **settings) -> LoggedTable:
