@@ -54,6 +54,7 @@ MAX_TEXT = {"name": 512, "session_key": 512}
 DEFAULT_MAX_GROUPS = 100
 DEFAULT_MAX_SESSION_KEYS = 60
 DEFAULT_KEY_LIFETIME_MINUTES = 60
+DEFAULT_RETRIES = 3
 DEFAULT_INTERVAL_SECONDS = 30
 
 

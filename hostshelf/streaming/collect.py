@@ -9,7 +9,8 @@
   (:meth:`SnapshotTable.append_run` inside ``foreachBatch``). The batch is
   computed once, when the append stages its rows.
 * ST-4 — a replayed micro-batch carries the same query and batch id; the
-  table's log recognises the pair, so a retry adds no group. An empty
+  table's log recognises the pair, so a retry adds no group; `supervised`
+  starts a failed collector again, at most three times in a row. An empty
   micro-batch is not a collection run: it draws no group and prunes nothing.
 * ST-5 — each metric is its own query with its own checkpoint
   (see :mod:`.pipelines` for the four of them).
@@ -21,13 +22,15 @@ casts back for the table.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..schemas import DEFAULT_INTERVAL_SECONDS
+from ..schemas import DEFAULT_INTERVAL_SECONDS, DEFAULT_RETRIES
 from ..sinks.store import SnapshotTable
 
 
@@ -130,11 +133,41 @@ def backfill_then_live(stream: DataFrame, table: SnapshotTable, to_rows: Callabl
     """ST-2: drain what is already there (``availableNow``), then keep
     collecting on the same checkpoint every interval; returns the live query.
 
-    A backfill that is not done after `timeout_s` is stopped first; the live
-    query goes on where it was.
+    A backfill that is not done after `timeout_s` is stopped first, but not
+    before its first batch has ended (a checkpoint with state and without a
+    committed batch cannot be taken up again); the live query goes on where it
+    was. Intervals that the stopped backfill had closed but not written come
+    with the next data.
     """
     first = start_collector(stream, table, to_rows, checkpoint, available_now=True, **kw)
     done = first.awaitTermination() if timeout_s is None else first.awaitTermination(timeout_s)
     if timeout_s is not None and not done:
+        while first.isActive and first.lastProgress is None:
+            first.awaitTermination(0.1)
         first.stop()
     return start_collector(stream, table, to_rows, checkpoint, available_now=False, **kw)
+
+
+def supervised(start: Callable[[], StreamingQuery], max_retries: int = DEFAULT_RETRIES, delay_s: float = 0.0,
+               on_error: Callable[[Exception, int], None] | None = None) -> StreamingQuery:
+    """ST-4: run a collector to its end, and start it again on its checkpoint when it fails.
+
+    `start` starts the query (always with the same checkpoint and table, so the
+    failed batch is known and adds no second group). After `max_retries`
+    failures without a finished batch between them the last error is raised.
+    `on_error` sees every error and the failures so far. Returns the query that
+    ended without one.
+    """
+    failures = 0
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException as exc:
+            failures = 1 if query.lastProgress is not None and query.lastProgress["numInputRows"] > 0 else failures + 1
+            if on_error is not None:
+                on_error(exc, failures)
+            if failures > max_retries:
+                raise
+            time.sleep(delay_s)

@@ -2,7 +2,7 @@ import re
 import time
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from hostshelf.session import checkpoint_dir
 from hostshelf.sinks.store import KeyTable, SnapshotTable, TableState, open_table
 from hostshelf.sources.tables import read_session_keys, read_table
 from hostshelf.streaming import pipelines
-from hostshelf.streaming.collect import backfill_then_live, latest_per_interval, snapshot_writer, start_collector
+from hostshelf.streaming.collect import backfill_then_live, latest_per_interval, snapshot_writer, start_collector, supervised
 
 from conftest import SF001
 
@@ -279,16 +279,17 @@ def test_collector_from_messages_to_store_equals_the_batch(spark, scratch, kind)
 def test_backfill_then_live_stops_a_slow_backfill(spark, scratch):
     """Whatever the backfill had done when it was stopped, all closed intervals are there once the live query has gone on."""
     events = spark.read.parquet(f"{SF001}/events.parquet")
-    events.where("event_id < 500").write.parquet(f"{scratch}/in/part=0")
+    events.where("ts < TIMESTAMP_NTZ'2024-01-16 00:00:00'").write.parquet(f"{scratch}/in/part=0")
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{scratch}/in")
     table = open_table(spark, f"{scratch}/ram", "ram", max_groups=100_000)
     points = pipelines.per_interval(_messages(stream, "ram"), 600, "1 minute")
     live = backfill_then_live(points, table, pipelines.ram_rows, f"{scratch}/ck", timeout_s=0.2, interval_seconds=1,
                               sample_key=["sample_id"], insert_time="2024-02-01 00:00:00")
     try:
-        events.where("event_id >= 500").write.parquet(f"{scratch}/in/part=1")
+        events.where("ts >= TIMESTAMP_NTZ'2024-01-16 00:00:00'").write.parquet(f"{scratch}/in/part=1")
         batch = pipelines.per_interval(_messages(events, "ram"), 600)
-        want = batch.select("window_start").distinct().count() - 1  # the newest interval is still open
+        last = batch.agg(F.max("window_start")).first()[0]  # still open behind the watermark
+        want = pipelines.ram_rows(batch.where(F.col("window_start") < F.lit(last))).count()
         deadline = time.time() + 120
         while table.read().count() < want and time.time() < deadline:
             live.processAllAvailable()
@@ -298,6 +299,31 @@ def test_backfill_then_live_stops_a_slow_backfill(spark, scratch):
     assert table.read().count() == want > 100
 
 
+@pytest.mark.parametrize("failing", [2, 3, 99])
+def test_a_failing_collector_is_started_again(spark, scratch, failing):
+    """Two or three failures in a row are made good, without a second group; after the fourth the error is raised."""
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=100_000)
+    calls, seen = [], []
+
+    def rows(batch):
+        calls.append(1)
+        if len(calls) <= failing:
+            raise OSError(f"probe failed {len(calls)}")
+        return pipelines.ram_rows(batch)
+
+    points = pipelines.per_interval(_messages(_event_stream(spark), "ram"), 3600, "1 minute")
+    run = lambda: supervised(lambda: start_collector(points, table, rows, f"{scratch}/ck", sample_key=["sample_id"], available_now=True,
+                                                     insert_time="2024-02-01 00:00:00"), on_error=lambda e, n: seen.append(n))
+    if failing == 99:
+        with pytest.raises(StreamingQueryException, match="probe failed 4"):
+            run()
+        assert seen == [1, 2, 3, 4] and table.read().count() == 0
+    else:
+        run()
+        got = table.read()
+        assert seen == list(range(1, failing + 1)) and got.count() == got.select("group_id").distinct().count() > 100
+
+
 def test_independent_pipelines_own_checkpoints(spark, scratch):
     kinds = ("ram", "file")
     tables = {k: open_table(spark, f"{scratch}/{k}", k, max_groups=10) for k in kinds}
