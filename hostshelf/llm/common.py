@@ -57,14 +57,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet into the shared checkpoint folder and read it back; `by` is a column of few values, a folder each.
 
     Cuts the lineage with a copy that survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 

@@ -193,7 +193,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     spark = docs.sparkSession
     texts = staged(docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), F.col("text"))
                    .where("text IS NOT NULL").withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")),
-                   "texts", by="shard")
+                   "texts", by="shard", codec="zstd")
     table = np.full(slots, _NEVER, np.uint8)
     state, done, totals = None, [], None
     scan, last = 0, shards - 1
@@ -205,7 +205,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
                    .mapInArrow(_counts(known, slots, scan, shards, longest), _COUNTS))
         if state is not None:
             counted = counted.union(state.where(F.col("since") > scan - shards))
-        before, state = state, staged(counted.groupBy("lang", "phrase", "since").agg(F.sum("a").alias("a")), f"scan-{scan}")
+        summed = counted.groupBy("lang", "phrase", "since").agg(F.sum("a").alias("a"))
+        before, state = state, staged(summed, f"scan-{scan}", codec="zstd")
         if before is not None:
             discard(before)
         known.unpersist()
