@@ -54,8 +54,16 @@ _LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 _CACHE = 300_000
 
 
+#: The same where no character is a mark or a numeric sign; much faster.
+_PLAIN_LETTERS = re.compile(r"[^\W\d_]+")
+_MARK_OR_SIGN = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0300-\U0010ffff]")
+
+
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_LETTERS if _MARK_OR_SIGN.search(text) else _PLAIN_LETTERS).findall(text)
 
 
 def grams_of(word: str, order: int) -> list[str]:

@@ -59,6 +59,11 @@ def test_grams(word, order, want):
     assert lang.grams_of(word, order) == want
 
 
+def test_both_patterns_agree_below_the_marks():
+    low = "".join(chr(c) for c in range(0x300) if not lang._MARK_OR_SIGN.search(chr(c)))
+    assert lang._PLAIN_LETTERS.findall(low) == lang._LETTERS.findall(low)
+
+
 def test_words_need_a_letter(frame):
     from hostshelf.llm.lang_backoff import words_of
     assert words_of("½ ² ① Ⅷ 12 _") == [] and words_of(None) == []
