@@ -4,24 +4,29 @@ Base rules are fixed by contract. On top of them each score (share of symbols,
 of exclamation marks, of capitals, of repeated words, of repeated lines) gets
 one cutoff per stratum (language). Labelled documents are the holdout: for
 every (stratum, rule, cutoff of a fixed grid) count the good documents n and
-those k that the cutoff would reject. The cutoff is certified when the exact
-binomial tail P(Bin(n, alpha / rules) <= k) is at most delta / tests
-(Bonferroni over all strata, rules and cutoffs): then, with confidence
-1 - delta, no stratum loses more than a share `alpha` of its good documents
-to all rules together. Of the certified cutoffs the one that rejects the most
-bad documents less good ones applies, of equal ones the highest, so that a rule
-takes no more than it needs; a stratum with too few labels gets none, and only
-the base rules hold there. Documents that the base rules reject take no part.
-
-That split needs about 900 good labels of a stratum before any cutoff can be
-certified. With `joint` (the pipeline) half of delta goes to a second family:
-the set that all rules together reject at one common cutoff, tested at the
-whole alpha, P(Bin(n, alpha) <= k) <= delta / 2 / strata, as a fixed sequence
-from the highest cutoff down (k only grows on the way, so the levels before the
-first failure are those that pass). At the lowest level that passes every rule
-may have any cutoff from there up, since the set so rejected is a part of the
-certified one. The other half goes to the split above; per stratum the family
-with the greater sum of the rules' gains applies, on a tie the split.
+those k that the cutoff would reject. Two families of tests share delta:
+
+* Split: the cutoff of a rule is certified when the exact binomial tail
+  P(Bin(n, alpha / rules) <= k) is at most delta / 2 / tests (Bonferroni over
+  all strata, rules and cutoffs). That needs about 900 good labels.
+* Joint: the set that all rules together reject at one common cutoff is tested
+  at the whole alpha, P(Bin(n, alpha) <= k) <= delta / 2 / strata, as a fixed
+  sequence from the highest cutoff down (k only grows on the way, so the levels
+  before the first failure are those that pass). At a level that passes every
+  rule may have any cutoff from there up, since the set so rejected is a part
+  of the certified one. That needs about 100 good labels with four strata.
+
+With confidence 1 - delta no stratum then loses more than a share `alpha` of
+its good documents to all rules together. Of a rule's certified cutoffs the one
+that rejects the most bad documents less good ones applies, of equal ones the
+highest, so that a rule takes no more than it needs; per stratum the family
+with the greater sum of the rules' gains applies, on a tie the split. A stratum
+with too few labels has no cutoff, and only the base rules hold there.
+Documents that the base rules reject take no part.
+
+The holdout's rows are counted by (stratum, rule, number of cutoffs reached),
+which the map tasks combine; everything after that works on at most 22 rows per
+stratum and rule.
 
 Defined results: null text has no words (so it fails the base rule); a null
 language is a stratum of its own; null labels are ignored; a document with
@@ -33,7 +38,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostshelf.llm.common import SPACE, let, staged
@@ -45,6 +50,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 ALPHA, DELTA = 0.05, 0.05
 GRID = tuple(round(0.01 * 1.25 ** i, 4) for i in range(21))
 RULES = ("symbol_share", "mark_share", "capital_share", "repeat_share", "dup_line_share")
+JOINT = "all"
 
 
 def _repeat_words(words: Column) -> Column:
@@ -110,44 +116,47 @@ def log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, 0.0).otherwise(total)
 
 
+def cells(rows: DataFrame, labels: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
+    """(stratum, rule, n, steps) of the labelled strata; `steps` holds k and bad for every cutoff of the grid.
+
+    The rule `all` is the set that any rule rejects at that cutoff.
+    """
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    cuts = F.array(*[F.lit(c) for c in grid])
+    reached = lambda score: F.size(F.filter(cuts, lambda c: score >= c))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), reached(score).alias("reached"))
+                               for name, score in (*((r, F.col(r)) for r in RULES), (JOINT, F.greatest(*RULES)))]))
+    counts = (rows.join(known, "doc_id").select("stratum", "good", each.alias("at"))
+              .groupBy("stratum", "at.rule", "at.reached")
+              .agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")))
+
+    def above(j: Column, kind: str) -> Column:
+        return F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.when(x.getField("reached") > j, x.getField(kind)).otherwise(0))
+
+    steps = F.transform(cuts, lambda c, j: F.struct(c.alias("cut"), above(j, "good").alias("k"), above(j, "bad").alias("bad")))
+    return (counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("reached", "good", "bad")).alias("parts"))
+            .select("stratum", "rule", "n", steps.alias("steps")))
+
+
 def certified_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-                      grid: tuple[float, ...] = GRID, joint: bool = False) -> DataFrame:
+                      grid: tuple[float, ...] = GRID) -> DataFrame:
     """(stratum, one cutoff column per rule) of the labelled strata; null where no cutoff is certified.
 
     `rows` holds doc_id, stratum and the score columns. A score at or above its cutoff is rejected.
     """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    hits = {r: [F.col(r) >= c for c in grid] for r in RULES}
-    cells = [F.sum((kind & h).cast("long")).alias(f"{r}_{j}_{name}") for name, kind in (("k", F.col("good")), ("bad", ~F.col("good")))
-             for r in RULES for j, h in enumerate(hits[r])]
-    if joint:
-        cells += [F.sum((F.col("good") & (F.greatest(*RULES) >= c)).cast("long")).alias(f"all_{j}_k") for j, c in enumerate(grid)]
-    counts = rows.join(known, "doc_id").groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), *cells)
-    strata = counts.withColumn("strata", F.count("*").over(_whole()))
-
-    def best(rule: str, passes: list[Column]) -> Column:
-        return F.array_max(F.array(*[F.when(ok, F.struct(
-            (F.col(f"{rule}_{j}_bad") - F.col(f"{rule}_{j}_k")).alias("gain"), F.lit(c).alias("cut")))
-            for j, (c, ok) in enumerate(zip(grid, passes))]))
-
-    p, n = alpha / len(RULES), F.col("n")
-    limit = F.lit(math.log(delta / 2 if joint else delta)) - F.log("strata")
-    split = {r: best(r, [log_binomial_cdf(n, F.col(f"{r}_{j}_k"), p) <= limit - math.log(len(RULES) * len(grid))
-                         for j in range(len(grid))]) for r in RULES}
-    if not joint:
-        return strata.select("stratum", *[c.getField("cut").alias(f"cut_{r}") for r, c in split.items()])
-    strata = strata.select("*", *[(log_binomial_cdf(n, F.col(f"all_{j}_k"), alpha) <= limit).alias(f"all_{j}") for j in range(len(grid))])
-    strata = strata.select("stratum", *[c.alias(f"split_{r}") for r, c in split.items()],
-                           *[best(r, [F.col(f"all_{j}") for j in range(len(grid))]).alias(f"joint_{r}") for r in RULES])
-    gain = lambda kind: sum(F.coalesce(F.col(f"{kind}_{r}.gain"), F.lit(0)) for r in RULES)
-    return strata.select("stratum", *[F.when(gain("joint") > gain("split"), F.col(f"joint_{r}.cut"))
-                                      .otherwise(F.col(f"split_{r}.cut")).alias(f"cut_{r}") for r in RULES])
-
-
-def _whole():
-    """One window over the counted strata (one row per language, never table rows)."""
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(1))
+    counted = staged(cells(rows, labels, grid), "cells")
+    limit = math.log(delta / 2 / max(counted.where(F.col("rule") == JOINT).count(), 1))
+    n, k, joint = F.col("n"), F.col("k"), F.col("rule") == JOINT
+    tested = (counted.select("stratum", "rule", "n", F.inline("steps"))
+              .withColumn("split_ok", ~joint & (log_binomial_cdf(n, k, alpha / len(RULES)) <= limit - math.log(len(RULES) * len(grid))))
+              .withColumn("level_ok", joint & (log_binomial_cdf(n, k, alpha) <= limit))
+              .withColumn("joint_ok", F.max("level_ok").over(Window.partitionBy("stratum", "cut"))))
+    best = lambda ok: F.max(F.when(F.col(ok), F.struct((F.col("bad") - k).alias("gain"), F.col("cut"))))
+    chosen = tested.where(~joint).groupBy("stratum", "rule").agg(best("split_ok").alias("split"), best("joint_ok").alias("joint"))
+    gain = lambda family: F.coalesce(F.sum(f"{family}.gain"), F.lit(0))
+    of = lambda family, r: F.max(F.when(F.col("rule") == r, F.col(f"{family}.cut")))
+    return chosen.groupBy("stratum").agg(*[F.when(gain("joint") > gain("split"), of("joint", r)).otherwise(of("split", r)).alias(f"cut_{r}")
+                                           for r in RULES])
 
 
 def judged(rows: DataFrame, labels: DataFrame, m: str = "m", **method) -> DataFrame:
@@ -203,15 +212,26 @@ s AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
               CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
               CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END] AS score FROM m),
 known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
-cell AS (SELECT stratum, rule, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND score[rule] >= cut) AS k,
-                count(*) FILTER (NOT good AND score[rule] >= cut) AS bad
-         FROM s JOIN known USING (doc_id), range(1, 6) AS a(rule), unnest([{_GRID_SQL}]) AS b(cut)
-         WHERE NOT base_failed GROUP BY ALL),
-tail AS (SELECT *, CASE WHEN k >= n * {ALPHA / len(RULES)} THEN 1.0 ELSE
+cell AS (SELECT stratum, rule, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND x >= cut) AS k,
+                count(*) FILTER (NOT good AND x >= cut) - count(*) FILTER (good AND x >= cut) AS gain
+         FROM (SELECT stratum, good, rule, CASE WHEN rule = 6 THEN list_max(score) ELSE score[rule] END AS x
+               FROM s JOIN known USING (doc_id), range(1, 7) AS a(rule) WHERE NOT base_failed), unnest([{_GRID_SQL}]) AS b(cut)
+         GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN rule = 6 THEN {ALPHA} ELSE {ALPHA / len(RULES)} END AS q,
+                {DELTA / 2} / (SELECT count(DISTINCT stratum) FROM cell) / CASE WHEN rule = 6 THEN 1 ELSE {len(RULES) * len(GRID)} END AS most
+         FROM cell),
+fine AS (SELECT *, CASE WHEN k >= n * q THEN false ELSE
              list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-                 + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))) END AS p FROM cell),
-cuts AS (SELECT stratum, rule, cut FROM tail WHERE p <= {DELTA} / (SELECT count(*) FROM cell)
-         QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, cut DESC) = 1),
+                 + i * ln(q) + (n - i) * ln(1 - q)))) <= most END AS ok FROM tail),
+family AS (SELECT 'split' AS family, stratum, rule, cut, gain FROM fine WHERE ok AND rule < 6
+           UNION ALL
+           SELECT 'joint', stratum, f.rule, cut, f.gain FROM fine f JOIN fine j USING (stratum, cut)
+           WHERE j.rule = 6 AND j.ok AND f.rule < 6),
+best AS (SELECT * FROM family QUALIFY row_number() OVER (PARTITION BY family, stratum, rule ORDER BY gain DESC, cut DESC) = 1),
+total AS (SELECT family, stratum, sum(gain) AS total FROM best GROUP BY ALL),
+used AS (SELECT stratum, CASE WHEN coalesce(max(total) FILTER (family = 'joint'), 0) > coalesce(max(total) FILTER (family = 'split'), 0)
+                              THEN 'joint' ELSE 'split' END AS family FROM total GROUP BY stratum),
+cuts AS (SELECT stratum, rule, cut FROM best JOIN used USING (stratum, family)),
 bad AS (SELECT DISTINCT r FROM s JOIN cuts USING (stratum) WHERE score[rule] >= cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM s

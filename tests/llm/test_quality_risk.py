@@ -125,7 +125,7 @@ def test_joint_cutoffs_equal_brute_force(spark):
     scored = spark.createDataFrame([(i, s, *x) for i, (s, _, x) in enumerate(rows)],
                                    "doc_id long, stratum string, " + ", ".join(f"{r} double" for r in q.RULES))
     labels = spark.createDataFrame([(i, int(g), 0) for i, (_, g, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
-    got = {r[0]: list(r[1:]) for r in q.certified_cutoffs(scored, labels, joint=True).collect()}
+    got = {r[0]: list(r[1:]) for r in q.certified_cutoffs(scored, labels).collect()}
     assert got == joint_brute(rows)
     assert got["aa"][0] is not None and got["bb"][1] == 0.0125 and got["cc"] == [None] * 5 and got["dd"][0] is not None
 
@@ -141,5 +141,5 @@ def test_columns_named_like_the_stage_s_own(spark, frame):
     names = ["kept", "stratum", "m", "_row", "base_failed", "cut_symbol_share", "measured", "n_words"]
     docs = frame([(i, " ".join(f"word{j}" for j in range(30)), "en") for i in range(3)], extra=False).selectExpr("*", *[f"'own {n}' AS `{n}`" for n in names])
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    got = q.keep_good(docs, labels, joint=True)
+    got = q.keep_good(docs, labels)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
