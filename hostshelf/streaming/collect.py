@@ -34,6 +34,10 @@ from ..schemas import DEFAULT_INTERVAL_SECONDS, DEFAULT_RETRIES
 from ..sinks.store import SnapshotTable
 
 
+#: Keys over which a stream deals the rows of one interval.
+SALTS = 16
+
+
 def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_INTERVAL_SECONDS} seconds",
                         watermark: str | None = None, sample_col: str | None = None,
                         keys: tuple[str, ...] = ()) -> DataFrame:
@@ -44,9 +48,10 @@ def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_I
     to the row whose other columns come last. Output: `window_start`, the other
     input columns, `sample_ts` (the newest row's time). Works on a batch or a
     streaming DataFrame. The newest row or sample id is a maximum, combined in
-    the map tasks; a batch joins the id back to the rows, so an interval may
-    hold any share of the table. A stream cannot join back: with `sample_col`
-    its state holds the rows of each open interval (of each host) as one array.
+    the map tasks; with `sample_col` it is joined back to the rows, so an
+    interval may hold any share of the table. On a stream that takes append
+    mode and a `watermark`, and the state holds one row per row of an open
+    interval. Empty input gives no rows; a row without a time is in no interval.
     """
     others = [c for c in df.columns if c != ts_col and c not in keys]
     ts = F.col(ts_col)
@@ -54,45 +59,60 @@ def latest_per_interval(df: DataFrame, ts_col: str, interval: str = f"{DEFAULT_I
     if watermark is not None:
         src = src.withColumn(ts_col, ts.cast("timestamp")).withWatermark(ts_col, watermark)
         ts = F.col(ts_col)
-    if sample_col is not None and not df.isStreaming:
+    if sample_col is not None:
         return _whole_samples(src, ts, interval, sample_col, keys, others)
     row = F.struct(ts.alias("t"), F.struct(*others).alias("x"))
-    by = src.groupBy(F.window(ts, interval).alias("w"), *keys)
-    if sample_col is None:
-        plain = [c for c in others if "map<" not in df.schema[c].dataType.simpleString()]
-        agg = by.agg(_hashed(F.max_by(row, F.struct(ts, *plain))).alias("r")).withColumn("newest", F.col("r"))
-    else:
-        agg = by.agg(F.collect_list(row).alias("rows")).withColumn("newest", F.array_max(F.transform(
-            "rows", lambda r: F.struct(r["t"].alias("t"), r["x"][sample_col].alias("s")))))
-        agg = agg.withColumn("r", F.explode(F.filter("rows", lambda r: r["x"][sample_col].eqNullSafe(F.col("newest.s")))))
-    return (agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys,
-                       "r", F.col("newest.t").cast("timestamp_ntz").alias("sample_ts"))
-            .select("window_start", *keys, *[F.col(f"r.x.{c}").alias(c) for c in others], "sample_ts"))
+    best = F.max_by(row, F.struct(ts, *_plain(df, others)))
+    agg = src.groupBy(F.window(ts, interval).alias("w"), *keys).agg(_hashed(best).alias("r"))
+    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys,
+                      *[F.col(f"r.x.{c}").alias(c) for c in others], F.col("r.t").cast("timestamp_ntz").alias("sample_ts"))
+
+
+def _plain(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that can be ordered and hashed."""
+    return [c for c in columns if "map<" not in df.schema[c].dataType.simpleString()]
 
 
 def _hashed(value: Column) -> Column:
     """The aggregate `value` in an object hash aggregate: a struct's maximum alone would sort all rows before it combines them.
 
-    The list stays empty, since collect_list leaves nulls out.
+    That saves the sort while a task meets at most 128 groups (a live
+    micro-batch); beyond that Spark sorts the rest of the task's rows, inside
+    the task, and combines them before the shuffle as before. The list stays
+    empty, since collect_list leaves nulls out.
     """
     return F.when(F.size(F.collect_list(F.lit(None).cast("int"))) == 0, value)
 
 
 def _whole_samples(rows: DataFrame, ts: Column, interval: str, sample_col: str, keys: tuple[str, ...],
                    others: list[str]) -> DataFrame:
-    """Batch: the newest (time, sample) of each interval, joined back to the rows.
-
-    The join keys are not the aggregate's grouping (the window's start, not the
-    window), so both sides get an exchange and a large sample can be split.
+    """The newest (time, sample) of each interval, joined back to the rows.
+
+    In a batch the join keys are not the aggregate's grouping (the window's
+    start, not the window), so both sides get an exchange and a large sample
+    can be split. A stream chains two stateful operators: the aggregate sends
+    an interval's newest sample when the watermark has passed its end, and a
+    stream join, whose state ends with the same watermark, meets it with the
+    rows kept so far. A stream's join cannot be split at run time, so the rows
+    of a sample are dealt over `SALTS` keys and the one newest row goes to each.
     """
     sample = [*keys, sample_col]
-    newest = (rows.groupBy(F.window(ts, interval).alias("w"), *keys)
+    renamed = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
+    window = F.window(ts, interval).alias("w")
+    newest = (rows.groupBy(window, *keys)
               .agg(_hashed(F.max(F.struct(ts.alias("t"), F.col(sample_col).alias("s")))).alias("newest"))
-              .select(F.col("w.start").alias("_w"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
-                      F.col("newest.s").alias(f"_k{len(keys)}"), F.col("newest.t").cast("timestamp_ntz").alias("sample_ts")))
-    own = rows.select(F.window(ts, interval).alias("w"), *keys, *others).withColumn("window_start", F.col("w.start")).drop("w")
-    on = [F.col("window_start") == F.col("_w"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(sample)]]
-    return own.join(newest, on).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *keys, *others, "sample_ts")
+              .select(F.col("w").alias("_w"), *renamed, F.col("newest.s").alias(f"_k{len(keys)}"),
+                      F.col("newest.t").cast("timestamp_ntz").alias("sample_ts")))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(sample)]
+    if rows.isStreaming:
+        newest = newest.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = rows.select(window, *keys, *others, F.pmod(F.xxhash64(ts, *_plain(rows, others)), F.lit(SALTS)).cast("int").alias("_salt"))
+        own = own.join(newest, [F.col("w") == F.col("_w"), F.col("_salt") == F.col("_s"), *same])
+        own = own.withColumn("window_start", F.col("w.start"))
+    else:
+        own = rows.select(window, *keys, *others).withColumn("window_start", F.col("w.start")).drop("w")
+        own = own.join(newest.withColumn("_w", F.col("_w.start")), [F.col("window_start") == F.col("_w"), *same])
+    return own.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *keys, *others, "sample_ts")
 
 
 def _query_id(batch: DataFrame) -> str:

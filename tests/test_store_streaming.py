@@ -220,6 +220,49 @@ def test_a_crowded_interval_is_never_one_array(spark):
             assert "SortAggregate" not in plan and set(re.findall(r"collect_list\((.)", plan)) == {"n"}  # of null only
 
 
+def _samples(spark, per_interval):
+    """Rows of six intervals: the second holds `per_interval` of them, most in its newest sample; hosts and samples may be null."""
+    i = F.col("id")
+    crowd = spark.range(per_interval).select(
+        F.timestamp_seconds(F.lit(1704103230) + F.when(i % 5 > 0, 29).otherwise(i % 29)).alias("ts"),
+        F.when(i % 5 > 0, 7).otherwise(i % 4).cast("int").alias("sample_id"), F.lit(1).alias("host"), i.alias("row"))
+    rest = spark.range(600).select(
+        F.timestamp_seconds(F.lit(1704103200) + i % 180).alias("ts"), F.when(i % 11 > 0, i % 4).cast("int").alias("sample_id"),
+        F.when(i % 5 > 0, i % 2).cast("int").alias("host"), (i + 10_000_000).alias("row"))
+    return crowd.unionByName(rest)
+
+
+def _closed(spark, df, folder, batches=1):
+    """`df` as a stream of files, the last of them two rows that move the watermark past every interval but their own."""
+    for n in range(batches):
+        df.where(F.floor(F.unix_timestamp("ts") / 60) % batches == n).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    spark.createDataFrame([(1704110000, 1, 1, -1)], "s long, sample_id int, host int, row long").select(
+        F.timestamp_seconds("s").alias("ts"), "sample_id", "host", "row").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.mark.parametrize("keys,rows,batches", [((), 1_000_000, 1), (("host",), 3000, 3)])
+def test_whole_runs_in_a_stream_equal_the_batch(spark, scratch, keys, rows, batches):
+    """A million rows in one interval: the same rows as the batch, one state row per row, no interval in one row."""
+    df = _samples(spark, rows)
+    stream = _closed(spark, df, f"{scratch}/in{rows}", batches)
+    got = latest_per_interval(stream, "ts", "30 seconds", "10 minutes", "sample_id", keys)
+    assert "collect_list(value" not in got._jdf.queryExecution().toString()
+    kept = []
+    q = (got.writeStream.outputMode("append").option("checkpointLocation", f"{scratch}/ck{rows}").trigger(availableNow=True)
+         .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{scratch}/out{rows}/n={n}")).start())
+    q.awaitTermination(300)
+    for p in q.recentProgress:
+        kept.append([o["numRowsTotal"] for o in p["stateOperators"]])
+    whole = latest_per_interval(df, "ts", "30 seconds", sample_col="sample_id", keys=keys)
+    out = spark.read.parquet(f"{scratch}/out{rows}").select(whole.columns)
+    assert out.count() == whole.count() > rows // 2
+    assert out.exceptAll(whole).count() == 0 and whole.exceptAll(out).count() == 0
+    assert all(len(k) == 2 for k in kept) and rows <= max(max(k) for k in kept) <= rows + 601
+    assert max(kept[-1]) <= 1 + 1  # closed intervals leave the state
+
+
 def test_stream_equals_batch(spark, scratch):
     stream = latest_per_interval(_event_stream(spark).select("event_id", "value", "ts"), "ts", "30 seconds")
     q = (stream.writeStream.outputMode("complete").format("memory").queryName("every30")
