@@ -42,10 +42,15 @@ DRAWN = ("id", "group_id", "insertion_datetime")
 
 def split_valid(df: DataFrame, kind: str | Kind) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) by one predicate; both keep the input columns. All figure columns must be there."""
-    bad = F.coalesce(_checked(df, kind, DRAWN), F.lit(False))
+    bad = rejects(df, kind)
     return df.where(~bad), df.where(bad)
 
 
+def rejects(df: DataFrame, kind: str | Kind) -> Column:
+    """True for the rows of `df` that the table does not take, never null."""
+    return F.coalesce(_checked(df, kind, DRAWN), F.lit(False))
+
+
 def require_valid(df: DataFrame, kind: str | Kind) -> DataFrame:
     """Strict mode: the write fails on the first bad row (checked on executors)."""
     bad = _checked(df, kind, ())

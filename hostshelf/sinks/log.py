@@ -92,10 +92,19 @@ class EntryLog:
         return True
 
     def tidy(self, keep: int, min_age_seconds: float) -> None:
-        """Remove entries but the newest `keep`, and hidden files that writers have left."""
-        old = {self._entry(n) for n in self.numbers()[:-max(1, keep)]}
+        """Remove old entries, and hidden files that writers have left.
+
+        The newest `keep` stay, and so does every entry that was the newest one
+        within `min_age_seconds`: a reader may still be at work with it.
+        """
         limit = (time.time() - min_age_seconds) * 1000
-        for s in self._files():
-            name = s.getPath().getName()
-            if name in old or (name.endswith(".tmp") and s.getModificationTime() <= limit):
+        files = {s.getPath().getName(): s for s in self._files()}
+        numbers = self.numbers()
+        followers = dict(zip(numbers, numbers[1:]))
+        for n in numbers[:-max(1, keep)]:
+            entry, after = files.get(self._entry(n)), files.get(self._entry(followers[n]))
+            if entry is not None and after is not None and after.getModificationTime() <= limit:
+                self._fs().delete(entry.getPath(), False)
+        for name, s in files.items():
+            if name.endswith(".tmp") and s.getModificationTime() <= limit:
                 self._fs().delete(s.getPath(), False)

@@ -2,7 +2,8 @@
 
 Layout under `root`::
 
-    data/run=<name>/[group_bucket=<b>/]part-*.parquet   rows of one commit
+    data/run=<name>/[group_bucket=<b>/]part-*.parquet   rows of one commit, or of several after a compaction
+    rejected/run=<name>/part-*.parquet                  rows that broke a constraint, as they came
     _log/commit=<n>.json                                the table's state after commit n
     _ids/draw=<n>.json                                  the id marks after draw n
 
@@ -21,6 +22,12 @@ Layout under `root`::
 * Entries are created whole and never overwritten (see :mod:`.log`).
 * Retention moves a cutoff; folders whose rows all lie below it leave the
   state at once, and `vacuum` deletes them.
+* `compact` rewrites small folders as one, sorted by id, and swaps them in one
+  commit. An append at the same time is kept; readers of an earlier entry go on,
+  since its folders stay until `vacuum` finds the entry old.
+* With `quarantine` the rows that break a constraint go to a side folder in the
+  same commit; the entry lists the folders of the newest `max_groups` such runs
+  with their rows, and the rows rejected in all.
 * A replayed batch is known by writer and batch id together. A batch id lower
   than the writer's last one is an error, never a silent skip.
 """
@@ -46,6 +53,8 @@ from .log import EntryLog
 
 BUCKET_COL = "group_bucket"
 DEFAULT_BUCKET_SIZE = 64
+DEFAULT_TARGET_ROWS = 1_000_000
+_BAD = "_breaks_constraint"
 _RETRIES = 100
 
 
@@ -80,6 +89,8 @@ class TableState:
     rows: int = 0
     writers: dict[str, int] = field(default_factory=dict)
     folders: tuple[Folder, ...] = ()
+    rejected: dict[str, int] = field(default_factory=dict)
+    rejected_rows: int = 0
 
     def seen(self, writer: str, batch_id: int) -> bool:
         last = self.writers.get(writer)
@@ -217,32 +228,40 @@ class LoggedTable:
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
 
     def vacuum(self, keep_versions: int = 2, min_age_seconds: float = 3600) -> int:
-        """Delete log entries but the newest `keep_versions`, and data folders that no kept entry names.
+        """Delete old log entries but the newest `keep_versions`, and folders that no kept entry names.
 
-        Folders younger than `min_age_seconds` stay: they may belong to a commit
-        under way. Returns the number of data folders deleted.
+        Entries that were the newest within `min_age_seconds` stay for their
+        readers, folders younger than that stay because they may belong to a
+        commit under way. Returns the number of data folders deleted.
         """
         self.log.tidy(keep_versions, min_age_seconds)
         self.draws.tidy(1, min_age_seconds)
-        live = {f["name"] for n in self.log.numbers() for f in (self.log.read(n) or {"folders": ()})["folders"]}
+        kept = [TableState.from_json(e) for e in map(self.log.read, self.log.numbers()) if e is not None]
         limit = (time.time() - min_age_seconds) * 1000
-        dead = [s.getPath().getName() for s in self._list("data")
-                if s.getPath().getName() not in live and s.getModificationTime() <= limit]
-        for name in dead:
-            self._delete("data", name)
-        return len(dead)
+        deleted = {}
+        for place, live in (("data", {f.name for st in kept for f in st.folders}), ("rejected", {r for st in kept for r in st.rejected})):
+            dead = [s.getPath().getName() for s in self._list(place)
+                    if s.getPath().getName() not in live and s.getModificationTime() <= limit]
+            for name in dead:
+                self._delete(place, name)
+            deleted[place] = len(dead)
+        return deleted["data"]
 
 
 class SnapshotTable(LoggedTable):
-    """One metric table (cpu, ram, net or file) with keep-newest-N retention."""
+    """One metric table (cpu, ram, net or file) with keep-newest-N retention.
 
-    def __init__(self, spark: SparkSession, root: str, kind: str | Kind,
-                 max_groups: int = DEFAULT_MAX_GROUPS, bucket_size: int = DEFAULT_BUCKET_SIZE):
+    With `max_folders` an append that leaves more folders than that is followed by a compaction.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, kind: str | Kind, max_groups: int = DEFAULT_MAX_GROUPS,
+                 bucket_size: int = DEFAULT_BUCKET_SIZE, max_folders: int | None = None):
         super().__init__(spark, root)
         self.kind = kind_of(kind)
         self.schema = self.kind.schema
         self.max_groups = max_groups
         self.bucket_size = bucket_size
+        self.max_folders = max_folders
 
     def _rows(self, blocks: list[tuple[Block, Folder]]) -> DataFrame:
         """Rows of the folders that hold `blocks`, from the least of their groups on."""
@@ -287,7 +306,8 @@ class SnapshotTable(LoggedTable):
         return df.orderBy(F.desc("id")) if ordered else df
 
     def append_run(self, rows: DataFrame, batch_id: int, *, writer: str = "", sample_key: list[str] | None = None,
-                   order: list[str] | None = None, insert_time=None, skip_empty: bool = False) -> bool:
+                   order: list[str] | None = None, insert_time=None, skip_empty: bool = False,
+                   quarantine: bool = False) -> bool:
         """Append one collection run (or many runs keyed by `sample_key`).
 
         `rows` holds the insert columns (no `id`, `group_id`). With no
@@ -296,16 +316,28 @@ class SnapshotTable(LoggedTable):
         commit it with the cutoff that keeps `max_groups` groups. A replayed batch
         of the same writer, or an empty one with `skip_empty`, returns False and
         writes nothing.
+
+        A row that breaks a constraint fails the run. With `quarantine` it goes
+        to a side folder instead (see `rejected`), draws no id, and a sample all
+        of whose rows are bad draws no group; without an `order` the rows of the
+        run are then numbered in the order of their figures. A run of bad rows
+        only counts as an empty run that has something to keep.
         """
         if self.state().seen(writer, batch_id):
             return False
-        n = ids.numbered(rows, list(sample_key or []), list(order or []))
+        if quarantine:
+            n, bad, n_bad = self._divided(rows, list(sample_key or []), list(order or []))
+        else:
+            n, bad, n_bad = ids.numbered(rows, list(sample_key or []), list(order or [])), None, 0
         try:
-            if skip_empty and not n.n_rows:
+            if skip_empty and not n.n_rows and not n_bad:
                 return False
-            new = n.n_keys if sample_key else 1
+            new = n.n_keys if sample_key else int(n.n_rows > 0 or not n_bad)
             draw = self._draw(new, n.n_rows, f"{writer}:{batch_id}", None if insert_time is None else str(insert_time))
             folder = self._write(n, draw, bool(sample_key)) if n.n_rows else None
+            aside = _new_folder() if n_bad else None
+            if aside:
+                bad.withColumn("insertion_datetime", append.insert_time(draw.inserted_at)).write.parquet(f"{self.root}/rejected/{aside}")
         finally:
             n.discard()
 
@@ -317,7 +349,8 @@ class SnapshotTable(LoggedTable):
             cutoff = st.cutoff if len(newest) < self.max_groups else max(newest[-1], st.cutoff or newest[-1])
             return replace(st, group_mark=max(st.group_mark, own.stop - 1), id_mark=max(st.id_mark, draw.id_mark + n.n_rows),
                            rows=n.n_rows, cutoff=cutoff, writers={**st.writers, writer: batch_id},
-                           folders=(*st.folders, *([folder] if folder else [])))
+                           folders=(*st.folders, *([folder] if folder else [])), rejected_rows=st.rejected_rows + n_bad,
+                           rejected=dict([*st.rejected.items(), *([(aside, n_bad)] if aside else [])][-self.max_groups:]))
 
         done = False
         try:
@@ -325,8 +358,80 @@ class SnapshotTable(LoggedTable):
         finally:
             if folder and not done:
                 self._delete("data", folder.name)
+            if aside and not done:
+                self._delete("rejected", aside)
+        if done and self.max_folders is not None and len(self.state().folders) > self.max_folders:
+            self.compact()
         return done
 
+    def _divided(self, rows: DataFrame, sample_key: list[str], order: list[str]) -> tuple[ids.Numbered, DataFrame, int]:
+        """(the valid rows numbered, the rejected rows, their number) from one staging.
+
+        The verdict is the first key, so the valid rows come first and their
+        numbers have no gaps. Rejected rows are counted over the staged verdict:
+        an observed metric would also count the rows that range partitioning samples.
+        """
+        flagged = rows.withColumn(_BAD, validate.rejects(rows, self.kind))
+        n = ids.numbered(flagged, [_BAD, *sample_key], order or [c for c in self.kind.columns if c in rows.columns])
+        bad = n.rows.where(F.col(_BAD))
+        n_bad, bad_keys = bad.agg(F.count("*"), F.count_distinct("key_no")).first()
+        valid = ids.Numbered(n.rows.where(~F.col(_BAD)).drop(_BAD), n.n_rows - n_bad, n.n_keys - bad_keys, n.path)
+        return valid, bad.drop(_BAD, "row_no", "key_no"), n_bad
+
+    def rejected(self, state: TableState | None = None) -> DataFrame:
+        """The quarantined rows that the log lists, with the columns they came with, `insertion_datetime` and `run`."""
+        st = state or self.state()
+        if not st.rejected:
+            kept = [f for f in self.kind.schema.fields if f.name not in validate.DRAWN]
+            return self.spark.createDataFrame([], T.StructType([*kept, T.StructField("insertion_datetime", T.TimestampNTZType()),
+                                                               T.StructField("run", T.StringType())]))
+        paths = [f"{self.root}/rejected/{name}" for name in sorted(st.rejected)]
+        return self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/rejected").parquet(*paths)
+
+    def compact(self, target_rows: int = DEFAULT_TARGET_ROWS) -> int:
+        """Rewrite the folders with fewer than `target_rows` visible rows as one, sorted by id; returns how many they were.
+
+        Files hold about `target_rows` rows of consecutive ids. The commit takes
+        the newest state and swaps the folders there: what an append has added
+        meanwhile stays, what retention has hidden meanwhile stays hidden. If
+        another compaction was first, this one leaves nothing behind and returns 0.
+        """
+        blocks: dict[str, list[Block]] = {}
+        for b, f in (visible := self.state().visible()):
+            blocks.setdefault(f.name, []).append(b)
+        small = {name for name, bs in blocks.items() if sum(b.rows for b in bs) < target_rows}
+        if len(small) < 2:
+            return 0
+        chosen = [(b, f) for b, f in visible if f.name in small]
+        files = -(-sum(b.rows for b, _ in chosen) // target_rows)
+        rows = self._rows(chosen).repartitionByRange(files, "id").sortWithinPartitions("id")
+        name = _new_folder()
+        (rows.withColumn(BUCKET_COL, F.floor(F.col("group_id") / F.lit(self.bucket_size)).cast("int"))
+         .write.partitionBy(BUCKET_COL).parquet(f"{self.root}/data/{name}"))
+        merged = Folder(name, tuple(sorted((b for b, _ in chosen), key=lambda b: b.first_id)),
+                        inserted_at=max((f.inserted_at for _, f in chosen if f.inserted_at), default=None))
+
+        def change(st: TableState) -> TableState | None:
+            there = {f.name for f in st.folders}
+            gone = {f.name for f in self._hidden(st, chosen)}
+            if (small - there) - gone:
+                return None
+            return replace(st, folders=(*(f for f in st.folders if f.name not in small), merged))
+
+        done = False
+        try:
+            done = self._committed(change)
+        finally:
+            if not done:
+                self._delete("data", name)
+        return len(small) if done else 0
+
+    @staticmethod
+    def _hidden(st: TableState, chosen: list[tuple[Block, Folder]]) -> list[Folder]:
+        """The folders of which `st` shows nothing any more."""
+        shown = {f.name for b, f in chosen if st.cutoff is None or b.group >= st.cutoff}
+        return [f for _, f in chosen if f.name not in shown]
+
     def _write(self, n: ids.Numbered, draw: Draw, keyed: bool) -> Folder:
         """The run's folder: its rows, but for groups of a bulk run beyond the `max_groups` newest."""
         least = max(0, n.n_keys - self.max_groups) if keyed else 0

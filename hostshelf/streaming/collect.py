@@ -122,12 +122,15 @@ def _query_id(batch: DataFrame) -> str:
 
 def snapshot_writer(table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
                     sample_key: list[str] | None = None, order: list[str] | None = None,
-                    insert_time=None) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` body: append the batch's runs; empty and replayed batches add nothing."""
+                    insert_time=None, quarantine: bool = False) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` body: append the batch's runs; empty and replayed batches add nothing.
+
+    With `quarantine` bad rows are kept aside instead of failing the query.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         table.append_run(to_rows(batch), batch_id, writer=_query_id(batch), sample_key=sample_key, order=order,
-                         insert_time=insert_time, skip_empty=True)
+                         insert_time=insert_time, skip_empty=True, quarantine=quarantine)
 
     return write
 
@@ -135,14 +138,15 @@ def snapshot_writer(table: SnapshotTable, to_rows: Callable[[DataFrame], DataFra
 def start_collector(stream: DataFrame, table: SnapshotTable, to_rows: Callable[[DataFrame], DataFrame],
                     checkpoint: str, *, sample_key: list[str] | None = None,
                     order: list[str] | None = None, available_now: bool = False,
-                    interval_seconds: int = DEFAULT_INTERVAL_SECONDS, insert_time=None) -> StreamingQuery:
+                    interval_seconds: int = DEFAULT_INTERVAL_SECONDS, insert_time=None,
+                    quarantine: bool = False) -> StreamingQuery:
     """Start one metric pipeline (own checkpoint); backfill with `available_now`.
 
     Always in append mode: other modes send an interval again, which would
     become a new group each time.
     """
     w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    w = w.foreachBatch(snapshot_writer(table, to_rows, sample_key, order, insert_time))
+    w = w.foreachBatch(snapshot_writer(table, to_rows, sample_key, order, insert_time, quarantine))
     w = w.trigger(availableNow=True) if available_now else w.trigger(
         processingTime=f"{interval_seconds} seconds")
     return w.start()

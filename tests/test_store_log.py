@@ -178,3 +178,107 @@ def test_stored_keys_are_asked_in_the_table(spark, scratch):
     assert sorted(r[0] for r in table.valid(asked, "2024-01-01 00:59:59").collect()) == ["a", "a", "b", "c"]
     assert sorted(r[0] for r in table.valid(asked, "2024-01-01 01:00:00").collect()) == ["c"]
     assert [r[0] for r in table.unseen(asked).collect()] == ["d"]
+
+
+# ------------------------------------------------------------------ compaction
+def test_compaction_changes_no_row_and_bounds_the_files(spark, scratch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=9, bucket_size=4)
+    for b in range(12):
+        assert table.append_run(_rows(spark, b % 4 + 1, used=b), b, insert_time="2024-01-01")
+    before, old = sorted(map(tuple, table.read().collect())), table.state()
+    page = [tuple(r) for r in table.page(5, 2).collect()]
+    reader = table.read(old)  # planned before, run after
+    assert table.compact() == 9 and table.compact() == 0
+    st = table.state()
+    assert len(st.folders) == 1 and st.groups() == old.groups() and st.cutoff == old.cutoff and st.writers == old.writers
+    assert sorted(map(tuple, table.read().collect())) == before and len(table.read().inputFiles()) == 3  # one file a bucket
+    assert [tuple(r) for r in table.page(5, 2).collect()] == page
+    assert table.vacuum(keep_versions=1) == 0  # entries and folders are young
+    assert sorted(map(tuple, reader.collect())) == before
+    assert table.append_run(_rows(spark, 3), 12) and table.state().groups() == list(range(13, 4, -1))
+    assert table.read().where("group_id < 13").count() == sum(b % 4 + 1 for b in range(4, 12))
+    assert table.vacuum(keep_versions=1, min_age_seconds=0) == 12 and table.read().count() == sum(b % 4 + 1 for b in range(4, 12)) + 3
+    ids = [r.id for f in sorted(table.read().inputFiles()) for r in spark.read.parquet(f).collect()]
+    assert len(ids) == len(set(ids))
+
+
+def test_folders_of_many_rows_stay_and_files_are_cut(spark, scratch):
+    table = open_table(spark, f"{scratch}/ram", "ram")
+    for b, n in enumerate((50, 3, 4, 5)):
+        assert table.append_run(_rows(spark, n), b)
+    assert table.compact(target_rows=5) == 2 and len(table.state().folders) == 3  # of 3 and of 4 rows
+    assert table.compact(target_rows=30) == 2 and table.read().count() == 62
+    assert len(table.read().inputFiles()) == len(table.read(table.state()).inputFiles()) and table.state().groups() == [4, 3, 2, 1]
+    assert open_table(spark, f"{scratch}/none", "ram").compact() == 0
+
+
+def test_compaction_beside_appends_and_another_compaction(spark, scratch, monkeypatch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=4)
+    for b in range(4):
+        assert table.append_run(_rows(spark, 2, used=b), b)
+    real, once = SnapshotTable._committed, []
+
+    def late(self, change):
+        if not once:
+            once.append(1)
+            monkeypatch.setattr(SnapshotTable, "_committed", real)
+            for b in (4, 5):  # two groups more, so two of the folders under way are pruned
+                assert SnapshotTable(spark, f"{scratch}/ram", "ram", max_groups=4).append_run(_rows(spark, 2, used=b), b)
+        return real(self, change)
+
+    monkeypatch.setattr(SnapshotTable, "_committed", late)
+    assert table.compact() == 4
+    assert sorted((r.group_id, r.used) for r in table.read().collect()) == [(g, g - 1) for g in range(3, 7) for _ in range(2)]
+    assert [r.group_id for r in table.page(3).collect()] == [6, 6, 5]
+    once.clear()
+
+    def second(self, change):
+        if not once:
+            once.append(1)
+            monkeypatch.setattr(SnapshotTable, "_committed", real)
+            assert SnapshotTable(spark, f"{scratch}/ram", "ram", max_groups=4).compact() == 3
+        return real(self, change)
+
+    monkeypatch.setattr(SnapshotTable, "_committed", second)
+    assert table.compact() == 0 and table.read().count() == 8 and len(table.state().folders) == 1
+    assert table.vacuum(keep_versions=1, min_age_seconds=0) > 0 and len(table._list("data")) == 1 and table.read().count() == 8
+
+
+def test_appends_compact_beyond_a_number_of_folders(spark, scratch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_folders=3)
+    for b in range(8):
+        assert table.append_run(_rows(spark, 1, used=b), b)
+        assert len(table.state().folders) <= 3
+    assert [r.used for r in table.page().collect()] == list(range(7, -1, -1))
+
+
+# ------------------------------------------------------------------ quarantine
+def test_bad_rows_go_aside_in_the_same_commit(spark, scratch, monkeypatch):
+    table = open_table(spark, f"{scratch}/ram", "ram", max_groups=3)
+    mixed = spark.createDataFrame([(16000, s if s != 2 else None, 1, 5, 7, s) for s in (1, 2, 3) for _ in range(2)],
+                                  "total long, used long, free long, commited long, cached long, s int")
+    assert table.rejected().count() == 0
+    with pytest.raises(Exception, match="constraint violated"):  # its draw of three groups is a gap
+        table.append_run(mixed, 0, sample_key=["s"])
+    assert table.append_run(mixed, 0, sample_key=["s"], quarantine=True)
+    st = table.state()
+    good = sorted((r.group_id, r.used, r.id) for r in table.read().collect())
+    assert [g[:2] for g in good] == [(4, 1), (4, 1), (5, 3), (5, 3)] and [g[2] for g in good] == list(range(st.id_mark - 3, st.id_mark + 1))
+    aside = table.rejected().collect()
+    assert [(r.used, r.s) for r in aside] == [(None, 2)] * 2 and st.rejected_rows == sum(st.rejected.values()) == 2
+    assert {r.insertion_datetime for r in aside} == {r.insertion_datetime for r in table.read().collect()}
+    assert not table.append_run(mixed, 0, sample_key=["s"], quarantine=True) and table.state().rejected_rows == 2  # a replay
+    bad = _rows(spark, 2).withColumn("free", F.lit(None).cast("long"))
+    assert table.append_run(bad, 1, quarantine=True, skip_empty=True)  # bad rows only: no group, but kept
+    assert table.state().groups() == st.groups() and table.state().rejected_rows == 4
+    assert table.append_run(_rows(spark, 2), 2, quarantine=True) and len(table.state().rejected) == 2
+    assert not table.append_run(_rows(spark, 0), 3, quarantine=True, skip_empty=True)
+    for b in (4, 5):
+        assert table.append_run(bad, b, quarantine=True)
+    assert len(table.state().rejected) == 3 and table.rejected().count() == 6 and table.state().rejected_rows == 8
+    table.vacuum(keep_versions=1, min_age_seconds=0)
+    assert len(table._list("rejected")) == 3 and table.rejected().count() == 6
+    monkeypatch.setattr(SnapshotTable, "_commit", lambda self, st: (_ for _ in ()).throw(OSError("store away")))
+    with pytest.raises(OSError):
+        table.append_run(bad, 6, quarantine=True)
+    assert len(table._list("rejected")) == 3  # what a failed run set aside is gone
