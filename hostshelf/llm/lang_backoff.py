@@ -8,14 +8,17 @@ of it that are known. The language with the highest total wins; `score` is its
 share after a softmax.
 
 The counts cover all training rows (combined per batch, then summed by Spark).
-What reaches the tasks is bounded: the `max_words` most frequent words and the
-`max_grams` most frequent n-grams per order, whatever the corpus size; a word
-beyond the bound is scored by its n-grams.
+The model keeps the `max_words` most frequent words and the `max_grams` most
+frequent n-grams per order of *every language*, among equals those first in
+order, so a rare language keeps its units beside large ones; units that no
+language has `min_count` times are left out. A kept unit has its counts of all
+languages. A word beyond the bound is scored by its n-grams. The model is sparse
+(unit, language, count): it grows with the languages, not with the corpus.
 
 Defined results: null text or text without a letter is `und` with score 0;
 rows with null language or null text teach nothing; ties go to the language
 first in order; without training rows every text is `und`; a null id is not
-held out.
+held out; any number of `lang` values is fine.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostshelf.llm.common import staged
-from hostshelf.operators.ranking import kth_largest
 
 ORDERS = (4, 3, 2, 1)
-MAX_WORDS, MAX_GRAMS, MIN_COUNT = 60_000, 20_000, 3
+#: Per language: words, n-grams of each order, and the least count of a unit.
+MAX_WORDS, MAX_GRAMS, MIN_COUNT = 30_000, 10_000, 3
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -50,8 +53,8 @@ def _ranges(categories: str) -> str:
 
 #: Words begin with a letter; marks stay with the letters they belong to, numeric signs are none.
 _LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
-#: Entries of a worker's memory of unseen words (a cache, never a limit on results).
-_CACHE = 300_000
+#: Figures in a worker's table of word scores (a cache, never a limit on results): 32 MB.
+_CACHE = 4_000_000
 
 
 #: The same where no character is a mark or a numeric sign; much faster.
@@ -112,76 +115,109 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of the kept units: a row per unit (words, then the n-grams of each order), a column per language."""
+    """Log frequencies of the kept units.
 
-    def __init__(self, langs: list[str], index: dict[int, dict[str, int]], logs: np.ndarray):
-        self.langs, self.index, self.logs, self.seen = langs, index, logs, {}
+    `index` gives a unit's number per order, `floor` the log frequency per order
+    and language of a unit never seen there, and the entries ``starts[i]`` to
+    ``starts[i + 1]`` of `langs_at` and `gains` what unit i has above it. A worker
+    spreads the words that it meets into rows of one dense table.
+    """
 
-    def rows(self, word: str) -> tuple[int, ...]:
-        """The word's own row, else the rows of its longest known n-grams; empty if nothing of it is known."""
+    def __init__(self, langs: list[str], index: dict[int, dict[str, int]], floor: dict[int, np.ndarray],
+                 starts: np.ndarray, langs_at: np.ndarray, gains: np.ndarray):
+        self.langs, self.index, self.floor = langs, index, floor
+        self.starts, self.langs_at, self.gains = starts, langs_at, gains
+        self.seen, self.table = {}, np.zeros((0, len(langs)))
+        self.room = max(1, _CACHE // max(1, len(langs)))
+
+    def logs(self, order: int, unit: int) -> np.ndarray:
+        row = self.floor[order].copy()
+        own = slice(self.starts[unit], self.starts[unit + 1])
+        row[self.langs_at[own]] += self.gains[own]
+        return row
+
+    def scores(self, word: str) -> np.ndarray:
+        """The word's own row, else the mean of its longest known n-grams; zeros if nothing of it is known."""
         at = self.index[0].get(word)
-        found = (at,) if at is not None else self._backoff(word)
-        if len(self.seen) >= _CACHE:
-            self.seen.clear()
-        self.seen[word] = found
-        return found
-
-    def _backoff(self, word: str) -> tuple[int, ...]:
+        if at is not None:
+            return self.logs(0, at)
         for order in ORDERS:
             known = self.index[order]
-            if at := [known[g] for g in grams_of(word, order) if g in known]:
-                return tuple(at)
-        return ()
+            if rows := [self.logs(order, known[g]) for g in grams_of(word, order) if g in known]:
+                return sum(rows) / len(rows)
+        return np.zeros(len(self.langs))
+
+    def _learn(self, word: str) -> int:
+        at = len(self.seen)
+        if at >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((min(self.room - at, max(1024, at)), len(self.langs)))])
+        self.table[at] = self.scores(word)
+        self.seen[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share): every word counts once per place, an unseen one by the mean of its n-grams."""
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        at, weight, known, learn_rows = [], [], self.seen.get, self.rows
+        at, weight, total = [], [], np.zeros(len(self.langs))
         for word, n in Counter(words).items():
-            rows = known(word)
-            if rows is None:
-                rows = learn_rows(word)
-            if len(rows) == 1:
-                at.append(rows[0])
-                weight.append(n)
-            elif rows:
-                at.extend(rows)
-                weight.extend([n / len(rows)] * len(rows))
-        total = np.array(weight, float) @ self.logs[at] if at else np.zeros(len(self.langs))
+            row = self.seen.get(word)
+            if row is None:
+                if len(self.seen) >= self.room:
+                    total += np.array(weight, float) @ self.table[at] if at else 0.0
+                    at, weight, self.seen = [], [], {}
+                row = self._learn(word)
+            at.append(row)
+            weight.append(n)
+        total += np.array(weight, float) @ self.table[at]
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
 
-def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Count, keep the most frequent units, and take logarithms.
+def kept_units(counts: DataFrame, max_words: int, max_grams: int, min_count: int) -> DataFrame:
+    """(ord, unit): the most frequent of every language and order, equals by unit.
+
+    Ranked in parts by the unit's hash first, so the task that ranks a language
+    has at most the bound times the shuffle partitions.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = F.when(F.col("ord") == 0, max_words).otherwise(max_grams)
+    ranked = counts.where(F.col("n") >= min_count).withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)))
+    for keys in (("lang", "ord", "part"), ("lang", "ord")):
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "unit")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound).drop("rank")
+    return ranked.select("ord", "unit").distinct()
+
+
+def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT) -> Model:
+    """Count, keep the most frequent units of every language, and take logarithms.
 
-    A unit is kept if its count is over that of the first one beyond the bound,
-    so at most `max_words` words and `max_grams` n-grams per order come to the driver.
+    What comes to the driver are the kept units with their counts, at most
+    ``max_words + 4 * max_grams`` units for each language.
     """
     counts = staged(counted(docs), "counts")
     totals = {(r["ord"], r["lang"]): r["n"] for r in counts.groupBy("ord", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
-    per_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    units = staged(counts.groupBy("ord", "unit").agg(F.sum("n").alias("all"), *per_lang).where(F.col("all") >= MIN_COUNT), "units")
-    index, logs, size = {}, [], 0
-    for order in (0, *ORDERS):
-        of = units.where(F.col("ord") == order)
-        beyond = kth_largest(of, "all", (max_grams if order else max_words) + 1, distinct=False)
-        rows = (of if beyond is None else of.where(F.col("all") > beyond)).drop("ord", "all").toPandas().sort_values("unit")
-        index[order] = {u: size + i for i, u in enumerate(rows["unit"])}
-        size += len(rows)
-        n = np.array([[totals.get((order, x), 0) for x in langs]], float)
-        hits = rows.drop(columns="unit").to_numpy(float).reshape(len(rows), len(langs))
-        logs.append(np.log((hits + SMOOTHING) / (n + SMOOTHING * max(1, len(rows)))))
-    return Model(langs, index, np.concatenate(logs))
+    number = {x: i for i, x in enumerate(langs)}
+    rows = (counts.join(kept_units(counts, max_words, max_grams, min_count), ["ord", "unit"]).select("ord", "unit", "lang", "n")
+            .toPandas().sort_values(["ord", "unit", "lang"], ignore_index=True))
+    first = ~rows.duplicated(["ord", "unit"]).to_numpy(bool)
+    units = rows[first]
+    index = {o: {} for o in (0, *ORDERS)}
+    for i, (o, unit) in enumerate(zip(units["ord"].tolist(), units["unit"].tolist())):
+        index[o][unit] = i
+    spread = {o: np.array([totals.get((o, x), 0) for x in langs], float) + SMOOTHING * max(1, len(index[o])) for o in index}
+    floor = {o: np.log(SMOOTHING / spread[o]) for o in index}
+    gains = np.log((rows["n"].to_numpy(float) + SMOOTHING) / SMOOTHING)
+    langs_at = np.array([number[x] for x in rows["lang"]], np.int32)
+    return Model(langs, index, floor, np.append(np.flatnonzero(first), len(rows)), langs_at, gains)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score. Only `text` decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded per language by max_words and max_grams
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

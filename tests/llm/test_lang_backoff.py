@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import pytest
@@ -44,10 +46,72 @@ def test_bounded_model_still_scores(frame):
     rows = [(i, "one two three four" if i % 2 else "eins zwei drei vier", "en" if i % 2 else "de", "s") for i in range(40)]
     rows += [(100 + i, "often often rest", "en", "s") for i in range(40)]
     model = lang.learn(frame(rows), max_words=2, max_grams=30)
-    assert 1 <= len(model.index[0]) <= 2 and len(model.index[4]) <= 30 and len(model.logs) == sum(map(len, model.index.values()))
+    assert set(model.index[0]) == {"often", "rest", "drei", "eins"}  # two of each language, equals by their order
+    assert len(model.index[4]) <= 60 and len(model.starts) == 1 + sum(map(len, model.index.values()))
     assert model.predict("often")[0] == "en" and model.predict("oft")[0] == "en"
 
 
+def _plainly(rows, max_words, max_grams, min_count):
+    """The kept units and their logarithms, counted without Spark."""
+    n, totals = {}, {}
+    for i, text, label, *_ in rows:
+        if label is None or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        for w in lang.words_of(text):
+            for unit in [(0, w)] + [(o, g) for o in lang.ORDERS for g in lang.grams_of(w, o)]:
+                n[label, unit] = n.get((label, unit), 0) + 1
+                totals[label, unit[0]] = totals.get((label, unit[0]), 0) + 1
+    langs, kept = sorted({x for x, _ in n}), set()
+    for x in langs:
+        for o in (0, *lang.ORDERS):
+            ranked = sorted((-c, u) for (y, u), c in n.items() if y == x and u[0] == o and c >= min_count)
+            kept |= {u for _, u in ranked[:max_grams if o else max_words]}
+    size = {o: max(1, sum(u[0] == o for u in kept)) for o in (0, *lang.ORDERS)}
+    return langs, {u: [math.log((n.get((x, u), 0) + 0.5) / (totals.get((x, u[0]), 0) + 0.5 * size[u[0]])) for x in langs] for u in kept}
+
+
+def test_model_and_prediction_equal_a_plain_count(frame):
+    rng = random.Random(5)
+    vocab = {x: ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(60)]
+             for x, letters in (("aa", "abcdef"), ("bb", "cdefgh"), ("cc", "xyzabc"))}
+    rows = [(i, " ".join(rng.choices(vocab[x], k=rng.randint(1, 30))), x, "s") for i, x in enumerate(rng.choices(list(vocab), k=120))]
+    model = lang.learn(frame(rows), max_words=20, max_grams=15, min_count=2)
+    langs, logs = _plainly(rows, 20, 15, 2)
+    assert model.langs == langs and {(o, u) for o, units in model.index.items() for u in units} == set(logs)
+    for (o, u), want in logs.items():
+        assert model.logs(o, model.index[o][u]).tolist() == pytest.approx(want)
+    small = lang.learn(frame(rows), max_words=20, max_grams=15, min_count=2)
+    small.room = 3  # the worker's table is emptied within a text
+    for _, text, *_ in rows:
+        total = [0.0] * len(langs)
+        for w in lang.words_of(text):
+            found = [logs[0, w]] if (0, w) in logs else next(
+                (g for o in lang.ORDERS if (g := [logs[o, x] for x in lang.grams_of(w, o) if (o, x) in logs])), [])
+            total = [a + sum(f[i] for f in found) / max(1, len(found)) for i, a in enumerate(total)]
+        share = [math.exp(a - max(total)) for a in total]
+        for m in (model, small):
+            best, score = m.predict(text)
+            assert share[langs.index(best)] == pytest.approx(1.0) and score == pytest.approx(1 / sum(share))
+
+
+def test_a_rare_language_keeps_its_words(frame):
+    rng = random.Random(7)
+    words = {x: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)] for x in ("big", "rare")}
+    rows = [(i, " ".join(rng.choices(words["rare" if i % 1000 == 1 else "big"], k=60)), "rare" if i % 1000 == 1 else "big", "s")
+            for i in range(12_000)]
+    model = lang.learn(frame(rows), max_words=300, max_grams=200, min_count=1)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    fresh = [" ".join(rng.choices(words["rare"], k=60)) for _ in range(50)]
+    assert [model.predict(t)[0] for t in fresh].count("rare") >= 49
+    assert sum(model.predict(t)[0] == x for _, t, x, _ in held) >= 0.99 * len(held)
+
+
+def test_very_many_languages(frame):
+    rows = [(i, f"word{chr(97 + i % 26)} " + "".join(chr(97 + int(d)) for d in str(i)) * 3, f"l{i:04d}", "s") for i in range(1500)]
+    got = lang.report(frame(rows), min_count=1).collect()
+    assert len(got) == 1500 and all(0 < r.score <= 1 for r in got)
+
+
 def test_no_training_rows(frame):
     got = lang.report(frame([(1, "words here", None, None)])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
