@@ -53,8 +53,8 @@ def _ranges(categories: str) -> str:
 
 #: Words begin with a letter; marks stay with the letters they belong to, numeric signs are none.
 _LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
-#: Figures in a worker's table of word scores (a cache, never a limit on results): 32 MB.
-_CACHE = 4_000_000
+#: Figures in a worker's table of unit scores and words that it remembers (caches, never limits on results).
+_CACHE, _CACHED_WORDS = 4_000_000, 300_000
 
 
 #: The same where no character is a mark or a numeric sign; much faster.
@@ -127,8 +127,8 @@ class Model:
                  starts: np.ndarray, langs_at: np.ndarray, gains: np.ndarray):
         self.langs, self.index, self.floor = langs, index, floor
         self.starts, self.langs_at, self.gains = starts, langs_at, gains
-        self.seen, self.table = {}, np.zeros((0, len(langs)))
         self.room = max(1, _CACHE // max(1, len(langs)))
+        self.seen, self.place, self.table = {}, {}, np.zeros((0, len(langs)))
 
     def logs(self, order: int, unit: int) -> np.ndarray:
         row = self.floor[order].copy()
@@ -136,23 +136,24 @@ class Model:
         row[self.langs_at[own]] += self.gains[own]
         return row
 
-    def scores(self, word: str) -> np.ndarray:
-        """The word's own row, else the mean of its longest known n-grams; zeros if nothing of it is known."""
+    def _units(self, word: str) -> tuple[int, list[int]]:
+        """The word itself, else its longest known n-grams; none if nothing of it is known."""
         at = self.index[0].get(word)
         if at is not None:
-            return self.logs(0, at)
+            return 0, [at]
         for order in ORDERS:
             known = self.index[order]
-            if rows := [self.logs(order, known[g]) for g in grams_of(word, order) if g in known]:
-                return sum(rows) / len(rows)
-        return np.zeros(len(self.langs))
-
-    def _learn(self, word: str) -> int:
-        at = len(self.seen)
-        if at >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((min(self.room - at, max(1024, at)), len(self.langs)))])
-        self.table[at] = self.scores(word)
-        self.seen[word] = at
+            if units := [known[g] for g in grams_of(word, order) if g in known]:
+                return order, units
+        return 0, []
+
+    def _row(self, order: int, unit: int) -> int:
+        at = self.place.get(unit)
+        if at is None:
+            at = self.place[unit] = len(self.place)
+            if at >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((min(self.room - at, max(1024, at)), len(self.langs)))])
+            self.table[at] = self.logs(order, unit)
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -162,19 +163,30 @@ class Model:
             return UNDETERMINED, 0.0
         at, weight, total = [], [], np.zeros(len(self.langs))
         for word, n in Counter(words).items():
-            row = self.seen.get(word)
-            if row is None:
-                if len(self.seen) >= self.room:
-                    total += np.array(weight, float) @ self.table[at] if at else 0.0
-                    at, weight, self.seen = [], [], {}
-                row = self._learn(word)
-            at.append(row)
-            weight.append(n)
-        total += np.array(weight, float) @ self.table[at]
+            rows = self.seen.get(word)
+            if rows is None:
+                order, units = self._units(word)
+                if len(units) > self.room:  # more than the table holds
+                    total += sum(self.logs(order, u) for u in units) * (n / len(units))
+                    continue
+                if len(self.place) + len(units) > self.room or len(self.seen) >= _CACHED_WORDS:
+                    total += self._sum(at, weight)
+                    at, weight, self.seen, self.place = [], [], {}, {}
+                rows = self.seen[word] = [self._row(order, u) for u in units]
+            if len(rows) == 1:
+                at.append(rows[0])
+                weight.append(n)
+            elif rows:
+                at += rows
+                weight += [n / len(rows)] * len(rows)
+        total += self._sum(at, weight)
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
+    def _sum(self, at: list[int], weight: list[float]) -> np.ndarray:
+        return np.array(weight, float) @ self.table[np.array(at, np.intp)]
+
 
 def kept_units(counts: DataFrame, max_words: int, max_grams: int, min_count: int) -> DataFrame:
     """(ord, unit): the most frequent of every language and order, equals by unit.
