@@ -319,8 +319,32 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
     return whole.union(few).union(crowded(block_texts(reps.where(many), rows, kind), kind, first_only))
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (ord, text_key, s, n) of a batch that touch or overlap, as one."""
+    for b in batches:
+        ord_, key, s, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "text_key", "s", "n"))
+        order = np.lexsort((s, key, ord_))
+        ord_, key, s, e = ord_[order], key[order], s[order].astype(np.int64), (s + n)[order].astype(np.int64)
+        new = np.ones(len(s), bool)
+        new[1:] = (ord_[1:] != ord_[:-1]) | (key[1:] != key[:-1])
+        doc = np.cumsum(new)
+        far = np.maximum.accumulate(e + (doc << 32)) - (doc << 32)  # the largest end so far within the document
+        new[1:] |= s[1:] > far[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1
+        if len(first):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ord_[first]), pa.array(key[first]), pa.array(s[first].astype(np.int32)),
+                 pa.array((far[last] - s[first]).astype(np.int32))], names=["ord", "text_key", "s", "n"])
+
+
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """`rows` plus `spans`, an array of (s, n), null where there is none."""
+    """`rows` plus `spans`, an array of (s, n), null where there is none.
+
+    Spans that touch are merged batch by batch before they meet: a long run of one
+    letter has a span per byte, and these lie together since their grams are equal.
+    """
+    found = found.select("ord", "text_key", "s", "n").mapInArrow(merged, "ord long, text_key long, s int, n int")
     by_doc = found.groupBy("ord", "text_key").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     return rows.join(by_doc, ["ord", "text_key"], "left")
 

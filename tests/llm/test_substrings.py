@@ -170,3 +170,22 @@ def test_texts_of_zero_bytes_equal_brute_force(frame, seed):
     parts = ["".join(rnd.choices("\0\0ab", k=rnd.randint(60, 240))) for _ in range(6)]
     rows = [(i, "".join(rnd.choice(parts)[rnd.randint(0, 40):] for _ in range(rnd.randint(1, 4))) + "\0" * rnd.randint(0, 3)) for i in range(25)]
     assert rows_of(repeat_tree.report(frame(rows))) == brute_bytes(rows, 100)
+
+
+def test_spans_are_merged_within_documents():
+    rng = random.Random(3)
+    found = [(rng.choice([1, 2, -(1 << 63)]), rng.choice([-5, 9]), rng.randint(0, 200), rng.randint(1, 9)) for _ in range(150)]
+    out = [tuple(r.values()) for b in anchors.merged([anchors.span_batch(found)]) for r in b.to_pylist()]
+    cells = lambda spans: {(o, k, i) for o, k, s, n in spans for i in range(s, s + n)}
+    assert cells(out) == cells(found) and sum(n for *_, n in out) == len(cells(found))
+    assert not any((o, k, s + n) in cells(out) for o, k, s, n in out)
+    assert list(anchors.merged([anchors.span_batch([])])) == []
+
+
+def test_long_runs_of_one_unit(frame):
+    size = 300_000
+    rows = [(1, "a" * size), (2, "b" + "a" * size), (3, "w " * 40_000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeat_tree.report(frame(rows)).collect()}
+    assert got == {1: (size, size - 1, 1), 2: (size + 1, size, 1), 3: (80_000, 79_998, 1)}
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in phrase_automata.report(frame(rows)).collect()}
+    assert words == {1: (1, 0), 2: (1, 0), 3: (40_000, 40_000)}
