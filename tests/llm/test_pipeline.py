@@ -92,5 +92,5 @@ def test_packing_stage_and_run(spark, stages):
 
 def test_registered_queries():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
     assert "pipeline" in names and set(catalog.oracle_sql()) <= set(catalog.queries())
