@@ -13,6 +13,7 @@ from hostshelf.session import checkpoint_dir
 #: White space as the contracts define it, for Java and DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +61,17 @@ def let(value: Column, body) -> Column:
 def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet into the shared checkpoint folder and read it back; `by` is a column of few values, a folder each.
 
-    Cuts the lineage with a copy that survives the loss of executors.
+    Cuts the lineage with a copy that survives the loss of executors; the shuffle
+    files behind it go as soon as it is written, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 

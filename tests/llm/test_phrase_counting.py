@@ -1,5 +1,7 @@
+import glob
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,5 +89,22 @@ def test_long_text_and_hot_language(spark, frame):
     assert got["text very long text very"] == (99_998, 300_150)
 
 
+def test_shuffle_files_of_a_staged_table_go_with_its_write(spark):
+    """A scan's sums are the largest tables of the query: their shuffle files must not pile up until the driver collects its garbage."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffles = lambda: {m[1] for d in dirs for x in glob.glob(f"{d}/*/shuffle_*") if (m := re.search(r"/shuffle_(\d+)_", x))}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    state, before = spark.conf.get(setting, None), shuffles()
+    summed = spark.range(0, 5000, 1, 3).selectExpr("id % 70 AS k").groupBy("k").count()
+    table = phr.staged(summed, "sums", codec="zstd")
+    until = time.time() + 3
+    while shuffles() - before and time.time() < until:  # files go in the background
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(setting, None) == state
+    assert table.count() == summed.count() == 70
+    summed.write.format("noop").mode("overwrite").save()
+    assert shuffles() - before  # a write of another kind leaves them to the cleaner
+
+
 def test_empty_table(spark, frame):
     assert phr.report(frame([])).collect() == []
