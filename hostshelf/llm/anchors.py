@@ -35,6 +35,8 @@ CHUNK = 1 << 20
 #: Classes of one gram that may meet in one task.
 CROWD = 20_000
 _PLACE_BITS = 28
+_SPANS = "ord long, text_key long, s int, n int"
+_TEXTS = "ord long, text_key long, h long, s int, n int, members long, rivals long, left int, body binary"
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -221,8 +223,11 @@ def representatives(classed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_join(reps, rivals, ["h"]), rivals
 
 
-def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
-    """`reps` with `body`: the block's bytes, or its words joined by one space; `left` is the byte before it, or -1."""
+def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind, then: Callable | None = None, schema: str = _TEXTS) -> DataFrame:
+    """`reps` with `body`: the block's bytes, or its words joined by one space; `left` is the byte before it, or -1.
+
+    `then` makes other rows of `schema` from them in the same Python worker.
+    """
     fields = ["h", "s", "n", "members", "rivals"]
     by_doc = reps.groupBy("ord", "text_key").agg(F.collect_list(F.struct(*fields)).alias("blocks"))
 
@@ -247,7 +252,7 @@ def block_texts(reps: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
 
     # All columns of `rows`, so that `with_spans` can use the same exchange of the documents again.
     return (by_doc.join(rows, ["ord", "text_key"])
-            .mapInArrow(apply, "ord long, text_key long, h long, s int, n int, members long, rivals long, left int, body binary"))
+            .mapInArrow(lambda batches: then(apply(batches)) if then else apply(batches), schema))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, list]]:
@@ -278,8 +283,8 @@ def span_batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
-def crowded(texts: DataFrame, kind: Kind, first_only: bool) -> DataFrame:
-    """Spans (ord, text_key, s, n) of repeated windows among `texts`, grouped window by window (see the module's head)."""
+def crowded(reps: DataFrame, rows: DataFrame, kind: Kind, first_only: bool) -> DataFrame:
+    """Spans (ord, text_key, s, n) of repeated windows in the blocks `reps`, grouped window by window (see the module's head)."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, body in enumerate(b.column("body").to_pylist()):
@@ -295,7 +300,7 @@ def crowded(texts: DataFrame, kind: Kind, first_only: bool) -> DataFrame:
                      pa.array(np.arange(len(w), dtype=np.int32) + b.column("s")[i].as_py(), pa.int32())],
                     names=["h", "w", "ord", "text_key", "members", "s"])
 
-    each = texts.mapInArrow(windows, "h long, w long, ord long, text_key long, members long, s int").withColumn(
+    each = block_texts(reps, rows, kind, windows, "h long, w long, ord long, text_key long, members long, s int").withColumn(
         "place", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("s"))
     again = each.groupBy("h", "w").agg(F.sum("members").alias("all"), F.min("place").alias("first")).where("all > 1")
     found = each.join(again, ["h", "w"])
@@ -307,16 +312,18 @@ def spans(rows: DataFrame, kind: Kind, first_only: bool, in_task: Callable, crow
     """Spans (ord, text_key, s, n) to remove: all places of repeated windows, or all but the first of each.
 
     `in_task` gets an iterator of batches of `block_texts`, sorted by gram, and yields such spans.
+    Spans that touch are `merged` where they are found, in the same Python worker: a second
+    one behind it would hold its memory beside the first in every running task.
     """
     classed = staged(with_classes(repeated_blocks(rows, kind)), "classed")
     reps, rivals = representatives(classed)
-    whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n")
+    whole = classed.where("place > first" if first_only else "members > 1").select("ord", "text_key", "s", "n").mapInArrow(merged, _SPANS)
     few = (block_texts(reps.where(F.col("rivals") <= crowd), rows, kind).repartition("h").sortWithinPartitions("h")
-           .mapInArrow(in_task, "ord long, text_key long, s int, n int"))
+           .mapInArrow(lambda batches: merged(in_task(batches)), _SPANS))
     many = F.col("rivals") > crowd
     if rivals.where(many).isEmpty():
         return whole.union(few)
-    return whole.union(few).union(crowded(block_texts(reps.where(many), rows, kind), kind, first_only))
+    return whole.union(few).union(crowded(reps.where(many), rows, kind, first_only).mapInArrow(merged, _SPANS))
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +348,9 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """`rows` plus `spans`, an array of (s, n), null where there is none.
 
-    Spans that touch are merged batch by batch before they meet: a long run of one
-    letter has a span per byte, and these lie together since their grams are equal.
+    `found` comes merged batch by batch from `spans`: a long run of one letter has
+    a span per byte, and these lie together since their grams are equal.
     """
-    found = found.select("ord", "text_key", "s", "n").mapInArrow(merged, "ord long, text_key long, s int, n int")
     by_doc = found.groupBy("ord", "text_key").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     return rows.join(by_doc, ["ord", "text_key"], "left")
 

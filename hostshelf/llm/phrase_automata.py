@@ -17,8 +17,8 @@ are kept apart by their text.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,33 +36,59 @@ WINDOW, GRAM = 35, 8
 PORTION = 1 << 20
 
 
+def _window_numbers(words: np.ndarray, window: int) -> np.ndarray:
+    """Equal numbers for equal windows, by the numbers of their parts (powers of two long): exact, and 8 bytes a place."""
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (b.max() + 1) + b, return_inverse=True)[1]
+
+    if len(words) < window:
+        return words[:0]
+    part, span, number, done = words, 1, None, 0
+    while True:
+        if window & span:
+            number = part if number is None else paired(number[:len(part) - done], part[done:])
+            done += span
+        if done == window:
+            return number
+        part, span = paired(part[:-span], part[span:]), 2 * span
+
+
 def passages(blocks: list[tuple[tuple[int, ...], int]], window: int) -> set[tuple[int, ...]]:
-    """Recurring passages of the blocks (word numbers, members) of one gram.
+    """Recurring passages of the blocks (word numbers, members).
 
     A window recurs if it stands in two places (each member of a block counts).
     Neighbouring windows with the same places, moved by one, form one passage,
     so that every place of any of them is a place of the whole passage.
     """
-    places = defaultdict(list)
-    for j, (words, members) in enumerate(blocks):
-        for i in range(len(words) - window + 1):
-            places[words[i:i + window]].append((j, i))
-    found = set()
-    for words, _ in blocks:
-        start, before = None, None
-        for i in range(len(words) - window + 2):
-            here = places.get(words[i:i + window]) if i + window <= len(words) else None
-            if here is not None and sum(blocks[j][1] for j, _ in here) < 2:
-                here = None
-            same = here is not None and before is not None and len(here) == len(before) and all(
-                a == c and b + 1 == d for (a, b), (c, d) in zip(before, here))
-            if start is not None and not same:
-                found.add(words[start:i + window - 1])
-                start = None
-            if here is not None and start is None:
-                start = i
-            before = here
-    return found
+    length = np.array([len(words) for words, _ in blocks], np.int64)
+    number = _window_numbers(np.fromiter(chain.from_iterable(words for words, _ in blocks), np.int64, int(length.sum())), window)
+    starts = np.maximum(length - window + 1, 0)
+    block = np.repeat(np.arange(len(blocks)), starts)
+    if not len(block):
+        return set()
+    i = np.arange(len(block)) - np.repeat(np.cumsum(starts) - starts, starts)
+    number = np.unique(number[np.repeat(np.cumsum(length) - length, starts) + i], return_inverse=True)[1]
+    kinds = int(number.max()) + 1
+    members = np.array([m for _, m in blocks], np.int64)
+    total = np.zeros(kinds, np.int64)
+    np.add.at(total, number, members[block])
+    after = np.full(len(block), -1)
+    inner = np.flatnonzero(block[1:] == block[:-1])
+    after[inner] = number[inner + 1]
+    # A window goes on if all its places have the same next window and that has no other place.
+    least, most = np.full(kinds, kinds), np.full(kinds, -1)
+    np.minimum.at(least, number, after)
+    np.maximum.at(most, number, after)
+    places = np.bincount(number, minlength=kinds)
+    goes_on = ((least == most) & (most >= 0) & (places[np.maximum(most, 0)] == places))[number]
+    recurs = total[number] >= 2
+    first = recurs.copy()
+    first[1:] &= ~((block[1:] == block[:-1]) & goes_on[:-1])
+    end = np.flatnonzero(recurs & ~goes_on)
+    at = np.flatnonzero(first)
+    at = at[np.unique(number[at], return_index=True)[1]]  # equal windows begin the same passage
+    last = end[np.searchsorted(end, at)]
+    return {blocks[block[a]][0][i[a]:i[z] + window] for a, z in zip(at.tolist(), last.tolist())}
 
 
 def occurrences(patterns: set[tuple[int, ...]], texts: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int]]:
@@ -83,10 +109,7 @@ def _locate(window: int) -> Callable:
         for rows in anchors.grouped(batches, PORTION):
             number: dict[bytes, int] = {}
             texts = [tuple([number.setdefault(w, len(number)) for w in body.split()]) for body in rows["body"]]
-            by_gram = defaultdict(list)
-            for h, t, members in zip(rows["h"], texts, rows["members"]):
-                by_gram[h].append((t, members))
-            patterns = set().union(*(passages(b, window) for b in by_gram.values()))
+            patterns = passages(list(zip(texts, rows["members"])), window)  # equal windows have one gram
             yield anchors.span_batch([(rows["ord"][t], rows["text_key"][t], rows["s"][t] + at, n)
                                       for t, at, n in occurrences(patterns, texts)])
     return apply

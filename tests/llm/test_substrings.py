@@ -182,6 +182,51 @@ def test_spans_are_merged_within_documents():
     assert list(anchors.merged([anchors.span_batch([])])) == []
 
 
+@pytest.mark.parametrize("crowd", [anchors.CROWD, 1])
+def test_a_task_runs_one_python_worker(frame, crowd):
+    """Between two exchanges there is at most one Python operator: chained ones hold a worker's memory each, at the same time."""
+    docs = frame(corpus(4))
+    for made in (phrase_automata.cleaned(docs, crowd=crowd), repeat_tree.without_repeats(docs, crowd=crowd)):
+        above = []
+        for line in made._jdf.queryExecution().executedPlan().toString().split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in above if x[0] < depth]
+            name = line[depth:].split("(")[0].split(" ")[0].lstrip("*")
+            if name == "MapInArrow":
+                own = [n for _, n in above]
+                last = max((i for i, n in enumerate(own) if n == "Exchange"), default=-1)
+                assert "MapInArrow" not in own[last + 1:], own
+            above.append((depth, name))
+
+
+def test_passages_of_many_blocks_with_one_phrase():
+    """Many different blocks around one phrase: the phrase and what goes on with it, as by plain counting of places."""
+    rnd = random.Random(8)
+    phrase = tuple(range(100, 160))
+    for window, n, words in ((35, 400, 5000), (3, 60, 3), (4, 60, 2)):
+        blocks = []
+        for _ in range(n):
+            own = tuple(rnd.choices(range(words), k=rnd.randrange(30)))
+            blocks.append((own + phrase[rnd.randrange(30):rnd.randrange(30, 60)], rnd.choice([1, 1, 1, 2])))
+        places = {}
+        for j, (x, _) in enumerate(blocks):
+            for i in range(len(x) - window + 1):
+                places.setdefault(x[i:i + window], []).append((j, i))
+        expected = set()
+        for x, _ in blocks:
+            at = [places[x[i:i + window]] for i in range(len(x) - window + 1)]
+            again = [sum(blocks[j][1] for j, _ in p) > 1 for p in at]
+            joined = [i > 0 and [(j, k + 1) for j, k in at[i - 1]] == at[i] for i in range(len(at))]
+            for i in range(len(at)):
+                if again[i] and not joined[i]:
+                    stop = i + 1
+                    while stop < len(at) and joined[stop]:
+                        stop += 1
+                    expected.add(x[i:stop + window - 1])
+        assert phrase_automata.passages(blocks, window) == expected
+    assert phrase_automata.passages([], 35) == phrase_automata.passages([((1, 2), 5), ((), 1)], 35) == set()
+
+
 def test_long_runs_of_one_unit(frame):
     size = 300_000
     rows = [(1, "a" * size), (2, "b" + "a" * size), (3, "w " * 40_000)]
