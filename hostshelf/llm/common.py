@@ -58,8 +58,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
-    """Write `df` as Parquet into the shared checkpoint folder and read it back; `by` is a column of few values, a folder each.
+def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy", **options) -> DataFrame:
+    """Write `df` as Parquet into the shared checkpoint folder and read it back; `by` is a column of few values, a folder each; `options` are the writer's.
 
     Cuts the lineage with a copy that survives the loss of executors; the shuffle
     files behind it go as soon as it is written, not when the driver next collects its garbage.
@@ -69,7 +69,7 @@ def staged(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", codec).options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(_nullable(df.schema)).parquet(path)

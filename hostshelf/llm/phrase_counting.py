@@ -17,10 +17,12 @@ always at the same scan, since an entry never changes: what follows from them
 is counted for its own full cycle, with an exact count, and falls to the same
 threshold. A crowded table costs time, never a row.
 
-Each task turns a portion of text into word numbers with array operations and
-counts the distinct phrases of every length by number (exact, no hashing); the
-shuffle sums them by language and the phrase itself. A scan's sums are written
-to the shared folder, which cuts the lineage, and replace those before them.
+Texts are split into words once, before the first scan: each task turns portions
+of text into word numbers with array operations and writes these with the words
+they stand for; the scans read the numbers. A scan counts a portion's distinct
+phrases of every length by number (exact, no hashing); the shuffle sums them by
+language and the phrase itself. A scan's sums are written to the shared folder,
+which cuts the lineage, and replace those before them.
 
 Score of a candidate cut into two parts l and r: floor(1000 * a * n / (l * r)),
 in decimals of 38 digits. The lowest cut counts. A candidate is dropped when a
@@ -38,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +50,15 @@ LONGEST, THRESHOLD, ABSORBED, TOP = 5, 100, 100, 2000
 SHARDS = 2
 SLOTS = 1 << 23
 UNDETERMINED = "und"
-#: Bytes of text that a task turns into numbers at once.
-PORTION = 1 << 23
+#: Bytes of text that a task turns into numbers at once, and portions of a file (Spark reads a small file's rows as one batch).
+PORTION, PORTIONS = 1 << 23, 4
 _NEVER = 255
+_PORTIONS = "shard int, langs array<string>, lang binary, words binary, codes binary"
 _COUNTS = "lang string, phrase string, since int, a long"
-_BREAKS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
-_BLANKS = np.frombuffer(b" \t", np.uint8)
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_KIND = np.zeros(256, np.uint8)
-_KIND[_BLANKS], _KIND[_BREAKS] = 1, 2
+_BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+#: Translations of bytes: to lower case, and to 0 in words, 1 for blanks, 2 for breaks.
+_LOWER = bytes(range(256)).lower()
+_KIND = bytes(1 if b in _BLANKS else 2 if b in _BREAKS else 0 for b in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,10 +72,15 @@ def _longer(left: np.ndarray, last: np.ndarray) -> np.ndarray:
     return _mix(left * np.uint64(0x9E3779B97F4A7C15) + last)
 
 
-def _spelled(words: list[bytes], langs: list[str]) -> np.ndarray:
-    """Hashes of words, each of its language."""
-    spelling = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return _mix(spelling + np.array([xxhash.xxh64_intdigest(x, 1) for x in langs], np.uint64))
+def _spelled(words: pa.Array, langs: list[str], lang: np.ndarray) -> np.ndarray:
+    """Hashes of words (none is empty), each of the language of its number: sums over their bytes and places."""
+    offsets, data = (np.frombuffer(b, t) for b, t in zip(words.buffers()[1:], (np.int32, np.uint8)))
+    start, stop = offsets[words.offset:][:len(words)], offsets[words.offset + 1:][:len(words)]
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    place = np.arange(start[0], stop[-1]) - np.repeat(start, stop - start)
+    spelling = np.add.reduceat(_mix(place.astype(np.uint64) << np.uint64(8) | data[start[0]:stop[-1]]), start - start[0])
+    return _mix(spelling + np.array([xxhash.xxh64_intdigest(x, 1) for x in langs], np.uint64)[lang])
 
 
 def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,31 +98,56 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[head], number, np.diff(np.concatenate((head, [len(keys)])))
 
 
+def _strings(start: np.ndarray, stop: np.ndarray, data: np.ndarray) -> pa.StringArray:
+    """The strings whose bytes stand in `data` without gaps."""
+    offsets = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 class Words:
-    """A portion of documents as word numbers. `code` tells (language, word) pairs apart; `piece` rises at every break."""
+    """A portion of documents as word numbers. `code` tells (language, word) pairs apart; `piece` rises at every break.
+
+    `spelling` and `lang` (a number in `langs`) are by code.
+    """
 
     def __init__(self, texts: list[bytes], langs: list[str]):
-        data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-        kind = _KIND[data]
-        inside = kind == 0
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        joined = b"\n".join(texts)
+        kind = np.frombuffer(joined.translate(_KIND), np.uint8)
+        inside = np.concatenate(([False], kind == 0, [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         start, stop = edge[::2], edge[1::2]
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
-        offsets = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+        words = _strings(start, stop, np.frombuffer(joined.translate(_LOWER), np.uint8)[inside[1:-1]]).dictionary_encode()
         word = words.indices.to_numpy().astype(np.int64)
-        self.spelling = words.dictionary
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.langs = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.langs)}
-        lang = np.array([number[x] for x in langs], np.int64)[np.searchsorted(ends, start, "right")]
-        self.word, self.lang = word, lang
-        self.first, self.code, self.count = _numbered(lang * len(self.spelling) + word) if len(word) else (word,) * 3
-        spelling, of_lang = self.spelling.cast(pa.binary()).to_pylist(), [self.langs[i] for i in lang[self.first]]
-        self.hash = _spelled([spelling[i] for i in word[self.first]], of_lang)
+        lang = np.array([number[x] for x in langs], np.int32)[np.searchsorted(ends, start, "right")]
+        first, self.code, _ = _numbered(lang * len(words.dictionary) + word) if len(word) else (word,) * 3
+        self.lang, self.spelling = lang[first], words.dictionary.take(pa.array(word[first]))
+
+    def packed(self) -> tuple:
+        """What `unpacked` takes: langs, and as bytes lang, the words by code, the codes (inverted where a piece begins)."""
+        begins = np.diff(self.piece, prepend=-1) != 0
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(self.spelling)], self.spelling), " ")[0].as_buffer().to_pybytes()
+        return self.langs, self.lang.tobytes(), words, np.where(begins, ~self.code, self.code).astype(np.int32).tobytes()
+
+    @classmethod
+    def unpacked(cls, langs: list[str], lang, words, codes) -> Words:
+        self, data, code = cls.__new__(cls), np.frombuffer(words, np.uint8), np.frombuffer(codes, np.int32)
+        self.langs, self.lang = langs, np.frombuffer(lang, np.int32)
+        stop = np.append(np.flatnonzero(data == 32), len(data))
+        self.spelling = _strings(np.append(0, stop[:-1] + 1), stop, data[data != 32])
+        self.piece = np.cumsum(code < 0, dtype=np.int32)
+        self.code = np.where(code < 0, ~code, code).astype(np.int64)
+        return self
+
+    @property
+    def hash(self) -> np.ndarray:
+        return _spelled(self.spelling, self.langs, self.lang)
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
-        parts = [self.spelling.take(pa.array(self.word[at + i])) for i in range(k)]
+        parts = [self.spelling.take(pa.array(self.code[at + i])) for i in range(k)]
         return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
 
 
@@ -125,10 +158,13 @@ def count_portion(words: Words, scan: int, shards: int, longest: int, entered: C
     """
     if not len(words.code):
         return
-    hashes, code, n = words.hash, words.code, len(words.code)
+    word, code, n = words.hash, words.code, len(words.code)
+    hashes = word
     begun = np.zeros(len(hashes), np.int64)  # the scan from which each phrase of the level at hand is counted
     if scan < shards:
-        yield words.first, 1, begun, words.count
+        first = np.empty(len(word), np.int64)
+        first[code] = np.arange(n)
+        yield first, 1, begun, np.bincount(code)
     valid = np.ones(n, bool)
     for k in range(2, longest + 1):
         since = np.maximum(entered(hashes), begun)
@@ -139,14 +175,14 @@ def count_portion(words: Words, scan: int, shards: int, longest: int, entered: C
         at = np.flatnonzero(follows)
         # What is counted no more matters only as a part of longer phrases, if it has entered.
         over = np.flatnonzero(np.maximum(since[code[at]], since[code[at + 1]]) <= scan - shards)
-        known = entered(_longer(hashes[code[at[over]]], words.hash[words.code[at[over] + k - 1]]))
+        known = entered(_longer(hashes[code[at[over]]], word[words.code[at[over] + k - 1]]))
         at = np.delete(at, over[known == _NEVER])
         if not len(at):
             return
-        first, number, count = _numbered(code[at] * len(words.hash) + words.code[at + k - 1])
+        first, number, count = _numbered(code[at] * len(word) + words.code[at + k - 1])
         first = at[first]
         begun = np.maximum(since[code[first]], since[code[first + 1]])
-        hashes = _longer(hashes[code[first]], words.hash[words.code[first + k - 1]])
+        hashes = _longer(hashes[code[first]], word[words.code[first + k - 1]])
         now = np.flatnonzero(begun > scan - shards)
         if len(now):
             yield first[now], k, begun[now], count[now]
@@ -154,31 +190,48 @@ def count_portion(words: Words, scan: int, shards: int, longest: int, entered: C
         valid[at], code[at] = True, number
 
 
+def _numbers(shards: int, portion: int) -> Callable:
+    """Texts to rows of `_PORTIONS`; a task deals its documents out to the shards in turn."""
+    def row(shard: int, texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+        words = Words(texts, langs)
+        if len(words.code):
+            kinds = (pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, *words.packed()), kinds)],
+                                             names=[x.split()[0] for x in _PORTIONS.split(", ")])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, langs, held = [[] for _ in range(shards)], [[] for _ in range(shards)], [0] * shards
+        shard = TaskContext.get().partitionId() % shards
+        for b in batches:
+            for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
+                texts[shard].append(text.as_buffer().to_pybytes())
+                langs[shard].append(lang)
+                held[shard] += len(texts[shard][-1])
+                if held[shard] >= portion:
+                    yield from row(shard, texts[shard], langs[shard])
+                    texts[shard], langs[shard], held[shard] = [], [], 0
+                shard = (shard + 1) % shards
+        for shard in range(shards):
+            if texts[shard]:
+                yield from row(shard, texts[shard], langs[shard])
+
+    return apply
+
+
 def _counts(table, slots: int, scan: int, shards: int, longest: int) -> Callable:
     def entered(h: np.ndarray) -> np.ndarray:
         one, two = _slots(h, slots)
         return np.maximum(table.value[one], table.value[two])
 
-    def rows(texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
-        words = Words(texts, langs)
-        names = pa.array(words.langs, pa.string())
-        for at, k, since, count in count_portion(words, scan, shards, longest, entered):
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(words.lang[at])), words.phrases(at, k), pa.array(since.astype(np.int32)),
-                 pa.array(count.astype(np.int64))], names=[x.split()[0] for x in _COUNTS.split(", ")])
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, langs, held = [], [], 0
         for b in batches:
-            for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
-                texts.append(text.as_buffer().to_pybytes())
-                langs.append(lang)
-                held += len(texts[-1])
-                if held >= PORTION:
-                    yield from rows(texts, langs)
-                    texts, langs, held = [], [], 0
-        if texts:
-            yield from rows(texts, langs)
+            for langs, *parts in zip(b.column("langs").to_pylist(), *(b.column(c) for c in ("lang", "words", "codes"))):
+                words = Words.unpacked(langs, *(x.as_buffer() for x in parts))
+                names = pa.array(langs, pa.string())
+                for at, k, since, count in count_portion(words, scan, shards, longest, entered):
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(words.lang[words.code[at]])), words.phrases(at, k), pa.array(since.astype(np.int32)),
+                         pa.array(count.astype(np.int64))], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
     return apply
 
@@ -191,9 +244,9 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
                      slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, a) of all phrases with a >= threshold, (lang, n) with n the word occurrences)."""
     spark = docs.sparkSession
-    texts = staged(docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), F.col("text"))
-                   .where("text IS NOT NULL").withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")),
-                   "texts", by="shard", codec="zstd")
+    portions = staged(docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), F.col("text"))
+                      .where("text IS NOT NULL").mapInArrow(_numbers(shards, PORTION), _PORTIONS),
+                      "portions", by="shard", codec="zstd", maxRecordsPerFile=PORTIONS)
     table = np.full(slots, _NEVER, np.uint8)
     state, done, totals = None, [], None
     scan, last = 0, shards - 1
@@ -201,7 +254,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
         if scan >= _NEVER - 1:
             raise RuntimeError("phrase counting: too many scans")  # longest x shards at most
         known = spark.sparkContext.broadcast(table)  # `slots` bytes
-        counted = (texts.where(F.col("shard") == scan % shards).select("lang", "text")
+        counted = (portions.where(F.col("shard") == scan % shards).drop("shard")
                    .mapInArrow(_counts(known, slots, scan, shards, longest), _COUNTS))
         if state is not None:
             counted = counted.union(state.where(F.col("since") > scan - shards))
@@ -217,7 +270,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
         if _enter(table, frequent.where(F.col("k") < longest), scan + 1):
             last = scan + shards
         scan += 1
-    discard(texts)
+    discard(portions)
     discard(state)
     found = done[0]
     for other in done[1:]:
@@ -231,11 +284,12 @@ def _enter(table: np.ndarray, phrases: DataFrame, scan: int) -> bool:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, words = b.column("lang").to_pylist(), [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
-            h = _spelled([w[0] for w in words], langs)
-            for i in range(1, max(map(len, words), default=0)):
-                more = [j for j, w in enumerate(words) if len(w) > i]
-                h[more] = _longer(h[more], _spelled([words[j][i] for j in more], [langs[j] for j in more]))
+            langs, words = b.column("lang").dictionary_encode(), pc.split_pattern(b.column("phrase"), " ")
+            names, lang, size = langs.dictionary.to_pylist(), langs.indices.to_numpy(), pc.list_value_length(words).to_numpy()
+            h = _spelled(pc.list_element(words, 0), names, lang)
+            for i in range(1, max(size, default=0)):
+                more = np.flatnonzero(size > i)
+                h[more] = _longer(h[more], _spelled(pc.list_element(words.take(pa.array(more)), i), names, lang[more]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(h, slots)).astype(np.int64))], names=["slot"])
 
     bits = (phrases.select("lang", "phrase").mapInArrow(apply, "slot long").groupBy(F.shiftright("slot", 6).alias("word"))

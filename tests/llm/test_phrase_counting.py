@@ -83,6 +83,29 @@ def test_words_of_a_portion():
     assert words.code[0] == words.code[2] != words.code[4] and words.piece[0] == words.piece[1] != words.piece[2]
 
 
+def test_a_portion_comes_back_from_its_numbers():
+    rows = [r for r in corpus(4) if r[1]] + [(0, " \t,", "en"), (1, "a\0b\0 \0 A\0b\0", "漢\n")]
+    words = phr.Words([t.encode() for _, t, _ in rows], [x or "und" for _, _, x in rows])
+    again = phr.Words.unpacked(*words.packed())
+    assert again.langs == words.langs and again.spelling.equals(words.spelling)
+    assert all((getattr(again, x) == getattr(words, x)).all() for x in ("lang", "code", "hash"))
+    assert (np.diff(again.piece) == (np.diff(words.piece) != 0)).all()
+
+
+def test_texts_are_split_into_words_once(spark, frame, monkeypatch):
+    """The scans, up to ten, read word numbers: no text is staged for them, and none is split again."""
+    tables, staged = {}, phr.staged
+    monkeypatch.setattr(phr, "staged", lambda df, name, *a, **b: tables.setdefault(name, staged(df, name, *a, **b)))
+    monkeypatch.setattr(phr, "discard", lambda table: None)
+    monkeypatch.setattr(phr, "PORTION", 2000)
+    rows = corpus(5)
+    assert sorted(map(tuple, phr.report(frame(rows).repartition(3), 4, 100, 2000).collect())) == brute(rows, 4, 100, 2000)
+    assert "scan-2" in tables and "texts" not in tables
+    kept = tables["portions"].collect()
+    assert "text" not in tables["portions"].columns and {r.shard for r in kept} == {0, 1} and len(kept) > 6
+    assert sum(len(r.codes) // 4 for r in kept) == sum(r.n for r in tables["totals"].collect())
+
+
 def test_long_text_and_hot_language(spark, frame):
     rows = [(0, "very long text " * 100_000, "en"), *[(i, "very long text", "en") for i in range(50)], (99, "z" * 500_000, None)]
     got = {r.phrase: (r.a, r.n) for r in phr.report(frame(rows)).collect()}
